@@ -61,6 +61,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
 
+def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ppm import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
