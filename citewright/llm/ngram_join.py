@@ -1,14 +1,15 @@
 """Self-join of documents whose 5-word shingle sets have Jaccard similarity 0.8 or more.
 
 Shingles are 64-bit hashes in one global order: common ones last, else by value. By that
-order the first n - ceil(0.8 n) + 1 shingles of a set, its prefix, meet the prefix of every
-partner. Prefix rows are grouped by shingle; the smallest document of a group is its centre
+order the first n - ceil(0.8 n) + l shingles of a set, its prefix, share l at least with the prefix
+of every partner (l grows with n; for sets of unequal size the smaller l holds). Prefix rows
+are grouped by shingle; the smallest document of a group is its centre
 and every other member a candidate of the centre, so a group of m members makes m - 1
-pairs, whatever m is. Candidates of a centre, as globally ordered sets, form a prefix tree: shared runs of
+pairs, whatever m is; pairs that meet l times go on. Candidates of a centre, as globally ordered sets, form a prefix tree: shared runs of
 shingles are matched once, and a subtree is cut when its overlap so far plus the least
 remaining length can't reach the required overlap. Links give components. Then only
-pairs in one prefix group whose ends lie in different components can still add a link:
-those are all formed and go through the same trees, so no link between texts is lost.
+pairs in prefix groups whose ends lie in different components can still add a link:
+those that meet l times are all formed and go through the same trees, so no link between texts is lost.
 
 Which shingles count as common is found by counting all prefixes; the COMMON_MOST most
 frequent of at least COMMON_LEAST go last. Any choice gives the same links: it only keeps
@@ -32,11 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, components, flat, mix, stage, word_hashes
+from .suffix_dedup import _groups
 
 WORDS = 5
 NUM, DEN = 80, 100  # links have DEN * intersection >= NUM * union
-COMMON_LEAST = 24
-COMMON_MOST = 1 << 19
+COMMON_LEAST = 3
+COMMON_MOST = 1 << 20
+PAIRS_AT_ONCE = 1 << 20
+BROADCAST_IDS = 1 << 20  # more wanted ids than this meet the texts by a shuffled join
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -71,8 +75,13 @@ def in_order(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~last], s[last]])
 
 
+def least_shared(n):
+    """Prefix shingles a set of n shares with any partner of the same or a greater l."""
+    return 1 + (n - -(-NUM * n // DEN)) // 4
+
+
 def prefix_length(n: int) -> int:
-    return n - -(-NUM * n // DEN) + 1
+    return n - -(-NUM * n // DEN) + least_shared(n)
 
 
 def needed(a: int | np.ndarray, b: int | np.ndarray):
@@ -106,10 +115,6 @@ def _digest(s: np.ndarray) -> bytes:
     return blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return DEN * np.minimum(a, b) >= NUM * np.maximum(a, b)
-
-
 def _stars(prefixes: DataFrame) -> DataFrame:
     """Members (token, doc_id, n, pos, centre, centre_n) of the prefix groups of two and more."""
 
@@ -142,54 +147,54 @@ def _stars(prefixes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "token long, doc_id long, n long, pos long, centre long, centre_n long")
 
 
+def _met_often(counted: DataFrame) -> DataFrame:
+    """Pairs (a, b) of (a, b, na, nb, met) that lengths and the number of meetings allow."""
+    least = lambda n: f"1 + ({n} - ceil({NUM} * {n} / {DEN})) div 4"
+    fits = f"{DEN} * least(na, nb) >= {NUM} * greatest(na, nb)"
+    return counted.where(fits).where(f"met >= least({least('na')}, {least('nb')})").select("a", "b")
+
+
 def _across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one prefix group in different components that lengths and positions allow.
+    """(a, b, na, nb, met): pairs in different components, and how often their prefixes meet.
 
-    Groups are small here: what many documents share was put last in the order, and near
-    copies already are one component. A group is held as four numbers a member."""
+    Groups are small here: what many documents share was put last in the order, and near copies
+    already are one component. A group is held as three numbers a member, its pairs are streamed."""
 
     def run(batches):
-        held: list[np.ndarray] = []
-        token = None
-
-        def close():
-            if not held:
-                return
-            d, n, p, c = np.concatenate(held, axis=1)
-            if len(d) < 2 or (c == c[0]).all():
-                return
-            order = np.lexsort((d, n))
-            d, n, p, c = d[order], n[order], p[order], c[order]
-            top = np.searchsorted(n, DEN * n // NUM, "right")
-            for i in range(0, len(d)):
-                j = np.arange(i + 1, top[i])
-                j = j[(c[j] != c[i]) & (1 + np.minimum(n[i] - p[i] - 1, n[j] - p[j] - 1) >= needed(n[i], n[j]))]
-                if len(j):
-                    yield np.minimum(d[i], d[j]), np.maximum(d[i], d[j])
-
-        def batch(pairs):
-            a, b = (np.concatenate([x[k] for x in pairs]) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        out: list = []
-        for b in batches:
-            t, *rest = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            cuts = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else []
-            for i, lo in enumerate(cuts):
-                if t[lo] != token:
-                    out += close()
-                    held, token = [], t[lo]
-                hi = cuts[i + 1] if i + 1 < len(cuts) else len(t)
-                held.append(np.array([x[lo:hi] for x in rest]))
-                if sum(len(x[0]) for x in out) > 50_000:
-                    yield batch(out)
-                    out = []
-        out += close()
-        if out:
-            yield batch(out)
-
-    rows = members.select("token", "doc_id", "n", "pos", "component").repartition("token").sortWithinPartitions("token")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+        for t in _groups(batches, 0):
+            token, doc, n, component = (t.column(i).to_numpy() for i in range(4))
+            order = np.lexsort((doc, n, token))
+            token, doc, n, component = token[order], doc[order], n[order], component[order]
+            head = np.flatnonzero(np.append(True, token[1:] != token[:-1])[: len(token)])
+            group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(token))))
+            mixed = np.maximum.reduceat(component, head) != np.minimum.reduceat(component, head) if len(head) else head
+            keep = mixed[group] if len(head) else head
+            group, doc, n, component = group[keep], doc[keep], n[keep], component[keep]
+            # partners of a member are those after it in its group, up to 5/4 of its size
+            key = group * np.int64(1 << 40) + n
+            reach = np.searchsorted(key, group * np.int64(1 << 40) + DEN * n // NUM, "right") - np.arange(len(key)) - 1
+            bounds = np.append(0, np.cumsum(reach))
+            lo = 0
+            while lo < len(key):
+                hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + PAIRS_AT_ONCE, "right")) - 1)
+                i = np.repeat(np.arange(lo, hi), reach[lo:hi])
+                j = i + 1 + np.arange(len(i)) - np.repeat(bounds[lo:hi] - bounds[lo], reach[lo:hi])
+                lo = hi
+                apart = component[i] != component[j]
+                i, j = i[apart], j[apart]
+                swap = doc[i] > doc[j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                order = np.lexsort((doc[j], doc[i]))  # the same pair in many groups is one row with its count
+                i, j = i[order], j[order]
+                a, b = doc[i], doc[j]
+                first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)])
+                met = np.diff(np.append(first, len(a)))
+                columns = (a[first], b[first], n[i[first]], n[j[first]], met)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["a", "b", "na", "nb", "met"])
+
+    rows = members.select("token", "doc_id", "n", "component").repartition("token").sortWithinPartitions("token")
+    found = rows.mapInArrow(run, "a long, b long, na long, nb long, met long")
+    return found.groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met"))
 
 
 def _walk(sets: list[np.ndarray], probe: np.ndarray, lo: int, hi: int, depth: int, overlap: int, found: list[int]) -> None:
@@ -273,9 +278,18 @@ def _ordered_sets(docs: DataFrame, wanted: DataFrame, common: np.ndarray) -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    wanted = stage(wanted, "wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
     return rows.join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
+def _linked(docs: DataFrame, pairs: DataFrame, common: np.ndarray) -> DataFrame:
+    pairs = stage(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    return stage(_verified(pairs, stage(_ordered_sets(docs, ends, common), "sets")), "links")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     counts = _prefixes(docs, np.zeros(0, np.int64)).select(F.explode("prefix").alias("token")).groupBy("token").count()
@@ -283,16 +297,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     common = np.sort(top.toArrow().column(0).to_numpy())
     prefixes = stage(_prefixes(docs, common), "prefixes")
     members = stage(_stars(prefixes), "members")
-    sets = stage(_ordered_sets(docs, members.select("doc_id").distinct(), common), "sets")
-    fit = F.expr(f"{DEN} * least(n, centre_n) >= {NUM} * greatest(n, centre_n)")
-    stars = members.where("doc_id <> centre").where(fit).select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
+    met = members.where("doc_id <> centre").groupBy(F.col("centre").alias("a"), F.col("doc_id").alias("b"), F.col("centre_n").alias("na"), F.col("n").alias("nb")).agg(F.count("*").alias("met"))
+    links = _linked(docs, _met_often(met), common)
     copies = prefixes.where("rep <> doc_id and n > 0").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
-    links = stage(_verified(stars, sets), "links")
-    labels = stage(components(links), "labels")
-    own = members.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    late = stage(_verified(_across(own), sets), "links")
+    labels = stage(components(links), "labels").withColumnRenamed("id", "doc_id")
+    own = members.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    late = _linked(docs, _met_often(_across(own)), common)
     found = components(links.union(late).union(copies))
-    # Copies may repeat an id: the largest set counts for it.
     out = prefixes.select("doc_id", F.col("n").alias("n_shingles")).join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
