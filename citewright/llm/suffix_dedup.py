@@ -8,10 +8,11 @@ a segment of at most 82 bytes.
 1. Anchors that two documents share are found by one shuffle. A task sends an anchor once,
    however many of its documents hold it; those it has seen in two documents itself are known
    to be shared and are dealt by document instead.
-2. Documents meet their shared anchors and cut out the segments. Of equal segments in a task
-   only those of the smallest document are dealt by anchor; in larger ones the whole segment
-   is a repeat.
-3. The segments of some anchors, in order of document, get a Burrows-Wheeler transform, kept
+2. Documents meet their shared anchors and cut out the segments. By 64-bit hashes, an equal segment in a smaller
+   document makes the whole segment a repeat; most of the copied text ends here, without its bytes
+   being dealt. A task sends a segment once, for the smallest of its documents.
+3. Segments of the anchors that have several distinct ones are cut out once more, now with their bytes, and dealt by anchor.
+   In order of document, they get a Burrows-Wheeler transform, kept
    as runs with the suffix positions sampled at run ends. Matching statistics are streamed through it:
    all segments step backwards together by LF over the runs, and the group of suffixes that agree on 50
    bytes tells the first document that holds the window.
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, mix, powers, prefix_hashes
+from .common import chunks, flat, mix, powers, prefix_hashes, span_hashes
 
 LENGTH = 50
 KMER = 18
@@ -80,8 +81,13 @@ def _batch(names: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=names.split())
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows by anchor, those of kind 2 by document. An anchor's low bits hold the kind of its row."""
+    return rows.repartition(F.when(F.expr("anchor & 3 = 2"), F.col("doc_id")).otherwise(F.expr("shiftright(anchor, 6)")))
+
+
 def _anchors(docs: DataFrame) -> DataFrame:
-    """(route, anchor, doc_id, kind): 0 the only document of the task, 1 one of several, 2 known shared."""
+    """(anchor, doc_id), of kind 0 from the only document of a task, 1 from one of several, 2 known shared."""
 
     def run(batches):
         for b in batches:
@@ -100,24 +106,24 @@ def _anchors(docs: DataFrame) -> DataFrame:
             head = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
             count = np.diff(np.append(head, len(h)))
             known = np.repeat(count > 1, count)
-            hk, dk = h[known], d[known]
-            yield _batch(
-                "route anchor doc_id kind",
-                np.concatenate([h[head], mix(dk.view(np.uint64)).view(np.int64)]), np.concatenate([h[head], hk]),
-                np.concatenate([d[head], dk]), np.concatenate([(count > 1).astype(np.int8), np.full(len(hk), 2, np.int8)]),
-            )
+            out = np.concatenate([h[head] | (count > 1), h[known] | 2]), np.concatenate([d[head], d[known]])
+            order = np.argsort(out[1], kind="stable")  # rows of one document together compress better
+            yield _batch("anchor doc_id", out[0][order], out[1][order])
 
     rows = docs.where("doc_id is not null").select("doc_id", "text")
-    return rows.mapInArrow(run, "route long, anchor long, doc_id long, kind tinyint")
+    return rows.mapInArrow(run, "anchor long, doc_id long")
 
 
-def _groups(batches, key: int):
-    """Columns of whole groups: what follows the last change of ``key`` waits for the next batch."""
+def _groups(batches, key: int, low: int = 0):
+    """Tables of whole groups: what follows the last change of column ``key`` (but for its ``low``
+    lowest bits) waits for the next batch."""
     held = None
     for b in batches:
         t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-        k = t.column(key).to_numpy()
+        k = t.column(key).to_numpy() >> low
         change = np.flatnonzero(k[1:] != k[:-1])
+        if not t.num_rows:
+            continue
         if len(change):
             yield t.slice(0, int(change[-1]) + 1)
             held = t.slice(int(change[-1]) + 1).combine_chunks()
@@ -131,32 +137,32 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
     """(doc_id, anchors): the anchors of each document that others may share."""
 
     def run(batches):
-        for t in _groups(batches, 0):
-            h, d, kind = (t.column(i).to_numpy() for i in range(3))
-            head = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, int)
+        for t in _groups(batches, 0, 6):
+            h, d = (t.column(i).to_numpy() for i in range(2))
+            h, kind = h & ~np.int64(63), h & 3
+            head = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
             count = np.diff(np.append(head, len(h)))
-            several = np.add.reduceat((kind < 2).astype(np.int64), head) > 1 if len(h) else count > 1
-            some = np.maximum.reduceat((kind == 1).astype(np.int64), head) > 0 if len(h) else several
+            several = np.add.reduceat((kind < 2).astype(np.int64), head) > 1
+            some = np.maximum.reduceat((kind == 1).astype(np.int64), head) > 0
             keep = (np.repeat(several | some, count) & (kind == 0)) | (kind == 2)
             yield _batch("doc_id anchor", d[keep], h[keep])
 
-    rows = _anchors(docs).repartition("route").sortWithinPartitions("anchor").select("anchor", "doc_id", "kind")
+    rows = _dealt(_anchors(docs)).sortWithinPartitions("anchor")
     found = rows.mapInArrow(run, "doc_id long, anchor long")
     return found.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
 
 
 def _segments(docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(route, anchor, doc_id, start, size, segment); segment is null where all of it is a repeat."""
+    """(anchor, doc_id, hash, start, size) of segments: kind 0, or 2 where a smaller document of
+    the task has an equal one."""
 
     def run(batches):
         for b in batches:
-            keep = np.flatnonzero(b.column(2).is_valid().to_numpy(zero_copy_only=False))
-            if not len(keep):
-                continue
-            b = b.take(pa.array(keep))
+            b = b.take(pa.array(np.flatnonzero(b.column(2).is_valid().to_numpy(zero_copy_only=False))))
             ids, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(2)
             values = lists.flatten().to_numpy(zero_copy_only=False)
             bounds = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+            found = []
             for i, part, own, anchor, start, end in _each_chunk(b.column(1)):
                 doc = np.searchsorted(own, start, "right") - 1
                 wanted = np.zeros(len(anchor), bool)
@@ -165,25 +171,75 @@ def _segments(docs: DataFrame, anchors: DataFrame) -> DataFrame:
                     lo, hi = cuts[k], cuts[k + 1]
                     if lo < hi:
                         wanted[lo:hi] = np.isin(anchor[lo:hi], values[bounds[i + k] : bounds[i + k + 1]])
-                anchor, start, end, doc = anchor[wanted], start[wanted], end[wanted], doc[wanted]
-                if not len(anchor):
-                    continue
-                raw = part.tobytes()
-                text = [raw[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
-                least: dict[bytes, int] = {}
-                owner = ids[i + doc]
-                for x, d in zip(text, owner.tolist(), strict=True):
-                    if least.get(x, d) >= d:
-                        least[x] = d
-                routed = np.array([least[x] == d for x, d in zip(text, owner.tolist(), strict=True)])
-                yield _batch(
-                    "route anchor doc_id start size segment",
-                    np.where(routed, anchor, mix(owner.view(np.uint64)).view(np.int64)), anchor, owner, start - own[doc], end - start,
-                    pa.array([x if r else None for x, r in zip(text, routed.tolist(), strict=True)], pa.binary()),
-                )
+                start, end, doc = start[wanted], end[wanted], doc[wanted]
+                found.append((anchor[wanted], ids[i + doc], span_hashes(prefix_hashes(part), start, end).view(np.int64), start - own[doc], end - start))
+            if not found:
+                continue
+            anchor, owner, h, start, size = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((owner, h, anchor))
+            anchor, owner, h, start, size = (x[order] for x in (anchor, owner, h, start, size))
+            anchor = anchor | np.where(_least(owner, anchor, h) < owner, 2, 0)
+            order = np.lexsort((start, owner))
+            yield _batch("anchor doc_id hash start size", *(x[order] for x in (anchor, owner, h, start, size)))
 
     rows = docs.join(anchors, "doc_id", "left").select("doc_id", "text", "anchors")
-    return rows.mapInArrow(run, "route long, anchor long, doc_id long, start long, size long, segment binary")
+    return rows.mapInArrow(run, "anchor long, doc_id long, hash long, start long, size long")
+
+
+def _least(owner: np.ndarray, *sorted_by: np.ndarray) -> np.ndarray:
+    """The least owner among rows that agree on the arrays they are sorted by."""
+    if not len(owner):
+        return owner
+    change = np.zeros(len(owner), bool)
+    for x in sorted_by:
+        change[1:] |= x[1:] != x[:-1]
+    change[0] = True
+    head = np.flatnonzero(change)
+    return np.repeat(np.minimum.reduceat(owner, head), np.diff(np.append(head, len(owner))))
+
+
+def _compared(segments: DataFrame) -> DataFrame:
+    """(doc_id, a, b, anchor): spans that repeat (anchor null), and segments to be looked into."""
+
+    def run(batches):
+        for t in _groups(batches, 0, 6):
+            anchor, owner, h, start, size = (t.column(i).to_numpy() for i in range(5))
+            known = anchor & 3 == 2
+            rows = [(owner[known], start[known], (start + size)[known], np.zeros(int(known.sum()), np.int64), np.ones(int(known.sum()), bool))]
+            anchor, owner, h, start, size = (x[~known] for x in (anchor & ~np.int64(63), owner, h, start, size))
+            order = np.lexsort((h, anchor))
+            anchor, owner, h, start, size = (x[order] for x in (anchor, owner, h, start, size))
+            least = _least(owner, anchor, h)
+            several = _least(h, anchor) != -_least(-h, anchor)
+            keep = (least < owner) | several
+            rows.append((owner[keep], start[keep], (start + size)[keep], anchor[keep], (least < owner)[keep]))
+            owner, a, b, anchor, repeat = (np.concatenate(x) for x in zip(*rows, strict=True))
+            yield _batch("doc_id a b anchor", owner, a, b, pa.array(anchor, mask=repeat))
+
+    return _dealt(segments).sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, a long, b long, anchor long")
+
+
+def _cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(anchor, doc_id, start, segment) of the wanted segments of each document."""
+
+    def run(batches):
+        for b in batches:
+            b = b.take(pa.array(np.flatnonzero(b.column(2).is_valid().to_numpy(zero_copy_only=False))))
+            if not b.num_rows:
+                continue
+            buf, offs = flat(b.column(1))
+            ids, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(2)
+            a, e, anchor = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            doc = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            begin = offs[doc] + a
+            sizes = e - a
+            ends = np.append(0, np.cumsum(sizes))
+            at = np.repeat(begin - ends[:-1], sizes) + np.arange(int(ends[-1]))
+            bytes_ = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(buf[at].tobytes())])
+            yield _batch("anchor doc_id start segment", anchor, ids[doc], a, bytes_)
+
+    rows = docs.join(wanted, "doc_id", "left").select("doc_id", "text", "wanted")
+    return rows.mapInArrow(run, "anchor long, doc_id long, start long, segment binary")
 
 
 class RunIndex:
@@ -295,13 +351,8 @@ def covered_spans(docs: DataFrame) -> DataFrame:
 
         def done():
             t = pa.concat_tables(waiting)
-            cols = [t.column(i).to_numpy() for i in range(4)]
-            mask = t.column(4).is_valid().to_numpy(zero_copy_only=False)
-            anchor, doc, start, length = cols
-            parts = [(doc[~mask], start[~mask], (start + length)[~mask])]
-            if mask.any():
-                parts.append(repeated_spans(anchor[mask], doc[mask], start[mask], t.column(4).filter(t.column(4).is_valid()).to_pylist()))
-            return _batch("doc_id a b", *(np.concatenate(x) for x in zip(*parts, strict=True)))
+            anchor, doc, start = (t.column(i).to_numpy() for i in range(3))
+            return _batch("doc_id a b", *repeated_spans(anchor, doc, start, t.column(3).to_pylist()))
 
         for t in _groups(batches, 0):
             for part in _slices(t):
@@ -313,8 +364,10 @@ def covered_spans(docs: DataFrame) -> DataFrame:
         if waiting:
             yield done()
 
-    rows = _segments(docs, shared_anchors(docs)).repartition("route").sortWithinPartitions("anchor").drop("route")
-    found = rows.mapInArrow(run, "doc_id long, a long, b long")
+    compared = _compared(_segments(docs, shared_anchors(docs)))
+    wanted = compared.where("anchor is not null").groupBy("doc_id").agg(F.collect_list(F.struct("a", "b", "anchor")).alias("wanted"))
+    rows = _cut_out(docs, wanted).repartition("anchor").sortWithinPartitions("anchor")
+    found = compared.where("anchor is null").select("doc_id", "a", "b").union(rows.mapInArrow(run, "doc_id long, a long, b long"))
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
