@@ -7,20 +7,38 @@ from pyspark.sql import DataFrame, SparkSession
 from citewright.llm.common import stage
 from citewright.llm.exact_dedup import keep_distinct
 from citewright.llm.mixing import mix_documents
+from citewright.llm.ngram_join import keep_one_of_each
+from citewright.llm.pieces import encode
+from citewright.llm.toxicity import keep_clean
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id stays."""
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't predicted to be toxic, by a model of this corpus and its labels."""
+    return keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest doc_id."""
     return keep_distinct(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the row with the smallest doc_id."""
+    return keep_one_of_each(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the weighted mix of their sources takes them."""
     return mix_documents(docs)
 
 
-STAGES = [("exact_dedup", exact), ("mixing", mixing)]
-#: Trained scores, similarity joins and tokenization aren't SQL; tests use brute force instead.
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All columns of the documents and the piece ids of their texts."""
+    return encode(docs)
+
+
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("pieces", pieces)]
+#: A trained score, a similarity join and tokenization aren't SQL; tests/llm has brute-force versions.
 ORACLE_SQL = None
 
 
