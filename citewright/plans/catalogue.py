@@ -1,4 +1,432 @@
-"""Registry of the bibliography queries."""
+"""Registry of the bibliography queries and of their SQL twins."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import citation, text
+from ..operators import evidence, flow, resolve, segment, workspace
+from .tables import LINES_SQL, REFS_SQL, cited, document_lines, refs, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, views: str = ""):
+    """Register the function under its name, and its SQL over the named views."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = f"WITH {views} {sql}" if views else sql
+        return f
+
+    return register
+
+
+# --- scalar functions ---------------------------------------------------------------------------
+
+
+@query(r"""
+    WITH r AS (SELECT p_partkey, CASE p_partkey % 5
+        WHEN 0 THEN 'https://doi.org/10.1234/AbC%2F' || p_partkey WHEN 1 THEN ' doi: 10.1234/x+y' || p_partkey || ').'
+        WHEN 2 THEN 'DOI:10.12/short' || p_partkey WHEN 3 THEN 'http://dx.doi.org/10.98765/Q(' || p_partkey || ');' ELSE '10.5555/' || p_partkey || '%zz' END AS raw FROM part),
+    b AS (SELECT *, regexp_replace(regexp_replace(trim(raw), '^doi:\s*', '', 'i'), '^https?://(dx\.)?doi\.org/', '', 'i') AS bare FROM r),
+    n AS (SELECT p_partkey, regexp_replace(trim(replace(bare, '%2F', '/')), '[.,;:)\]}]+$', '') AS doi FROM b)
+    SELECT p_partkey, doi, regexp_matches(doi, '^10\.[0-9]{4,9}/\S+$') AS valid, lower(doi) AS doi_key FROM n""")
+def doi_normalize(spark, sf):
+    k, part = F.col("p_partkey").cast("string"), F.col("p_partkey") % 5
+    raw = (
+        F.when(part == 0, F.concat(F.lit("https://doi.org/10.1234/AbC%2F"), k)).when(part == 1, F.concat(F.lit(" doi: 10.1234/x+y"), k, F.lit(").")))
+        .when(part == 2, F.concat(F.lit("DOI:10.12/short"), k)).when(part == 3, F.concat(F.lit("http://dx.doi.org/10.98765/Q("), k, F.lit(");"))).otherwise(F.concat(F.lit("10.5555/"), k, F.lit("%zz")))
+    )
+    rows = table(spark, sf, "part").select("p_partkey", text.normalize_doi(raw).alias("doi"))
+    return rows.select("p_partkey", "doi", text.valid_doi(F.col("doi")).alias("valid"), text.doi_key(F.col("doi")).alias("doi_key"))
+
+
+@query(r"""
+    SELECT doc_id, md5(lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g'))) AS compact_key,
+           md5(replace(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', '', 'g'), 'ß', 'ss')) AS folded_key,
+           md5(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'))) AS spaced_key FROM documents""")
+def title_keys(spark, sf):
+    t = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", *[F.md5(f(t)).alias(f.__name__) for f in (text.compact_key, text.folded_key, text.spaced_key)])
+
+
+@query("""SELECT paper_id, position, list_filter(regexp_extract_all(citation, '[0-9]+'), lambda x: length(x) = 4 AND x BETWEEN '1800' AND '2099') AS years FROM cited""", REFS_SQL)
+def year_tokens(spark, sf):
+    return cited(spark, sf).select("paper_id", "position", text.years(F.col("citation")).alias("years"))
+
+
+_URL = """CASE page_id % 7 WHEN 1 THEN replace(url, '://', '://user:pw@') WHEN 2 THEN 'http://10.0.0.' || CAST(page_id AS {s}) || '/x' WHEN 3 THEN 'https://localhost/' || CAST(page_id AS {s})
+    WHEN 4 THEN 'ftp://host.example/' || CAST(page_id AS {s}) WHEN 5 THEN 'http://host.example:8080/#a' WHEN 6 THEN 'http://host.example:443/p#' || CAST(page_id AS {s}) ELSE url END"""
+
+
+@query(rf"""
+    WITH u AS (SELECT page_id, {_URL.format(s="VARCHAR")} AS url FROM pages),
+    h AS (SELECT *, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:@\s\[\]]+)(:[0-9]*)?(?:[/?#]|$)', 1)) AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#:@\s\[\]]+(?::([0-9]*))?(?:[/?#]|$)', 1) AS port FROM u)
+    SELECT page_id, CASE WHEN length(url) <= 4000 AND regexp_matches(url, '^https?://', 'i') AND NOT regexp_matches(url, '\s') AND host <> '' AND port IN ('', '80', '443')
+        AND host <> 'localhost' AND NOT regexp_matches(host, '^(10|127|0)\.|^192\.168\.|^169\.254\.|^172\.(1[6-9]|2[0-9]|3[01])\.') THEN regexp_replace(url, '#.*$', '') END AS safe FROM h""")
+def url_safety(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.safe_url(F.expr(_URL.format(s="STRING"))).alias("safe"))
+
+
+@query("""SELECT p_partkey, 'https://scholar.google.com/scholar?q=' || replace(p_name, ' ', '+') AS url,
+    CASE WHEN p_size % 3 = 0 THEN least(p_size * 40, 300) END AS retry_after, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS BIGINT) END AS id FROM part""")
+def request_fields(spark, sf):
+    size = F.col("p_size").cast("string")
+    return table(spark, sf, "part").select(
+        "p_partkey", text.scholar_url(F.col("p_name")).alias("url"),
+        text.retry_after(F.when(F.col("p_size") % 3 == 0, (F.col("p_size") * 40).cast("string")).otherwise("soon")).alias("retry_after"),
+        text.strict_integer(F.when(F.col("p_size") % 2 == 0, size).otherwise(F.concat(size, F.lit(".0")))).alias("id"),
+    )
+
+
+# --- segmentation and coverage --------------------------------------------------------------------
+
+
+@query("SELECT paper_id, md5(key) AS key, n_pages FROM heads", LINES_SQL)
+def running_headers(spark, sf):
+    return segment.running_headers(document_lines(spark, sf)).withColumn("key", F.md5("key"))
+
+
+@query("SELECT k.page_no, count(*) AS lines, count(*) FILTER (WHERE h.key IS NULL) AS kept FROM keyed k LEFT JOIN heads h USING (paper_id, key) GROUP BY k.page_no", LINES_SQL)
+def header_filtered_lines(spark, sf):
+    lines = document_lines(spark, sf)
+    kept = segment.without_headers(lines).groupBy("page_no").agg(F.count("*").alias("kept"))
+    return lines.groupBy("page_no").agg(F.count("*").alias("lines")).join(kept, "page_no", "left").fillna(0, ["kept"])
+
+
+@query("""e AS (SELECT paper_id, number, arg_min(citation, position) AS entry FROM cited GROUP BY ALL),
+    a AS (SELECT paper_id FROM e GROUP BY paper_id HAVING min(number) = 1 AND count(*) * 4 >= max(number) * 3)
+    SELECT paper_id, number, entry FROM e SEMI JOIN a USING (paper_id)""", REFS_SQL + ",")
+def numbered_entries(spark, sf):
+    rows = cited(spark, sf)
+    # a printed entry is two lines: its label and authors, then the rest
+    head = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), F.substring_index("citation", ", ", 1), F.lit(","))
+    tail = F.expr("substring(citation, length(substring_index(citation, ', ', 1)) + 3)")
+    lines = rows.select("paper_id", F.explode(F.array(F.struct((F.col("position") * 2).alias("line_no"), head.alias("line")), F.struct((F.col("position") * 2 + 1).alias("line_no"), tail.alias("line")))).alias("l"))
+    return segment.numbered_entries(lines.select("paper_id", "l.*"))
+
+
+@query("""g AS (SELECT paper_id, max(number) AS expected, count(DISTINCT number) AS found, list(DISTINCT number) AS seen FROM refs GROUP BY paper_id)
+    SELECT paper_id, expected, CAST(found AS INT) AS found, list_filter(range(1, expected + 1), lambda x: NOT list_contains(seen, x)) AS gaps FROM g WHERE found < expected""", REFS_SQL + ",")
+def number_gaps(spark, sf):
+    return segment.number_gaps(refs(spark, sf))
+
+
+@query("""SELECT paper_id, max(number) AS expected, count(DISTINCT number) AS labels, count(*) AS n_rows, count(*) FILTER (WHERE part % 4 <> 0) AS titles, count(*) AS with_authors,
+    count(DISTINCT number) = max(number) AND count(*) = max(number) AS complete FROM refs GROUP BY paper_id""", REFS_SQL)
+def extraction_diagnostics(spark, sf):
+    rows = refs(spark, sf).withColumn("title", F.when(F.col("part") % 4 != 0, F.col("title")).otherwise("")).withColumn("authors", F.array("family"))
+    return segment.diagnostics(rows)
+
+
+@query("SELECT paper_id, position, CASE WHEN part % 4 = 0 THEN '' ELSE title END AS title, year, 'A. ' || family AS authors, lower(doi) AS doi FROM cited", REFS_SQL)
+def citation_fields(spark, sf):
+    """The parser recovers the columns that the citations were printed from, also where the title was left out."""
+    rows = cited(spark, sf)
+    untitled = F.expr("replace(citation, title || ', ', '')")
+    printed = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), F.when(F.col("part") % 4 == 0, untitled).otherwise(F.col("citation")), F.coalesce(F.concat(F.lit(" doi:"), F.col("doi"), F.lit(".")), F.lit("")))
+    # equal citations are parsed once
+    parsed = rows.withColumn("printed", printed).select("printed").distinct().withColumn("f", citation.citation_fields("printed"))
+    out = rows.withColumn("printed", printed).join(parsed, "printed")
+    return out.select("paper_id", "position", "f.title", "f.year", F.array_join("f.authors", "; ").alias("authors"), F.lower("f.doi").alias("doi"))
+
+
+@query("SELECT part AS paper_id, number, count(*) AS citations FROM refs JOIN part ON part = p_partkey WHERE p_size < 25 AND number <= 4 GROUP BY ALL", REFS_SQL)
+def citation_counts(spark, sf):
+    links = refs(spark, sf).select(F.col("part").alias("paper_id"), "number")
+    small = table(spark, sf, "part").where("p_size < 25").select(F.col("p_partkey").alias("paper_id"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("number"))
+    return segment.citation_counts(links, small)
+
+
+@query("""SELECT paper_id, CAST(n AS INT) AS number, count(*) AS markers FROM (SELECT paper_id, unnest(list_concat([number], range(number + 2, number + 5))) AS n FROM refs) GROUP BY ALL""", REFS_SQL)
+def citation_markers(spark, sf):
+    n = F.col("number")
+    body = F.concat(F.lit("as shown in ["), n.cast("string"), F.lit(", "), (n + 2).cast("string"), F.lit("-"), (n + 4).cast("string"), F.lit("] before"))
+    rows = segment.explode_markers(refs(spark, sf).select("paper_id", F.lit(1).alias("page"), body.alias("text")))
+    return rows.groupBy("paper_id", "number").agg(F.count("*").alias("markers"))
+
+
+@query("""c AS (SELECT part AS paper_id, number, flag || status || CAST(CAST(quantity AS INT) % 7 AS VARCHAR) AS text, min(paper_id) AS page FROM refs GROUP BY 1, 2, 3),
+    k AS (SELECT *, row_number() OVER (PARTITION BY paper_id, number ORDER BY page, text) AS rank FROM c)
+    SELECT paper_id, number, rank, page, text FROM k WHERE rank <= 3""", REFS_SQL + ",")
+def citation_contexts_top3(spark, sf):
+    snippet = F.concat("flag", "status", (F.col("quantity").cast("int") % 7).cast("string"))
+    rows = refs(spark, sf).select(F.col("part").alias("paper_id"), "number", F.col("paper_id").alias("page"), F.lit(0).alias("position"), snippet.alias("text"))
+    return segment.first_contexts(rows)
+
+
+# --- resolution ------------------------------------------------------------------------------------
+
+_WORKS_SQL = REFS_SQL + """, works AS (
+    SELECT p_partkey AS work_id, 'crossref' AS provider, 1 AS rank, upper('10.' || CAST(1000 + p_partkey % 9000 AS VARCHAR) || '/Part.' || CAST(p_partkey AS VARCHAR)) AS wdoi, p_retailprice AS weight FROM part WHERE p_partkey % 2 = 0
+    UNION ALL SELECT p_partkey, 'openalex', 2, 'https://doi.org/10.' || CAST(1000 + p_partkey % 9000 AS VARCHAR) || '/Part.' || CAST(p_partkey AS VARCHAR), p_retailprice FROM part WHERE p_partkey % 3 = 0
+    UNION ALL SELECT p_partkey, 'semanticscholar', 3, '10.' || CAST(1000 + p_partkey % 9000 AS VARCHAR) || '/part.' || CAST(p_partkey AS VARCHAR), p_retailprice FROM part WHERE p_partkey % 7 = 0)"""
+
+
+def _works(spark, sf) -> DataFrame:
+    doi = F.concat(F.lit("10."), (F.lit(1000) + F.col("p_partkey") % 9000).cast("string"), F.lit("/Part."), F.col("p_partkey").cast("string"))
+    part = table(spark, sf, "part")
+    one = lambda every, name, rank, form: part.where(F.col("p_partkey") % every == 0).select(F.col("p_partkey").alias("work_id"), F.lit(name).alias("provider"), F.lit(rank).alias("rank"), form.alias("doi"), F.col("p_retailprice").alias("weight"))
+    return one(2, "crossref", 1, F.upper(doi)).union(one(3, "openalex", 2, F.concat(F.lit("https://doi.org/"), doi))).union(one(7, "semanticscholar", 3, F.lower(doi)))
+
+
+@query("""SELECT r.paper_id, r.position, w.work_id, w.provider FROM cited r LEFT JOIN works w ON lower(r.doi) = lower(replace(w.wdoi, 'https://doi.org/', ''))""", _WORKS_SQL)
+def doi_join_resolve(spark, sf):
+    return resolve.join_by_doi(cited(spark, sf), _works(spark, sf)).select("paper_id", "position", "work_id", "provider")
+
+
+@query("""m AS (SELECT p_partkey AS ref_id, k AS rank, CASE WHEN (p_partkey + k) % 3 = 0 THEN '' ELSE p_name || ' ' || k END AS title, CASE WHEN k = 2 THEN 'B. Two' END AS authors,
+        CASE WHEN (p_partkey + k) % 2 = 0 THEN CAST(1990 + k AS VARCHAR) END AS year, CASE WHEN k <> 3 THEN 'arx' || k END AS arxiv_id,
+        CASE k % 2 WHEN 0 THEN 'openalex' ELSE 'crossref' END AS source FROM part, (SELECT unnest([1, 2, 3, 4]) AS k))
+    SELECT ref_id, arg_min(title, rank) FILTER (WHERE title <> '') AS title, arg_min(authors, rank) FILTER (WHERE authors <> '') AS authors, arg_min(year, rank) FILTER (WHERE year <> '') AS year,
+        arg_max(arxiv_id, rank) FILTER (WHERE arxiv_id IS NOT NULL) AS arxiv_id, ['crossref', 'openalex'] AS sources, 'verified' AS title_status FROM m GROUP BY ref_id""".replace("m AS", "WITH m AS", 1))
+def precedence_merge(spark, sf):
+    k, part = F.col("k"), F.col("p_partkey")
+    rows = table(spark, sf, "part").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    rows = rows.select(
+        part.alias("ref_id"), k.alias("rank"), F.when((part + k) % 3 == 0, "").otherwise(F.concat("p_name", F.lit(" "), k.cast("string"))).alias("title"), F.when(k == 2, "B. Two").alias("authors"),
+        F.when((part + k) % 2 == 0, (k + 1990).cast("string")).alias("year"), F.when(k != 3, F.concat(F.lit("arx"), k.cast("string"))).alias("arxiv_id"), F.when(k % 2 == 0, "openalex").otherwise("crossref").alias("source"),
+        *[F.lit(None).cast("string").alias(c) for c in ("doi", "abstract", "url")],
+    )
+    return resolve.merge_precedence(rows).drop("doi", "abstract", "url")
+
+
+@query("""s AS (SELECT p_partkey, bool_or(provider <> 'crossref') AS opened, max(CASE WHEN p_size > 40 THEN 1 ELSE 0 END) AS pdf FROM part LEFT JOIN works ON p_partkey = work_id GROUP BY p_partkey)
+    SELECT CASE WHEN pdf = 1 THEN 'pdf' WHEN coalesce(opened, false) THEN 'open_record' ELSE 'scholar' END AS category, count(*) AS n FROM s GROUP BY 1""", _WORKS_SQL + ",")
+def access_category(spark, sf):
+    sources = _works(spark, sf).groupBy(F.col("work_id").alias("p_partkey")).agg(F.collect_set("provider").alias("sources"))
+    rows = table(spark, sf, "part").join(sources, "p_partkey", "left")
+    category = resolve.access_category(F.when(F.col("p_size") > 40, F.lit("url")), F.coalesce("sources", F.expr("cast(array() as array<string>)")))
+    return rows.groupBy(category.alias("category")).agg(F.count("*").alias("n"))
+
+
+@query("""c AS (SELECT part AS paper_id, paper_id * 100 + position AS position, 'https://host' || CAST(supp % 4 AS VARCHAR) || '.example/' || CAST(part AS VARCHAR) AS url,
+        [NULL, 'acceptedVersion', 'publishedVersion', 'submittedVersion'][CAST(number % 4 AS INT) + 1] AS version, CASE WHEN number % 3 = 0 THEN 'cc-by' END AS license FROM cited),
+    o AS (SELECT paper_id, url, min(position) AS position, coalesce(arg_min(version, position) FILTER (WHERE version IS NOT NULL), 'unknown') AS version, arg_min(license, position) FILTER (WHERE license IS NOT NULL) AS license FROM c GROUP BY ALL)
+    SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY list_position(['publishedVersion', 'acceptedVersion', 'submittedVersion', 'unknown'], version), position) AS rank FROM o""", REFS_SQL + ",")
+def pdf_locations_best(spark, sf):
+    version = F.get(F.array(F.lit(None), F.lit("acceptedVersion"), F.lit("publishedVersion"), F.lit("submittedVersion")), (F.col("number") % 4).cast("int"))
+    rows = cited(spark, sf).select(
+        F.col("part").alias("paper_id"), (F.col("paper_id") * 100 + F.col("position")).alias("position"), version.alias("version"), F.when(F.col("number") % 3 == 0, "cc-by").alias("license"),
+        F.concat(F.lit("https://host"), (F.col("supp") % 4).cast("string"), F.lit(".example/"), F.col("part").cast("string"), F.lit("#page="), F.col("number").cast("string")).alias("url"),
+    )
+    return resolve.best_copies(rows)
+
+
+@query()
+def fuzzy_title_match(spark, sf):
+    """Every benchmark item finds itself again from a title with letters lost; the ratio isn't SQL."""
+    items = table(spark, sf, "benchmark")
+    lost = F.regexp_replace(F.left("text", F.lit(120)), "th(?=e)", "t")
+    return resolve.fuzzy_titles(items.select(F.col("item_id").alias("ref_id"), lost.alias("title")), items.select(F.col("item_id").alias("work_id"), F.left("text", F.lit(120)).alias("title")))
+
+
+@query("""w AS (SELECT DISTINCT part AS work_id, year, family, volume, first_page FROM refs WHERE part % 10 = 3)
+    SELECT r.paper_id, r.position, w.work_id FROM cited r JOIN w ON r.year = w.year AND r.family = w.family AND r.volume = w.volume AND r.first_page = w.first_page AND w.volume <> w.year""", REFS_SQL + ",")
+def coordinates_match(spark, sf):
+    works = refs(spark, sf).where("part % 10 = 3").select(F.col("part").alias("work_id"), "year", "family", "volume", "first_page").distinct()
+    rows = cited(spark, sf).select("paper_id", "position", "year", "family", "citation")
+    return resolve.match_coordinates(rows, works).select("paper_id", "position", "work_id")
+
+
+@query(r"""SELECT p_partkey, n AS identities, n > 1 AS ambiguous FROM (SELECT p_partkey, count(*) OVER (PARTITION BY lower(regexp_replace(p_name, '[^\p{L}\p{N}]+', '', 'g'))) AS n FROM part)""")
+def ambiguous_identity(spark, sf):
+    works = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("title"), F.col("p_partkey").cast("string").alias("doi"))
+    return resolve.ambiguous_titles(works).select("p_partkey", "identities", "ambiguous")
+
+
+@query(r"""k AS (SELECT paper_id, CAST(number % 3 AS INT) AS source_rank, position, doi, title, citation AS text, coalesce(lower(doi), lower(regexp_replace(title, '[^\p{L}\p{N}]+', '', 'g'))) AS key FROM cited),
+    g AS (SELECT paper_id, key, min((source_rank, position)) AS place, max(doi) AS doi, arg_min(title, (source_rank, position)) AS title, arg_max(text, (length(text), -source_rank, -position)) AS text FROM k GROUP BY ALL)
+    SELECT paper_id, number, doi, title, text FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY place) AS number FROM g) WHERE number <= 4""", REFS_SQL + ",")
+def merge_references(spark, sf):
+    rows = cited(spark, sf).select("paper_id", (F.col("number") % 3).alias("source_rank"), "position", "doi", "title", F.col("citation").alias("text"))
+    return resolve.merge_references(rows, limit=4)
+
+
+@query("""SELECT item_id AS work_id, md5(text) AS abstract FROM benchmark""")
+def inverted_index_roundtrip(spark, sf):
+    texts = table(spark, sf, "benchmark").select(F.col("item_id").alias("work_id"), "text")
+    return resolve.rebuild_abstract(resolve.invert(texts)).withColumn("abstract", F.md5("abstract"))
+
+
+@query("""e AS (SELECT part AS work_id, paper_id AS citing_id, count(*) AS cited_by_count FROM refs GROUP BY ALL)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY cited_by_count DESC, citing_id) AS rank FROM e) WHERE rank <= 20""", REFS_SQL + ",")
+def citing_topk(spark, sf):
+    edges = refs(spark, sf).groupBy(F.col("part").alias("work_id"), F.col("paper_id").alias("citing_id")).agg(F.count("*").alias("cited_by_count"))
+    return resolve.top_citing(edges)
+
+
+# --- workspaces ------------------------------------------------------------------------------------
+
+
+@query(r"""s AS (SELECT o_custkey AS owner, paper_id AS session_id, lower(doi) AS doi, trim(regexp_replace(lower(title), '[^\p{L}\p{N}]+', ' ', 'g')) AS title FROM refs JOIN orders ON paper_id = o_orderkey),
+    u AS (SELECT owner, title, min(doi) AS only_doi FROM s WHERE doi IS NOT NULL AND length(title) >= 15 GROUP BY ALL HAVING count(DISTINCT doi) = 1),
+    v AS (SELECT owner, session_id, coalesce(doi, only_doi, title) AS key, min(title) AS title FROM s LEFT JOIN u USING (owner, title) WHERE doi IS NOT NULL OR length(title) >= 15 GROUP BY 1, 2, 3)
+    SELECT owner, key, count(*) AS sessions, min(title) AS title FROM v GROUP BY 1, 2 HAVING count(*) >= 2""", REFS_SQL + ",")
+def shared_references(spark, sf):
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("paper_id"), F.col("o_custkey").alias("owner"))
+    rows = refs(spark, sf).join(orders, "paper_id").select("owner", F.col("paper_id").alias("session_id"), "doi", "title")
+    return workspace.shared_references(rows)
+
+
+@query("""SELECT owner, session_id, source_key FROM (SELECT o_custkey AS owner, o_orderkey AS session_id, o_orderpriority AS source_key,
+    row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1""")
+def unique_sessions(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("session_id"), F.col("o_orderdate").alias("saved_at"), F.col("o_orderpriority").alias("source_key"))
+    return workspace.unique_sessions(rows).drop("saved_at")
+
+
+@query("""k AS (SELECT p_name, min(p_partkey) AS place, coalesce(min(p_partkey) FILTER (WHERE p_partkey % 3 <> 0), min(p_partkey)) AS best FROM part GROUP BY p_name),
+    r AS (SELECT place, row_number() OVER (ORDER BY place) AS n, p.* FROM k JOIN part p ON p.p_partkey = k.best)
+    SELECT place AS "at", '@' || CASE WHEN p_size > 25 THEN 'article' ELSE 'misc' END || '{ref' || n || ',' || chr(10) || '  title = {' || p_name || '},' || chr(10) || '  author = {A. \\& B\\_' || p_partkey || '},' || chr(10) || '  year = {' || (1990 + p_size) || '},' || chr(10)
+        || CASE WHEN p_size > 25 THEN '  journal = {J. 100\\%},' || chr(10) ELSE '' END || CASE WHEN p_partkey % 3 <> 0 THEN '  doi = {10.1000/' || p_partkey || '_x},' || chr(10) ELSE '' END || '}' AS entry FROM r""".replace("k AS", "WITH k AS", 1))
+def bibtex_entries(spark, sf):
+    k = F.col("p_partkey").cast("string")
+    rows = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("position"), F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("10.1000/"), k, F.lit("_x"))).alias("doi"), F.col("p_name").alias("title"),
+        F.concat(F.lit("A. & B_"), k).alias("authors"), (F.col("p_size") + 1990).cast("string").alias("year"), F.when(F.col("p_size") > 25, "J. 100%").alias("journal"),
+    )
+    return workspace.bibtex(rows)
+
+
+@query("""SELECT owner, session_id FROM (SELECT user_id AS owner, event_id AS session_id, row_number() OVER w AS nth, sum(size) OVER (w ROWS UNBOUNDED PRECEDING) AS used
+    FROM (SELECT *, CAST(value * 100 AS BIGINT) AS size FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)) WHERE nth <= 50 AND (used <= 20000 OR nth = 1)""")
+def retention(spark, sf):
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("owner"), F.col("event_id").alias("session_id"), F.col("ts").alias("saved_at"), F.round(F.col("value") * 100).cast("long").alias("bytes"))
+    return workspace.retain(rows, room=20_000).select("owner", "session_id")
+
+
+@query("""f AS (SELECT p_brand, min(p_partkey) AS first FROM part GROUP BY 1), g AS (SELECT p_brand, row_number() OVER (ORDER BY first) - 1 AS group_no FROM f),
+    n AS (SELECT p_partkey AS paper_id, p_brand AS group_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS nth FROM part)
+    SELECT paper_id, group_id, group_no, group_no * 860 + (nth % 3) * 260 AS x, nth // 3 * 110 + 160 AS y FROM n JOIN g ON group_id = p_brand""".replace("f AS", "WITH f AS", 1))
+def graph_layout(spark, sf):
+    return workspace.layout(table(spark, sf, "part").select(F.col("p_partkey").alias("paper_id"), F.col("p_brand").alias("group_id"), F.col("p_partkey").alias("position")))
+
+
+# --- evidence ----------------------------------------------------------------------------------------
+
+
+@query("""WITH RECURSIVE o AS (SELECT source AS group_id, doc_id AS position, least(n_chars, 3000) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+    p AS (SELECT group_id, position, i, size AS used, 1 AS held, 0 AS batch FROM o WHERE i = 1
+      UNION ALL SELECT o.group_id, o.position, o.i, CASE WHEN p.used + o.size > 6000 OR p.held >= 4 THEN o.size ELSE p.used + o.size END,
+        CASE WHEN p.used + o.size > 6000 OR p.held >= 4 THEN 1 ELSE p.held + 1 END, p.batch + CASE WHEN p.used + o.size > 6000 OR p.held >= 4 THEN 1 ELSE 0 END
+      FROM p JOIN o ON o.group_id = p.group_id AND o.i = p.i + 1)
+    SELECT group_id, position, batch FROM p""")
+def pack_batches(spark, sf):
+    units = table(spark, sf, "documents").select(F.col("source").alias("group_id"), F.col("doc_id").alias("position"), F.least(F.col("n_chars"), F.lit(3000)).alias("size"))
+    return evidence.pack(units, 6000, 4)
+
+
+@query("""SELECT doc_id, CAST(least(600, 3000 // n) AS INT) AS room, md5(substr(text, 1, least(600, 3000 // n))) AS abstract FROM (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM documents)""")
+def abstract_budget(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.col("source").alias("request_id"), F.col("text").alias("abstract"))
+    return evidence.abstract_budget(rows).select("doc_id", "room", F.md5("abstract").alias("abstract"))
+
+
+@query("SELECT conv_id, turn, role, substr(text, 1, 600) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 4")
+def history_compact(spark, sf):
+    return evidence.last_messages(table(spark, sf, "conversations"))
+
+
+@query("SELECT doc_id, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 8 AS INT) AS batch FROM documents")
+def intent_batches(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.col("source").alias("request_id"), F.col("doc_id").alias("position"))
+    return evidence.fixed_batches(rows).select("doc_id", "batch")
+
+
+@query(r"""l AS (SELECT doc_id, line, position FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS position FROM documents)),
+    s AS (SELECT *, least(3, len(regexp_extract_all(lower(line), '(?:^|[^\p{L}\p{N}])this(?:$|[^\p{L}\p{N}])'))) + least(3, len(regexp_extract_all(lower(line), '(?:^|[^\p{L}\p{N}])les(?:$|[^\p{L}\p{N}])'))) AS hits FROM l)
+    SELECT doc_id AS source_id, position, hits * 10 + CASE WHEN length(line) <= 80 AND NOT regexp_matches(line, '[.!?,;:]\s*$') THEN 3 ELSE 0 END AS score,
+      hits > 0 OR coalesce(lag(hits) OVER w, 0) > 0 OR coalesce(lead(hits) OVER w, 0) > 0 AS chosen FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY position)""".replace("l AS", "WITH l AS", 1))
+def excerpt_rank(spark, sf):
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), F.posexplode(F.split("text", "\n")).alias("position", "text"))
+    return evidence.score_blocks(rows, ["this", "les"]).select("source_id", "position", "score", "chosen")
+
+
+@query("""p AS (SELECT paper_id, number, arg_min(citation, position) AS entry FROM cited GROUP BY ALL),
+    m AS (SELECT paper_id, number, min(title) AS title FROM refs WHERE part % 3 <> 0 GROUP BY ALL HAVING count(DISTINCT title) = 1)
+    SELECT paper_id, number, coalesce(title, entry) AS title, title IS NULL AS fallback FROM p LEFT JOIN m USING (paper_id, number)""", REFS_SQL + ",")
+def ai_recovery(spark, sf):
+    printed = cited(spark, sf).groupBy("paper_id", "number").agg(F.min_by("citation", "position").alias("entry"))
+    answers = refs(spark, sf).where("part % 3 <> 0").select("paper_id", "number", "title")
+    answers = answers.union(answers.select("paper_id", (F.col("number") + 100).alias("number"), "title"))  # numbers nobody printed
+    return evidence.recover_omitted(printed, answers).drop("entry")
+
+
+@query("""a AS (SELECT paper_id, position, CASE WHEN part % 3 <> 0 THEN position * 2 END AS number FROM cited),
+    f AS (SELECT paper_id, k, row_number() OVER (PARTITION BY paper_id ORDER BY k) AS nth FROM (SELECT paper_id, unnest(range(1, 2 * count(*) + 1)) AS k FROM a GROUP BY paper_id) x
+          ANTI JOIN a ON x.paper_id = a.paper_id AND x.k = a.number),
+    n AS (SELECT *, row_number() OVER (PARTITION BY paper_id, number IS NULL ORDER BY position) AS nth FROM a)
+    SELECT n.paper_id, n.position, CAST(coalesce(n.number, f.k) AS INT) AS id FROM n LEFT JOIN f ON n.paper_id = f.paper_id AND n.nth = f.nth""", REFS_SQL + ",")
+def id_allocation(spark, sf):
+    rows = cited(spark, sf).select("paper_id", "position", F.when(F.col("part") % 3 != 0, F.col("position") * 2).alias("number"))
+    return evidence.allocate_ids(rows).select("paper_id", "position", F.col("id").cast("int").alias("id"))
+
+
+@query("""SELECT vec_id AS paper_id, vec_id % 10 <> 0 AS has_evidence, CASE WHEN vec_id % 10 <> 0 AND vec_id % 3 <> 0 AND vec_id % 7 <> 0 THEN label ELSE -1 END AS theme_id FROM embeddings""")
+def theme_partition(spark, sf):
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("paper_id"), F.col("label").alias("theme_id"))
+    members = rows.where("paper_id % 3 <> 0")
+    members = members.union(members.where("paper_id % 7 = 0").select("paper_id", F.col("theme_id") + 1))  # members of two themes
+    return evidence.partition_check(members, rows.select("paper_id", (F.col("paper_id") % 10 != 0).alias("has_evidence")))
+
+
+# --- flow --------------------------------------------------------------------------------------------
+
+_CALLS_SQL = """c AS (SELECT event_type AS host, event_id AS call_id, CAST(user_id AS DOUBLE) * 0 + CAST(event_id // 4 AS DOUBLE) AS arrival, CAST(1 + event_id % 5 AS DOUBLE) AS duration FROM events)"""
+
+
+@query(f"""WITH RECURSIVE {_CALLS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY arrival, call_id) AS i FROM c),
+    s AS (SELECT host, call_id, i, arrival AS start, duration FROM o WHERE i = 1
+      UNION ALL SELECT o.host, o.call_id, o.i, greatest(o.arrival, s.start + greatest(3.0, s.duration)), o.duration FROM s JOIN o ON o.host = s.host AND o.i = s.i + 1)
+    SELECT host, call_id, start FROM s""")
+def pacing_schedule(spark, sf):
+    calls = table(spark, sf, "events").select(F.col("event_type").alias("host"), F.col("event_id").alias("call_id"), F.floor(F.col("event_id") / 4).cast("double").alias("arrival"), (F.col("event_id") % 5 + 1).cast("double").alias("duration"))
+    return flow.pacing(calls, 3.0).select("host", "call_id", "start")
+
+
+@query("""SELECT user_id AS host, event_id AS call_id, coalesce(max(event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS skipped FROM events""")
+def circuit_breaker(spark, sf):
+    calls = table(spark, sf, "events").select(F.col("user_id").alias("host"), F.col("event_id").alias("call_id"), "ts", (F.col("event_type") == "error").alias("blocked"))
+    return flow.breaker(calls).select("host", "call_id", "skipped")
+
+
+@query("SELECT event_id AS call_id, row_number() OVER (PARTITION BY event_type || props ORDER BY ts, event_id) = 1 AS sent FROM events")
+def request_memo(spark, sf):
+    calls = table(spark, sf, "events").select(F.concat("event_type", "props").alias("key"), F.col("event_id").alias("call_id"), "ts")
+    return flow.memo(calls).select("call_id", "sent")
+
+
+@query("SELECT event_id AS call_id, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 1800000000, false) AS hit FROM events")
+def ttl_cache(spark, sf):
+    calls = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("call_id"), "ts")
+    return flow.ttl_cache(calls).select("call_id", "hit")
+
+
+@query("SELECT user_id AS request_id, count(*) AS requests, CAST(sum(length(props)) AS BIGINT) AS characters, max(length(props)) AS largest FROM events GROUP BY 1")
+def usage_meter(spark, sf):
+    return flow.usage(table(spark, sf, "events").select(F.col("user_id").alias("request_id"), F.length("props").alias("size")))
+
+
+# --- corpus ------------------------------------------------------------------------------------------
+
+
+@query("SELECT min(doc_id) AS doc_id, sha256(text) AS sha, count(*) AS files FROM documents GROUP BY text")
+def corpus_dedup(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
+    return rows.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("files"))
+
+
+@query("""c AS (SELECT year, CASE WHEN part % 2 = 0 THEN 'pdf' WHEN part % 3 = 0 THEN 'open_record' ELSE 'scholar' END AS category FROM refs)
+    SELECT category, year, count(*) AS n FROM c GROUP BY ROLLUP (category, year)""", REFS_SQL + ",")
+def openness_rollup(spark, sf):
+    """An extension: openness by category and year, with subtotals."""
+    rows = refs(spark, sf).select("year", F.when(F.col("part") % 2 == 0, "pdf").when(F.col("part") % 3 == 0, "open_record").otherwise("scholar").alias("category"))
+    return rows.rollup("category", "year").agg(F.count("*").alias("n"))
