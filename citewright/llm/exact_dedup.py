@@ -134,9 +134,10 @@ def exact_dedup(docs: DataFrame, history: Column | None = None, doc_id: str = "d
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: one for each distinct text, with all their columns."""
-    found = stage(exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "copies"), "kept")
-    keyed = docs.withColumn("_sha", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    out = keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_digest")), "left_semi")
+    found = stage(exact_dedup(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("digest").alias("kept_digest"), "copies"), "kept")
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"))
+    out = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("kept_digest")), "left_semi")
     if not found.where("copies > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "_sha"])
-    return out.select(*docs.columns)
+        out = out.dropDuplicates(["doc_id", "digest"])
+    return out.select("row.*")

@@ -106,9 +106,8 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, rounds: i
     Rows that repeat id, source and size share what is taken of them as evenly as whole
     copies allow, rounded up."""
     plan = mix_sources(docs, weights, rounds).where("taken > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(
-        F.ceil(F.sum(F.col("taken") / F.col("size")) / F.count("*")).cast("int").alias("_times")
-    )
-    keyed = docs.withColumn("_n", n_words())
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
-    return keyed.join(plan, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    times = F.ceil(F.sum(F.col("taken") / F.col("size")) / F.count("*")).cast("int")
+    plan = plan.groupBy(F.col("doc_id").alias("id"), F.col("source").alias("flow"), F.col("size").alias("words")).agg(times.alias("times"))
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", n_words().alias("n"))
+    on = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("flow")) & (F.col("n") == F.col("words"))
+    return keyed.join(plan, on).select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import flat, prefix_hashes, span_hashes
 
@@ -327,36 +327,40 @@ def _parts(b: pa.RecordBatch, at: int):
 
 
 def encode(docs: DataFrame, model_path: str = MODEL, kind: str = "bpe", text: str = "text", into: str = "pieces") -> DataFrame:
-    """All columns of ``docs`` and the piece ids of ``text``, as array<int> ``into``."""
+    """All columns of ``docs`` and the piece ids of ``text``, as array<int> ``into`` (replacing one of that name)."""
     shared = _shared(docs, model_path, kind)
-    at = docs.columns.index(text)
 
     def run(batches):
         for b in batches:
-            for part in _parts(b, at):
-                ids, counts = encode_batch(_encoders(shared), part.column(at))
+            for part in _parts(b, 1):
+                ids, counts = encode_batch(_encoders(shared), part.column(1))
                 offsets = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*b.schema.names, into])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["row", "found"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(into, ArrayType(IntegerType()))]))
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("text"))
+    out = rows.mapInArrow(run, StructType([rows.schema["row"], StructField("found", ArrayType(IntegerType()))]))
+    return out.select(*_others(docs, into), F.col("found").alias(into))
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL, kind: str = "bpe", pieces: str = "pieces", into: str = "decoded") -> DataFrame:
     """All columns of ``encoded`` and the text of its piece ids; a null list is an empty text."""
-    from pyspark.sql.types import StringType
-
     shared = _shared(encoded, model_path, kind)
-    at = encoded.columns.index(pieces)
 
     def run(batches):
         for b in batches:
-            lists = b.column(at)
+            lists = b.column(1)
             counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
             texts = decode_batch(shared.value, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, into])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["row", "found"])
+
+    rows = encoded.select(F.struct("*").alias("row"), F.col(pieces).alias("pieces"))
+    out = rows.mapInArrow(run, StructType([rows.schema["row"], StructField("found", StringType())]))
+    return out.select(*_others(encoded, into), F.col("found").alias(into))
+
 
-    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField(into, StringType())]))
+def _others(df: DataFrame, into: str) -> list:
+    return [F.col("row").getField(c).alias(c) for c in df.columns if c.lower() != into.lower()]
 
 
 def _shared(docs: DataFrame, path: str, kind: str):

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import chunks, flat, lower, powers, prefix_hashes
 
@@ -158,27 +159,25 @@ def _score(table: np.ndarray | None, buf: np.ndarray, offs: np.ndarray) -> np.nd
 
 
 def scored(docs: DataFrame, table: np.ndarray | None) -> DataFrame:
-    """All columns of ``docs`` and ``score``, the probability of label 1 (name ends the schema)."""
+    """(row, score): every row of ``docs`` as a struct, and the probability of label 1."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    at = docs.columns.index("text")
 
     def run(batches):
         for b in batches:
-            buf, offs = flat(b.column(at))
+            buf, offs = flat(b.column(1))
             score = [_score(shared.value, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in chunks(offs)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(score) if score else np.zeros(0))], names=[*b.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(score) if score else np.zeros(0))], names=["row", "score"])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    out = scored(docs.select("doc_id", F.col("text").cast("string").alias("text")), fit(docs, labels))
-    return out.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    out = scored(docs.select("doc_id", "text"), fit(docs, labels)).select("row.doc_id", "score")
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't predicted to be toxic."""
-    return scored(docs, fit(docs, labels)).where("_score < 0.5").drop("_score")
+    return scored(docs, fit(docs, labels)).where("score < 0.5").select("row.*")
