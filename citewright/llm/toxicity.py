@@ -96,12 +96,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: dict[i
     y = bags.column("label").to_numpy()
     if len(np.unique(y)) < 2:
         return None
-    raw = bags.column("bag").combine_chunks()
-    packed, bounds = flat_words(raw)
-    count = (packed & np.uint32(0xFFFF)).astype(np.float32)
-    share = count / np.repeat(np.add.reduceat(np.append(count, 0), np.minimum(bounds[:-1], len(count))), np.diff(bounds))
+    packed, bounds = flat_words(bags.column("bag").combine_chunks())
+    del bags
     tilt = np.log(size[1] / size[0]) - np.log(y.sum() / (len(y) - y.sum()))  # back to the shares among all labels
-    table = train(bounds, (packed >> np.uint32(16)).astype(np.int32), share, y)
+    table = train(bounds, packed, y)
     table[-1] += tilt
     return table
 
@@ -114,8 +112,9 @@ def flat_words(bags: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return numbers[offs[0] : offs[-1]], offs - offs[0]
 
 
-def train(bounds: np.ndarray, bucket: np.ndarray, share: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 3) -> np.ndarray:
-    """Joint fit of embeddings and softmax weights; returns log-odds per bucket and the bias."""
+def train(bounds: np.ndarray, packed: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 3) -> np.ndarray:
+    """Joint fit of embeddings and softmax weights to bags of packed buckets and counts; gives the
+    log-odds per bucket and the bias. Only a mini-batch is ever unpacked."""
     rng = np.random.default_rng(seed)
     params = {"e": rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), "w": rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), "b": np.zeros(2, np.float32)}
     first = {k: np.zeros_like(v) for k, v in params.items()}
@@ -127,7 +126,8 @@ def train(bounds: np.ndarray, bucket: np.ndarray, share: np.ndarray, y: np.ndarr
             part = rows[lo : lo + 128]
             lengths = bounds[part + 1] - bounds[part]
             at = np.repeat(bounds[part] - np.append(0, np.cumsum(lengths)[:-1]), lengths) + np.arange(lengths.sum())
-            own, weight, text = bucket[at], share[at] * np.float32(SCALE), np.repeat(np.arange(len(part)), lengths)
+            text, count = np.repeat(np.arange(len(part)), lengths), (packed[at] & np.uint32(0xFFFF)).astype(np.float32)
+            own, weight = packed[at] >> np.uint32(16), count * np.float32(SCALE) / np.bincount(text, count, len(part))[text].astype(np.float32)
             used, back = np.unique(own, return_inverse=True)
             e = params["e"][used]
             h = np.stack([np.bincount(text, weight * e[back, k], len(part)) for k in range(DIM)], axis=1)
