@@ -5,6 +5,7 @@ smaller id. Every 50-byte window is dealt by its anchor, the least of its 33 has
 substrings; equal windows have equal anchors. Consecutive windows with one anchor are
 a segment of at most 82 bytes.
 
+0. Texts that a smaller document has as a whole go whole, and take no part in the following.
 1. Anchors that two documents share are found by one shuffle. A task sends an anchor once,
    however many of its documents hold it; those it has seen in two documents itself are known
    to be shared and are dealt by document instead.
@@ -32,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, mix, powers, prefix_hashes, span_hashes
+from .common import chunks, flat, mix, powers, prefix_hashes, span_hashes, stage
 
 LENGTH = 50
 KMER = 18
 _WINDOW = LENGTH - KMER + 1
 BLOCK = 1 << 20
+BROADCAST_ROWS = 1 << 19
 _LOW = np.uint64(63)
 
 
@@ -178,9 +180,19 @@ def _segments(docs: DataFrame, anchors: DataFrame) -> DataFrame:
             anchor, owner, h, start, size = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((owner, h, anchor))
             anchor, owner, h, start, size = (x[order] for x in (anchor, owner, h, start, size))
-            anchor = anchor | np.where(_least(owner, anchor, h) < owner, 2, 0)
-            order = np.lexsort((start, owner))
-            yield _batch("anchor doc_id hash start size", *(x[order] for x in (anchor, owner, h, start, size)))
+            known = _least(owner, anchor, h) < owner
+            order = np.lexsort((start, owner, known))
+            anchor, owner, h, start, size, known = (x[order] for x in (anchor, owner, h, start, size, known))
+            # known repeats need no comparison: what follows on from each other is one row
+            head = ~known
+            head[:1] = True
+            head[1:] |= (owner[1:] != owner[:-1]) | (start[1:] > (start + size)[:-1]) | ~known[:-1]
+            first = np.flatnonzero(head)
+            last = np.append(first[1:], len(head))[: len(first)] - 1
+            size = (start + size)[last] - start[first]
+            known = known[first]
+            anchor, h = np.where(known, 2, anchor[first]), np.where(known, 0, h[first])
+            yield _batch("anchor doc_id hash start size", anchor, owner[first], h, start[first], size)
 
     rows = docs.join(anchors, "doc_id", "left").select("doc_id", "text", "anchors")
     return rows.mapInArrow(run, "anchor long, doc_id long, hash long, start long, size long")
@@ -384,6 +396,17 @@ def _slices(t: pa.Table):
         lo = hi
 
 
+def exact_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, sha, n_bytes) of texts that a smaller document has too: all of their bytes go."""
+    rows = docs.where("doc_id is not null").select("doc_id", _sha(), F.octet_length("text").cast("long").alias("n_bytes")).where(F.col("n_bytes") >= LENGTH)
+    first = rows.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sha", "first")
+    return rows.join(first, "sha").where("doc_id > first").select("doc_id", "sha", "n_bytes")
+
+
+def _sha():
+    return F.unhex(F.sha2("text", 256)).alias("sha")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every row."""
 
@@ -408,6 +431,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 digests.append(sha256(kept[-1]).hexdigest())
             yield _batch("doc_id n_bytes n_removed n_spans kept_sha256 kept", b.column(0), np.diff(offs), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary()))
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = docs.join(covered_spans(docs), "doc_id", "left").select("doc_id", "text", "spans")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    copies = stage(exact_copies(docs), "copies")
+    few = copies.count() <= BROADCAST_ROWS  # beyond it, the anti-join is a shuffled one
+    gone = copies.select(F.col("doc_id").alias("_d"), F.col("sha").alias("_s"))
+    rest = docs.join(F.broadcast(gone) if few else gone, (F.col("doc_id") == F.col("_d")) & (_sha() == F.col("_s")), "left_anti")
+    rows = rest.join(covered_spans(rest), "doc_id", "left").select("doc_id", "text", "spans")
+    out = rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    empty = F.lit(sha256(b"").hexdigest())
+    return out.union(copies.select("doc_id", "n_bytes", "n_bytes", F.lit(1).cast("long"), empty, F.lit(b"").cast("binary")))
