@@ -105,3 +105,17 @@ def split_authors(c: Column) -> Column:
         F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat_ws(", ", F.element_at(acc, -1), x))),
     ).otherwise(F.concat(acc, F.array(x)))
     return F.slice(F.aggregate(parts, F.expr("cast(array() as array<string>)"), glue), 1, 40)
+
+
+def clip_label(c: Column, width: int = 27, least: int = 12) -> Column:
+    """A graph label of at most two lines of ``width`` characters, broken at the last blank behind ``least``."""
+    head = F.regexp_extract(c, rf"^(.{{{least},{width}}})(?:\s|$)", 1)
+    first = F.when(F.length(c) <= width, c).when(head != "", head).otherwise(F.left(c, F.lit(width)))
+    rest = F.trim(F.substring(c, F.length(first) + 1, F.length(c)))
+    second = F.when(F.length(rest) > width, F.concat(F.left(rest, F.lit(width - 1)), F.lit("…"))).otherwise(rest)
+    return F.when(rest == "", F.array(first)).otherwise(F.array(first, second))
+
+
+def secret_free(url: Column) -> Column:
+    """The address, or null where its query names a key, token or secret."""
+    return F.when(~F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit("")).rlike(r"(?i)(^|&)[^=&]*(key|token|secret|password|signature)[^=&]*="), url)

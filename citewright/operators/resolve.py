@@ -137,3 +137,59 @@ def top_citing(edges: DataFrame, most: int = 20) -> DataFrame:
     """The ``most`` cited of the papers that cite each work."""
     order = W.partitionBy("work_id").orderBy(F.desc("cited_by_count"), "citing_id")
     return edges.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+def first_family(authors: Column) -> Column:
+    """Surname of the first author: before a comma; of "Surname AB" the first word; else the last word."""
+    name = F.trim(F.split(authors, r"\s*(?:,|;|&|\band\b)\s*")[0])
+    vancouver = name.rlike(r"^\p{Lu}[\p{L}'-]+\s+\p{Lu}{1,3}$")
+    return F.when(vancouver, F.split(name, " ")[0]).otherwise(F.element_at(F.split(name, " "), -1))
+
+
+#: Words of journal names that say nothing.
+GENERIC = ("the", "and", "for", "journal", "international", "proceedings", "transactions")
+
+
+def journal_matches(journal: Column, citation: Column) -> Column:
+    """Whether each significant word of the journal begins, or is begun by, a printed word; true for no journal."""
+    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda w: F.length(w) >= 3)
+    named = F.filter(words(F.coalesce(journal, F.lit(""))), lambda w: ~w.isin(*GENERIC))
+    printed = words(citation)
+    return F.forall(named, lambda w: F.exists(printed, lambda p: F.startswith(w, p) | F.startswith(p, w)))
+
+
+def usable_title(title: Column) -> Column:
+    """Three words of two letters at least, no address, identifier, volume or page range."""
+    words = F.size(F.regexp_extract_all(title, F.lit("[A-Za-z]{2,}"), F.lit(0))) >= 3
+    return F.coalesce(words & ~title.rlike(r"(?i)https?://|10\.[0-9]{4,9}/|\bvol\b|\bpp?\.|[0-9]+\s*[-–]\s*[0-9]+"), F.lit(False))
+
+
+def contained_titles(refs: DataFrame, works: DataFrame, least: int = 15) -> DataFrame:
+    """(ref_id, work_id) where a work's title key of ``least`` characters and more stands in the citation's key.
+
+    Both meet on the work title's rarest word, as each of its words stands in the citation too."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
+    titled = works.select("work_id", compact_key(F.col("title")).alias("key"), words(F.col("title")).alias("words")).where(F.length("key") >= least)
+    cited = refs.select("ref_id", compact_key(F.col("citation")).alias("text"), F.explode(words(F.col("citation"))).alias("word"))
+    use = cited.groupBy("word").agg(F.count("*").alias("n"))
+    rarest = titled.select("work_id", "key", F.explode("words").alias("word")).join(use, "word")
+    rarest = rarest.groupBy("work_id", "key").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    return cited.join(rarest, "word").where(F.contains("text", F.col("key"))).select("ref_id", "work_id")
+
+
+def resolve(refs: DataFrame, works: DataFrame, least: float = 0.88) -> DataFrame:
+    """References (ref_id, doi, title, year, citation) to their works, staged as cheaper before dearer:
+    identifier, then contained title, then title ratio; each stage sees what the ones before left. A year conflict
+    rejects, and a reference without usable title isn't resolved by title when two identities would fit.
+
+    Gives (ref_id, work_id, matched_by)."""
+    by_doi = refs.withColumn("key", doi_key(F.col("doi"))).join(works.select("work_id", doi_key(F.col("doi")).alias("key")), "key")
+    found = by_doi.groupBy("ref_id").agg(F.min("work_id").alias("work_id")).withColumn("matched_by", F.lit("doi"))
+    years = works.select("work_id", F.col("year").alias("work_year"))
+    agree = lambda df, left: df.join(left.select("ref_id", "year", "title"), "ref_id").join(years, "work_id").where("year is null or work_year is null or year = work_year")
+    left = refs.join(found, "ref_id", "left_anti")
+    inside = agree(contained_titles(left, works), left).groupBy("ref_id", "title").agg(F.min("work_id").alias("work_id"), F.countDistinct("work_id").alias("n"))
+    inside = inside.where(usable_title(F.col("title")) | (F.col("n") == 1)).select("ref_id", "work_id", F.lit("contained").alias("matched_by"))
+    left = left.join(inside, "ref_id", "left_anti")
+    near = agree(fuzzy_titles(left.where(usable_title(F.col("title"))), works, least), left).select("ref_id", "work_id", F.lit("title").alias("matched_by"))
+    return found.union(inside).union(near)
