@@ -3,13 +3,17 @@
 Shingles are 64-bit hashes in one global order: common ones last, else by value. By that
 order the first n - ceil(0.8 n) + l shingles of a set, its prefix, share l at least with the prefix
 of every partner (l grows with n; for sets of unequal size the smaller l holds). Prefix rows
-are grouped by shingle; the smallest document of a group is its centre
-and every other member a candidate of the centre, so a group of m members makes m - 1
-pairs, whatever m is; pairs that meet l times go on. Candidates of a centre, as globally ordered sets, form a prefix tree: shared runs of
-shingles are matched once, and a subtree is cut when its overlap so far plus the least
-remaining length can't reach the required overlap. Links give components. Then only
-pairs in prefix groups whose ends lie in different components can still add a link:
-those that meet l times are all formed and go through the same trees, so no link between texts is lost.
+are grouped by shingle; the smallest document of a group is its centre, so a group of m members
+makes m - 1 pairs, whatever m is.
+
+A document goes to the block of the centre it meets most often. Large blocks are dealt into parts,
+which share some members as landmarks. The globally ordered sets of a part form a prefix tree; every
+member traverses it: shared runs of shingles are matched once, a subtree is cut when its overlap so far plus the
+least remaining length can't reach the required overlap, or when all of it is linked to the member already.
+Links give components. Then only
+pairs in prefix groups whose ends lie in different components can still add a link: those that meet l times,
+and whose 512-bit sketches, which bound the overlap from above, allow it, are all formed and verified through the
+same trees, so no link between texts is lost.
 
 Which shingles count as common is found by counting all prefixes; the COMMON_MOST most
 frequent of at least COMMON_LEAST go last. Any choice gives the same links: it only keeps
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, components, flat, mix, stage, word_hashes
+from .common import chunks, components, flat, mix, most_frequent, stage, word_hashes
 from .suffix_dedup import _groups
 
 WORDS = 5
@@ -40,6 +44,8 @@ NUM, DEN = 80, 100  # links have DEN * intersection >= NUM * union
 COMMON_LEAST = 3
 COMMON_MOST = 1 << 20
 PAIRS_AT_ONCE = 1 << 20
+PART = 384  # members of a part of a block
+LANDMARKS = 16  # members all parts of a block share, about
 BROADCAST_IDS = 1 << 20  # more wanted ids than this meet the texts by a shuffled join
 
 
@@ -89,24 +95,34 @@ def needed(a: int | np.ndarray, b: int | np.ndarray):
     return -(-NUM * (a + b) // (NUM + DEN))
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """512 bits as 8 int64: for each residue of the shingles, whether an odd number has it. Where two
+    sketches differ, the sets differ by one shingle at least."""
+    odd = np.bincount(s.view(np.uint64) & np.uint64(511) if len(s) else s, minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """doc_id, n, rep, prefix: of sets equal within a task only the first, the rep, has a prefix."""
+    """doc_id, n, rep, prefix, sketch: of sets equal within a task only the first, the rep, has the latter two."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
         seen: dict[bytes, int] = {}
         for b in batches:
             ids = b.column(0).to_pylist()
-            ns, reps, prefixes = [], [], []
+            ns, reps, prefixes, sketches = [], [], [], []
             for doc, s in zip(ids, shingle_sets(b.column(1)), strict=True):
                 key = _digest(s)
                 rep = seen.setdefault(key, doc) if doc is not None else None
                 ns.append(len(s))
                 reps.append(rep)
-                prefixes.append(in_order(s, shared.value)[: prefix_length(len(s))] if rep is not None and rep == doc and len(s) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(reps, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "rep", "prefix"])
+                first = rep is not None and rep == doc and len(s) > 0
+                prefixes.append(in_order(s, shared.value)[: prefix_length(len(s))] if first else None)
+                sketches.append(sketch(s).tobytes() if first else None)
+            columns = [pa.array(x, pa.int64()) for x in (ids, ns, reps)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "n", "rep", "prefix", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, rep long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, rep long, prefix array<long>, sketch binary")
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -151,37 +167,43 @@ def _met_often(counted: DataFrame) -> DataFrame:
     """Pairs (a, b) of (a, b, na, nb, met) that lengths and the number of meetings allow."""
     least = lambda n: f"1 + ({n} - ceil({NUM} * {n} / {DEN})) div 4"
     fits = f"{DEN} * least(na, nb) >= {NUM} * greatest(na, nb)"
-    return counted.where(fits).where(f"met >= least({least('na')}, {least('nb')})").select("a", "b")
+    return counted.where(fits).where(f"met >= least({least('na')}, {least('nb')})")
 
 
 def _across(members: DataFrame) -> DataFrame:
-    """(a, b, na, nb, met): pairs in different components, and how often their prefixes meet.
+    """(a, b, na, nb, met): pairs in different components whose sketches allow a link, and how often their prefixes meet.
 
-    Groups are small here: what many documents share was put last in the order, and near copies
-    already are one component. A group is held as three numbers a member, its pairs are streamed."""
+    In a group, only members outside its largest component are compared with the others. What many
+    documents share was put last in the order, and near copies already are one component, so
+    these are few; a group is held as some 100 bytes a member, its pairs are streamed."""
 
     def run(batches):
         for t in _groups(batches, 0):
             token, doc, n, component = (t.column(i).to_numpy() for i in range(4))
             order = np.lexsort((doc, n, token))
             token, doc, n, component = token[order], doc[order], n[order], component[order]
+            bits = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint64).reshape(-1, 8)[order]
             head = np.flatnonzero(np.append(True, token[1:] != token[:-1])[: len(token)])
             group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(token))))
-            mixed = np.maximum.reduceat(component, head) != np.minimum.reduceat(component, head) if len(head) else head
-            keep = mixed[group] if len(head) else head
-            group, doc, n, component = group[keep], doc[keep], n[keep], component[keep]
-            # partners of a member are those after it in its group, up to 5/4 of its size
+            main = _largest(group, component)[group] == component
+            # partners of a member are those of its group with 4/5 to 5/4 of its size
             key = group * np.int64(1 << 40) + n
-            reach = np.searchsorted(key, group * np.int64(1 << 40) + DEN * n // NUM, "right") - np.arange(len(key)) - 1
-            bounds = np.append(0, np.cumsum(reach))
+            probe = np.flatnonzero(~main)
+            low = np.searchsorted(key, group[probe] * np.int64(1 << 40) - (-NUM * n[probe] // DEN), "left")
+            high = np.searchsorted(key, group[probe] * np.int64(1 << 40) + DEN * n[probe] // NUM, "right")
+            bounds = np.append(0, np.cumsum(high - low))
             lo = 0
-            while lo < len(key):
+            while lo < len(probe):
                 hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + PAIRS_AT_ONCE, "right")) - 1)
-                i = np.repeat(np.arange(lo, hi), reach[lo:hi])
-                j = i + 1 + np.arange(len(i)) - np.repeat(bounds[lo:hi] - bounds[lo], reach[lo:hi])
+                count = (high - low)[lo:hi]
+                i = np.repeat(probe[lo:hi], count)
+                j = np.repeat(low[lo:hi], count) + np.arange(len(i)) - np.repeat(bounds[lo:hi] - bounds[lo], count)
                 lo = hi
-                apart = component[i] != component[j]
-                i, j = i[apart], j[apart]
+                ok = (component[i] != component[j]) & (main[j] | (doc[i] < doc[j]))
+                i, j = i[ok], j[ok]
+                differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+                ok = (n[i] + n[j] - differ) // 2 >= needed(n[i], n[j])
+                i, j = i[ok], j[ok]
                 swap = doc[i] > doc[j]
                 i, j = np.where(swap, j, i), np.where(swap, i, j)
                 order = np.lexsort((doc[j], doc[i]))  # the same pair in many groups is one row with its count
@@ -192,17 +214,89 @@ def _across(members: DataFrame) -> DataFrame:
                 columns = (a[first], b[first], n[i[first]], n[j[first]], met)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["a", "b", "na", "nb", "met"])
 
-    rows = members.select("token", "doc_id", "n", "component").repartition("token").sortWithinPartitions("token")
-    found = rows.mapInArrow(run, "a long, b long, na long, nb long, met long")
+    found = members.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long, na long, nb long, met long")
     return found.groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met"))
 
 
-def _walk(sets: list[np.ndarray], probe: np.ndarray, lo: int, hi: int, depth: int, overlap: int, found: list[int]) -> None:
+def _largest(group: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """For each group the component that most of its rows have."""
+    order = np.lexsort((component, group))
+    g, c = group[order], component[order]
+    head = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (c[1:] != c[:-1]))[: len(g)])
+    count = np.diff(np.append(head, len(g)))
+    best = np.lexsort((count, g[head]))
+    last = np.append(g[head][best][1:] != g[head][best][:-1], True)[: len(best)]
+    return c[head][best][last]
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members (token, doc_id, n, component, sketch) of the groups that hold several components."""
+    tokens = members.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return members.join(tokens.select("token"), "token", "left_semi")
+
+
+def _blocks(met: DataFrame) -> DataFrame:
+    """(block, part, doc_id): each document in the block of the centre it meets most often, the centre
+    too; parts of about PART members, and the landmarks of a block in each of its parts."""
+    home = met.groupBy(F.col("b").alias("doc_id")).agg(F.max_by("a", F.struct("met", -F.col("a"))).alias("block"))
+    rows = home.select("block", "doc_id").union(home.select("block", F.col("block").alias("doc_id")).distinct())
+    sizes = rows.groupBy("block").agg(F.count("*").alias("size"))
+    rows = rows.join(sizes, "block").withColumn("parts", F.ceil(F.col("size") / PART).cast("int")).withColumn("at", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 40)))
+    mark = (F.col("at") * F.col("size") < F.lit(LANDMARKS << 40)) | (F.col("doc_id") == F.col("block"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    return rows.withColumn("part", F.explode(F.when(mark, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own)))).select("block", "part", "doc_id").distinct()
+
+
+def _linked_blocks(docs: DataFrame, blocks: DataFrame, common: np.ndarray) -> DataFrame:
+    """(u, v): links that join the members of each part of a block as far as they link at all."""
+
+    def run(batches):
+        for t in _groups(batches, 0):
+            key = t.column(0).to_numpy()
+            lists = t.column(2).combine_chunks()
+            values, bounds = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+            ids = t.column(1).to_numpy()
+            cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+            us, vs = [], []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                got = _join_part([values[bounds[k] : bounds[k + 1]] for k in range(lo, hi)])
+                us += [int(ids[lo + a]) for a, _ in got]
+                vs += [int(ids[lo + b]) for _, b in got]
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    blocks = stage(blocks, "blocks")
+    sets = _ordered_sets(docs, blocks.select("doc_id").distinct(), common)
+    rows = blocks.join(sets, "doc_id").select(F.xxhash64("block", "part").alias("key"), "doc_id", "shingles")
+    return stage(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long"), "links")
+
+
+def _join_part(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the links between ``sets``: each traverses the tree of all, past what it is linked to."""
+    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">i8").tobytes())
+    tree = [sets[i] for i in order]
+    label = np.arange(len(tree))
+    out = []
+    for k in range(len(tree)):
+        if (label == label[k]).all():
+            break
+        found: list[int] = []
+        _walk(tree, np.sort(tree[k]), 0, len(tree), 0, 0, found, label, label[k])
+        for f in found:
+            if label[f] != label[k]:
+                out.append((order[k], order[f]))
+                low, high = sorted((label[f], label[k]))
+                label[label == high] = low
+    return out
+
+
+def _walk(sets: list[np.ndarray], probe: np.ndarray, lo: int, hi: int, depth: int, overlap: int, found: list[int], label: np.ndarray | None = None, own: int = -1) -> None:
     """Descend the prefix tree of sets[lo:hi] (sorted, equal up to ``depth``), matching ``probe``.
 
     A tree node with one child is a run of shared shingles: it is matched in one step. found
-    gets the indexes of sets that reach the required overlap."""
+    gets the indexes of sets that reach the required overlap; subtrees that wholly have the ``label`` own are passed by."""
     while True:
+        if label is not None and (label[lo:hi] == own).all():
+            return
         first, last = sets[lo], sets[hi - 1]
         m = min(len(first), len(last))
         differ = np.flatnonzero(first[depth:m] != last[depth:m])
@@ -228,7 +322,7 @@ def _walk(sets: list[np.ndarray], probe: np.ndarray, lo: int, hi: int, depth: in
                 j += 1
             if i == lo and j == hi:
                 break
-            _walk(sets, probe, i, j, depth, overlap, found)
+            _walk(sets, probe, i, j, depth, overlap, found, label, own)
             i = j
         if i >= hi:
             return
@@ -285,24 +379,26 @@ def _ordered_sets(docs: DataFrame, wanted: DataFrame, common: np.ndarray) -> Dat
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, common: np.ndarray) -> DataFrame:
-    pairs = stage(pairs, "pairs")
+    pairs = stage(pairs.select("a", "b"), "pairs")
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     return stage(_verified(pairs, stage(_ordered_sets(docs, ends, common), "sets")), "links")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
-    counts = _prefixes(docs, np.zeros(0, np.int64)).select(F.explode("prefix").alias("token")).groupBy("token").count()
-    top = counts.where(F.col("count") >= COMMON_LEAST).orderBy(F.desc("count"), "token").limit(COMMON_MOST).select("token")
-    common = np.sort(top.toArrow().column(0).to_numpy())
+    counts = _prefixes(docs, np.zeros(0, np.int64)).select(F.explode("prefix").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    counts = stage(counts.where(F.col("n") >= COMMON_LEAST), "common")
+    common = np.sort(most_frequent(counts, COMMON_MOST).select("code").toArrow().column(0).to_numpy())
     prefixes = stage(_prefixes(docs, common), "prefixes")
     members = stage(_stars(prefixes), "members")
     met = members.where("doc_id <> centre").groupBy(F.col("centre").alias("a"), F.col("doc_id").alias("b"), F.col("centre_n").alias("na"), F.col("n").alias("nb")).agg(F.count("*").alias("met"))
-    links = _linked(docs, _met_often(met), common)
+    links = _linked_blocks(docs, _blocks(_met_often(met)), common)
     copies = prefixes.where("rep <> doc_id and n > 0").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
     labels = stage(components(links), "labels").withColumnRenamed("id", "doc_id")
-    own = members.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    late = _linked(docs, _met_often(_across(own)), common)
+    own = members.select("token", "doc_id", "n").join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    sketches = prefixes.where("sketch is not null").select("doc_id", "sketch").dropDuplicates(["doc_id"])
+    mixed = stage(_mixed(own), "mixed").join(sketches, "doc_id").select("token", "doc_id", "n", "component", "sketch")
+    late = _linked(docs, _met_often(_across(mixed)), common)
     found = components(links.union(late).union(copies))
     out = prefixes.select("doc_id", F.col("n").alias("n_shingles")).join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
@@ -310,5 +406,6 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its group; null ids stay."""
-    drop = near_groups(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stage(drop, "near"), F.col("doc_id").cast("long") == F.col("_id"), "left_anti").select(*docs.columns)
+    drop = near_groups(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("id")).distinct()
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    return keyed.join(stage(drop, "near"), F.col("doc_id") == F.col("id"), "left_anti").select("row.*")
