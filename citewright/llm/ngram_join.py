@@ -230,9 +230,18 @@ def _largest(group: np.ndarray, component: np.ndarray) -> np.ndarray:
 
 
 def _mixed(members: DataFrame) -> DataFrame:
-    """Members (token, doc_id, n, component, sketch) of the groups that hold several components."""
-    tokens = members.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return members.join(tokens.select("token"), "token", "left_semi")
+    """Members (token, doc_id, component) of the groups that hold several components."""
+
+    def run(batches):
+        for t in _groups(batches, 0):
+            token, component = t.column(0).to_numpy(), t.column(2).to_numpy()
+            head = np.flatnonzero(np.append(True, token[1:] != token[:-1])[: len(token)])
+            mixed = np.minimum.reduceat(component, head) < np.maximum.reduceat(component, head)
+            keep = np.repeat(mixed, np.diff(np.append(head, len(token))))
+            yield from t.filter(pa.array(keep)).to_batches()
+
+    rows = members.select("token", "doc_id", "component").repartition("token").sortWithinPartitions("token")
+    return rows.mapInArrow(run, "token long, doc_id long, component long")
 
 
 def _blocks(met: DataFrame) -> DataFrame:
@@ -395,8 +404,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     links = _linked_blocks(docs, _blocks(_met_often(met)), common)
     copies = prefixes.where("rep <> doc_id and n > 0").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
     labels = stage(components(links), "labels").withColumnRenamed("id", "doc_id")
-    own = members.select("token", "doc_id", "n").join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    sketches = prefixes.where("sketch is not null").select("doc_id", "sketch").dropDuplicates(["doc_id"])
+    small = labels.count() <= BROADCAST_IDS  # else the join is a shuffled one
+    own = members.select("token", "doc_id").join(F.broadcast(labels) if small else labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    sketches = prefixes.where("sketch is not null").select("doc_id", "n", "sketch").dropDuplicates(["doc_id"])
     mixed = stage(_mixed(own), "mixed").join(sketches, "doc_id").select("token", "doc_id", "n", "component", "sketch")
     late = _linked(docs, _met_often(_across(mixed)), common)
     found = components(links.union(late).union(copies))
