@@ -23,6 +23,8 @@ are kept by ``encode`` and ignored by the query.
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +35,7 @@ from .common import flat, prefix_hashes, span_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_KEY = 1 << 30
-BATCH = 1 << 23
+BATCH = 1 << 22
 
 
 class Model:
@@ -99,19 +101,19 @@ class Encoder:
     def __init__(self, model: Model):
         self.m = model
         self.pairs: dict[int, bool] = {}
-        self.slots = np.full(1 << 22, -1, np.int64)
-        self.good = np.zeros(1 << 22, bool)
+        self.slots = np.full(1 << 21, -1, np.int64)
+        self.good = np.zeros(1 << 21, bool)
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * np.int64(1 << 31) + b
-        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).astype(np.int64)
+        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(43)).astype(np.int64)
         miss = self.slots[slot] != key
         out = self.good[slot]
         if miss.any():
             kinds, back = np.unique(key[miss], return_inverse=True)
             fresh = np.array([self._pair(k) for k in kinds.tolist()], bool)
             out[miss] = fresh[back]
-            at = (kinds.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).astype(np.int64)
+            at = (kinds.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(43)).astype(np.int64)
             self.slots[at], self.good[at] = kinds, fresh
             # of kinds with one slot the last one holds it, in both arrays alike
         return out
@@ -121,7 +123,7 @@ class Encoder:
         if found is None:
             a, b = key >> 31, key & ((1 << 31) - 1)
             found = a >= UNKNOWN_KEY or b >= UNKNOWN_KEY or self.m.merge(self.m.text[a] + self.m.text[b]) == [a, b]
-            if len(self.pairs) < 1 << 21:
+            if len(self.pairs) < 1 << 18:
                 self.pairs[key] = found
         return found
 
@@ -141,7 +143,7 @@ class Encoder:
         out_at, out_ids, out_counts = [], [], []
         for c, lo in enumerate(cuts):
             hi = cuts[c + 1] if c + 1 < len(cuts) else len(left)
-            step = max(1, (1 << 22) // int(bucket[left[lo]] + 1))
+            step = min(1 << 15, max(1, (1 << 20) // int(bucket[left[lo]] + 1)))
             for a in range(lo, hi, step):
                 at = left[a : min(hi, a + step)]
                 got, counts, done = self._advance(buf, sums, width, start[at], size[at])
@@ -371,12 +373,19 @@ def _shared(docs: DataFrame, path: str, kind: str):
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """doc_id, n_pieces, pieces_sha256 (comma-joined ids), decoded_sha256, and whether the text came back."""
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    out = decode(encode(rows))
-    return out.select(
-        "doc_id", F.size("pieces").cast("long").alias("n_pieces"),
-        F.sha2(F.array_join(F.transform("pieces", lambda x: x.cast("string")), ","), 256).alias("pieces_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.translate("text", "▁", " ")).alias("same"),
-    )
+    """doc_id, n_pieces, pieces_sha256 (ids as 32-bit little-endian numbers), decoded_sha256, and whether the text came back."""
+    shared = _shared(docs, MODEL, "bpe")
+
+    def run(batches):
+        for b in batches:
+            for part in _parts(b, 1):
+                ids, counts = encode_batch(_encoders(shared), part.column(1))
+                texts = decode_batch(shared.value, ids, counts)
+                bounds, numbers = np.append(0, np.cumsum(counts)), ids.astype("<i4")
+                digests = [sha256(numbers[lo:hi].tobytes()).hexdigest() for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+                same = [x == (y.as_py() or "").replace("▁", " ") for x, y in zip(texts, part.column(1), strict=True)]
+                decoded = [sha256(x.encode()).hexdigest() for x in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.array(digests, pa.string()), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "pieces_sha256", "decoded_sha256", "same"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_pieces long, pieces_sha256 string, decoded_sha256 string, same boolean")
