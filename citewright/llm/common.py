@@ -131,8 +131,8 @@ def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return span_hashes(prefix_hashes(buf), start, end), counts
 
 
-def most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The rows (code, n) of the greatest n, at most ``most`` of them. Counts are binned by sixteenths of
+def most_frequent(counts: DataFrame, most: int, *more: str) -> DataFrame:
+    """The rows (code, n, and the columns ``more``) of the greatest n, at most ``most`` of them. Counts are binned by sixteenths of
     powers of two, and whole bins are taken from the top, so no task sorts or gathers the candidates."""
     bin_ = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
     bins = sorted(((r["bin"], r["rows"]) for r in counts.groupBy(bin_.alias("bin")).agg(F.count("*").alias("rows")).collect()), reverse=True)
@@ -141,7 +141,7 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
         if rows > room:
             break
         low, room = at, room - rows
-    return counts.where(F.lit(False) if low is None else bin_ >= low).select("code", "n")
+    return counts.where(F.lit(False) if low is None else bin_ >= low).select("code", "n", *more)
 
 
 def components(edges: DataFrame) -> DataFrame:

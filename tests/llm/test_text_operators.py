@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -248,3 +249,37 @@ def test_ppm(docs, rows, odd, empty):
         want = -sum(cost(b[i : i + ppm.ORDER + 1]) for i in range(len(b) - ppm.ORDER))
         assert abs(g.score - want) < 1e-4 * max(1, abs(want))
     assert ppm.score(odd).count() == 5 and ppm.score(empty).count() == 0
+
+
+def test_ppm_keeps_all_strings(spark, monkeypatch):
+    """Strings seen once and strings beyond the cache count as any other, and a common pair of bytes in rare strings is known."""
+    monkeypatch.setattr(ppm, "NODES", 40)
+    rng = random.Random(3)
+    letter = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(k))
+    data = [(i, " ".join(f"{letter(3)}\u00e9{letter(2)}" for _ in range(40))) for i in range(60)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in data}
+    framed = {i: b"\n" * ppm.ORDER + t.encode() + b"\n" for i, t in data}
+    seen = [defaultdict(Counter) for _ in range(ppm.ORDER + 1)]
+    for i, b in framed.items():
+        for p in range(ppm.ORDER, len(b) if not held[i] else 0):
+            for o in range(ppm.ORDER + 1):
+                seen[o][b[p - o : p]][b[p]] += 1
+
+    def cost(context, x):
+        out, excluded = 0.0, set()
+        for o in range(ppm.ORDER, -1, -1):
+            found = seen[o].get(context[ppm.ORDER - o :], {})
+            left = {y: k for y, k in found.items() if y not in excluded}
+            if x in found:
+                return out - math.log10(found[x] / (sum(left.values()) + len(left)))
+            if left:
+                out -= math.log10(len(left) / (sum(left.values()) + len(left)))
+            excluded |= set(found)
+        return out + math.log10(256 - len(excluded))
+
+    got = {r.doc_id: r.score for r in ppm.score(docs).collect()}
+    assert any(held.values()) and len(got) == len(data)
+    for i, b in framed.items():
+        want = -sum(cost(b[p - ppm.ORDER : p], b[p]) for p in range(ppm.ORDER, len(b)))
+        assert abs(got[i] - want) < 1e-6 * abs(want)
