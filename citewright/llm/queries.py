@@ -28,8 +28,8 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_pages
 
-    out = archive_pages(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    refers = F.regexp_extract("capture.refers_to", r"(-?\d+)>$", 1)
+    out = archive_pages(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), unnamed=True)
+    refers = F.regexp_extract("capture.refers_to", r":(-?\d+)(?:\.\d+)?>$", 1)
     return out.select(
         "page_id", "capture.payload_bytes", "capture.payload_digest", "capture.record_type",
         F.when(F.col("capture.refers_to").isNotNull(), refers).cast("long").alias("refers_to"),

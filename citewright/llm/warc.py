@@ -4,27 +4,29 @@ A capture is a response (or, for a payload already held, a revisit) record, a re
 metadata record; the latter two name the former in WARC-Concurrent-To. Archives are written
 by Spark's text writer, one record per row with the record terminator as line separator,
 gzip-compressed in files of bounded row count, and read back as binary files, which are cut
-into records by Content-Length alone, so payloads may hold any bytes. The records of a
-transaction are then brought together by the identifier they are concurrent to and nested
+into records by Content-Length alone, so payloads may hold any bytes, from one gzip member or many.
+Digest and size of a capture are those of the payload read back, of a revisit those of the response
+it refers to (null where that isn't in the archive). The records of a transaction are then brought together by the identifier they are concurrent to and nested
 into one row per capture.
 
 Defined cases: a null payload is empty; a null url becomes ``about:blank``; line ends in urls
-become blanks; rows without page_id have no
-identifier and are left out; records of repeated page ids join in one capture, of which the
-greatest record counts; an empty table gives an empty archive and no rows; other columns are
+become blanks; rows without page_id are
+left out unless ``unnamed``; every row is a capture: the further rows of a page id, and rows without one, are named
+by their number too; an empty table gives an empty archive and no rows; other columns are
 ignored.
 """
 
 from __future__ import annotations
 
+import gzip
+import io
 import uuid
-import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, stage
 
 LEAST_BYTES = 100
 RECORDS_PER_FILE = 6_000
@@ -32,22 +34,30 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _RECORD = "record_id string, record_type string, concurrent_to string, refers_to string, url string, payload_digest string, payload_bytes long, payload binary, fields string"
 
 
-def _id(kind: str, number: Column) -> Column:
-    return F.concat(F.lit(f"<urn:capture:{kind}:"), number.cast("string"), F.lit(">"))
+def _id(kind: str, name: Column) -> Column:
+    return F.concat(F.lit(f"<urn:capture:{kind}:"), name, F.lit(">"))
 
 
-def plan_captures(pages: DataFrame, payload: str = "html") -> DataFrame:
-    """page_id, url, body, digest, n_bytes, refers_to: of equal payloads of at least
-    LEAST_BYTES bytes the smallest page_id is the response, the others revisit it."""
+def plan_captures(pages: DataFrame, payload: str = "html", unnamed: bool = False) -> DataFrame:
+    """page_id, name, url, body, digest, n_bytes, refers_to (a name): of equal payloads of at least
+    LEAST_BYTES bytes the rows of the smallest page_id are responses, the others revisit the first of them.
+    Names are found without the payloads, which move once, by row."""
     body = F.coalesce(F.col(payload), F.lit(""))
-    rows = pages.where("page_id is not null").select(
-        F.col("page_id").cast("long").alias("page_id"),
+    rows = pages.select(
+        F.monotonically_increasing_id().alias("row_id"), F.col("page_id").cast("long").alias("page_id"),
         F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\r\n]+", " ").alias("url"),
         body.alias("body"), F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("long").alias("n_bytes"),
     )
-    first = rows.where(F.col("n_bytes") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(first, "digest", "left")
-    return rows.withColumn("refers_to", F.when((F.col("n_bytes") >= LEAST_BYTES) & (F.col("first") < F.col("page_id")), F.col("first"))).drop("first")
+    rows = stage(rows if unnamed else rows.where("page_id is not null"), "pages")
+    plan = rows.select("row_id", "page_id", "digest", "n_bytes")
+    plan = plan.join(plan.groupBy("page_id").agg(F.min("row_id").alias("own")), "page_id", "left")
+    page, row = F.col("page_id").cast("string"), F.col("row_id").cast("string")
+    plan = plan.withColumn("name", F.when(F.col("page_id").isNull(), F.concat(F.lit("row."), row)).when(F.col("row_id") == F.col("own"), page).otherwise(F.concat(page, F.lit("."), row)))
+    large = plan.where((F.col("n_bytes") >= LEAST_BYTES) & F.col("page_id").isNotNull())
+    first = large.groupBy("digest").agg(F.min(F.struct("page_id", "row_id", "name")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    plan = plan.join(first, "digest", "left")
+    refers = F.when((F.col("n_bytes") >= LEAST_BYTES) & (F.col("first.page_id") < F.col("page_id")), F.col("first.name"))
+    return rows.join(plan.select("row_id", "name", refers.alias("refers_to")), "row_id")
 
 
 def _record(fields: list[tuple[str, Column]], block: Column) -> Column:
@@ -57,10 +67,10 @@ def _record(fields: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(*head, F.lit("\r\n"), block)
 
 
-def write_archive(pages: DataFrame, path: str, payload: str = "html", date: str = "2024-01-01T00:00:00Z") -> None:
+def write_archive(pages: DataFrame, path: str, payload: str = "html", date: str = "2024-01-01T00:00:00Z", unnamed: bool = False) -> None:
     """Write the captures of ``pages`` (page_id, url, payload) as gzip-compressed archives."""
-    plan = plan_captures(pages, payload)
-    page, revisit = F.col("page_id"), F.col("refers_to").isNotNull()
+    plan = plan_captures(pages, payload, unnamed)
+    page, revisit = F.col("name"), F.col("refers_to").isNotNull()
     main = F.when(revisit, _id("revisit", page)).otherwise(_id("response", page))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n_bytes").cast("string"), F.lit("\r\n\r\n"))
     common = [("WARC-Date", F.lit(date)), ("WARC-Target-URI", F.col("url"))]
@@ -78,33 +88,44 @@ def write_archive(pages: DataFrame, path: str, payload: str = "html", date: str
     metadata = _record(
         [("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _id("metadata", page)), *common,
          ("Content-Type", F.lit("application/warc-fields")), ("WARC-Concurrent-To", main)],
-        F.concat(F.lit("page-id: "), page.cast("string"), F.lit("\r\n")),
+        F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n")),
     )
     records = plan.select(F.explode(F.array(request, capture, metadata)).alias("value"))
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 def parse_records(data: bytes):
-    """Header fields and block of every record of an uncompressed archive."""
+    """Header fields and block of every record of an uncompressed archive; it fails on bytes outside of records and
+    on records that are shorter than their header says or lack their end."""
     at = 0
-    while (at := data.find(b"WARC/1.", at)) >= 0:
+    while at < len(data):
+        if not data.startswith(b"WARC/1.", at):
+            raise ValueError(f"no WARC record at byte {at}")
         end = data.index(b"\r\n\r\n", at)
         head = dict(x.split(": ", 1) for x in data[at:end].decode("utf-8").split("\r\n")[1:])
-        size = int(head["Content-Length"])
-        yield head, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        stop = end + 4 + int(head["Content-Length"])
+        if data[stop : stop + 4] != b"\r\n\r\n":
+            raise ValueError(f"the WARC record at byte {at} doesn't end where its Content-Length says")
+        yield head, data[end + 4 : stop]
+        at = stop + 4
+
+
+def unpack(raw: bytes) -> bytes:
+    """A file without compression: all its gzip members, one a record or one for all."""
+    return gzip.GzipFile(fileobj=io.BytesIO(raw)).read() if raw[:2] == b"\x1f\x8b" else raw
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row per record. Files hold RECORDS_PER_FILE records at most, so a task holds one
-    file; every record is checked against the length its header gives."""
+    file; every record is checked against the length its header gives. Digest and size of the payload are as the
+    header has them, for ``assemble`` to replace."""
 
     def run(batches):
         for b in batches:
             for content in b.column(0):
                 raw = content.as_py()
                 out = []
-                for head, block in parse_records(zlib.decompressobj(47).decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
+                for head, block in parse_records(unpack(raw)):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     kind = head["WARC-Type"]
                     length = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None) if kind in ("response", "revisit") else None
@@ -121,9 +142,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 def assemble(records: DataFrame) -> DataFrame:
     """One row per capture: capture_id, page_id and the nested capture, request and metadata
-    records, joined through the identifier that request and metadata are concurrent to."""
+    records, joined through the identifier that request and metadata are concurrent to. Digest and size are taken
+    from the payloads of the responses."""
     main = F.col("record_type").isin("response", "revisit")
-    whole = F.struct("record_id", "record_type", "refers_to", "url", "payload_digest", "payload_bytes", F.octet_length("payload").alias("held_bytes"), F.sha2("payload", 256).alias("held_digest"))
+    size, digest = F.octet_length("payload").cast("long"), F.sha2("payload", 256)  # null where no payload is held
+    whole = F.struct("record_id", "record_type", "refers_to", "url", digest.alias("payload_digest"), size.alias("payload_bytes"), size.alias("held_bytes"), digest.alias("held_digest"))
     side = F.struct("record_id", "fields")
     keyed = records.withColumn("capture_id", F.coalesce("concurrent_to", "record_id"))
     rows = keyed.groupBy("capture_id").agg(
@@ -131,12 +154,17 @@ def assemble(records: DataFrame) -> DataFrame:
         F.max(F.when(F.col("record_type") == "request", side)).alias("request"),
         F.max(F.when(F.col("record_type") == "metadata", side)).alias("metadata"),
     )
+    rows = stage(rows, "captures")
+    held = rows.where("capture.record_type = 'response'").select(F.col("capture.record_id").alias("id"), F.col("capture.held_digest").alias("digest"), F.col("capture.held_bytes").alias("size"))
+    rows = rows.join(held, F.col("capture.refers_to") == F.col("id"), "left")
+    capture = F.col("capture").withField("payload_digest", F.coalesce("capture.held_digest", "digest")).withField("payload_bytes", F.coalesce("capture.held_bytes", "size"))
+    rows = rows.withColumn("capture", capture).drop("id", "digest", "size")
     return rows.withColumn("page_id", F.expr("try_cast(regexp_extract(metadata.fields, 'page-id: (-?[0-9]+)', 1) as bigint)"))
 
 
-def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
+def archive_pages(pages: DataFrame, path: str | None = None, unnamed: bool = False) -> DataFrame:
     """Write ``pages`` to archives, read them back and assemble the captures."""
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_archive(pages, path)
+    write_archive(pages, path, unnamed=unnamed)
     return assemble(read_records(spark, path))

@@ -1,10 +1,13 @@
 """WARC, vectors, toxicity, components, the pipeline and the registry."""
 
+import gzip
 import hashlib
 import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from citewright.llm import common, embedding_dedup, queries, toxicity, warc
@@ -55,6 +58,36 @@ def test_warc(spark):
     assert warc.archive_pages(spark.createDataFrame([(None, "u", "h")], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_files_of_many_members_and_short_records(spark, tmp_path):
+    record = lambda i, body: b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:%d>\r\nContent-Length: %d\r\n\r\n%s" % (i, len(body), body)
+    blocks = [b"HTTP/1.1 200 OK\r\n\r\n" + bytes([65 + i]) * i for i in range(5)]
+    (tmp_path / "many.warc.gz").write_bytes(b"".join(gzip.compress(record(i, x) + b"\r\n\r\n") for i, x in enumerate(blocks)))
+    got = {r.record_id: bytes(r.payload) for r in warc.read_records(spark, f"file://{tmp_path}").collect()}
+    assert got == {f"<urn:{i}>": bytes([65 + i]) * i for i in range(5)}
+    whole = record(1, b"abcdef") + b"\r\n\r\n"
+    assert [x for _, x in warc.parse_records(whole * 2)] == [b"abcdef"] * 2
+    for bad in (whole[:-4], whole[:-7], whole[:-2], b"x" + whole, record(1, b"abcdef") + whole):
+        with pytest.raises(ValueError):
+            list(warc.parse_records(bad))
+
+
+def test_warc_keeps_every_row_and_takes_digests_from_payloads(spark, tmp_path):
+    rows = [(1, "u", "a" * 100), (1, "v", "a" * 100), (1, "w", "b" * 120), (2, "u", "a" * 100), (3, "u", "b" * 120), (3, "u", "b" * 120), (None, "u", "a" * 100), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = warc.archive_pages(pages, f"file://{tmp_path}/all", unnamed=True).collect()
+    want = []
+    for i, _, h in rows:
+        first = min(j for j, _, x in rows if j is not None and x == h) if h and i is not None else i
+        want.append((i, len(h or ""), hashlib.sha256((h or "").encode()).hexdigest(), "revisit" if first != i else "response"))
+    key = lambda x: (x[0] is None, x)
+    assert sorted(((r.page_id, r.capture.payload_bytes, r.capture.payload_digest, r.capture.record_type) for r in got), key=lambda x: str(key(x))) == sorted(want, key=lambda x: str(key(x)))
+    ids = {r.capture.record_id for r in got}
+    assert len(ids) == len(rows) and all(r.capture.refers_to in ids for r in got if r.capture.record_type == "revisit")
+    assert warc.archive_pages(pages).count() == 6
+    records = warc.read_records(spark, f"file://{tmp_path}/all").withColumn("payload_digest", F.lit("of the header"))
+    assert {r.capture.payload_digest for r in warc.assemble(records).collect()} == {x[2] for x in want}
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(300, 32))
