@@ -20,7 +20,7 @@ a segment of at most 82 bytes.
 4. The covered spans of a document are merged, and its remaining bytes digested.
 
 Defined cases: null counts as empty; texts under 50 bytes lose nothing; rows of equal doc_id don't
-remove from each other; a null doc_id neither removes nor loses bytes; an empty table gives an
+remove from each other, and where their texts differ, ``part`` (a hash of the text, else 0) tells whose spans are whose; a null doc_id neither removes nor loses bytes; an empty table gives an
 empty result; long texts are processed whole; other columns are ignored.
 """
 
@@ -155,13 +155,13 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
 
 
 def _segments(docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(anchor, doc_id, hash, start, size) of segments: kind 0, or 2 where a smaller document of
+    """(anchor, doc_id, hash, start, size, part) of segments: kind 0, or 2 where a smaller document of
     the task has an equal one."""
 
     def run(batches):
         for b in batches:
             b = b.take(pa.array(np.flatnonzero(b.column(2).is_valid().to_numpy(zero_copy_only=False))))
-            ids, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(2)
+            ids, parts, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False), b.column(2)
             values = lists.flatten().to_numpy(zero_copy_only=False)
             bounds = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
             found = []
@@ -174,28 +174,28 @@ def _segments(docs: DataFrame, anchors: DataFrame) -> DataFrame:
                     if lo < hi:
                         wanted[lo:hi] = np.isin(anchor[lo:hi], values[bounds[i + k] : bounds[i + k + 1]])
                 start, end, doc = start[wanted], end[wanted], doc[wanted]
-                found.append((anchor[wanted], ids[i + doc], span_hashes(prefix_hashes(part), start, end).view(np.int64), start - own[doc], end - start))
+                found.append((anchor[wanted], ids[i + doc], span_hashes(prefix_hashes(part), start, end).view(np.int64), start - own[doc], end - start, parts[i + doc]))
             if not found:
                 continue
-            anchor, owner, h, start, size = (np.concatenate(x) for x in zip(*found, strict=True))
+            anchor, owner, h, start, size, parts = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((owner, h, anchor))
-            anchor, owner, h, start, size = (x[order] for x in (anchor, owner, h, start, size))
+            anchor, owner, h, start, size, parts = (x[order] for x in (anchor, owner, h, start, size, parts))
             known = _least(owner, anchor, h) < owner
-            order = np.lexsort((start, owner, known))
-            anchor, owner, h, start, size, known = (x[order] for x in (anchor, owner, h, start, size, known))
+            order = np.lexsort((start, parts, owner, known))
+            anchor, owner, h, start, size, parts, known = (x[order] for x in (anchor, owner, h, start, size, parts, known))
             # known repeats need no comparison: what follows on from each other is one row
             head = ~known
             head[:1] = True
-            head[1:] |= (owner[1:] != owner[:-1]) | (start[1:] > (start + size)[:-1]) | ~known[:-1]
+            head[1:] |= (owner[1:] != owner[:-1]) | (parts[1:] != parts[:-1]) | (start[1:] > (start + size)[:-1]) | ~known[:-1]
             first = np.flatnonzero(head)
             last = np.append(first[1:], len(head))[: len(first)] - 1
             size = (start + size)[last] - start[first]
             known = known[first]
             anchor, h = np.where(known, 2, anchor[first]), np.where(known, 0, h[first])
-            yield _batch("anchor doc_id hash start size", anchor, owner[first], h, start[first], size)
+            yield _batch("anchor doc_id hash start size part", anchor, owner[first], h, start[first], size, parts[first])
 
-    rows = docs.join(anchors, "doc_id", "left").select("doc_id", "text", "anchors")
-    return rows.mapInArrow(run, "anchor long, doc_id long, hash long, start long, size long")
+    rows = docs.join(anchors, "doc_id", "left").select("doc_id", "text", "anchors", "part")
+    return rows.mapInArrow(run, "anchor long, doc_id long, hash long, start long, size long, part long")
 
 
 def _least(owner: np.ndarray, *sorted_by: np.ndarray) -> np.ndarray:
@@ -211,28 +211,28 @@ def _least(owner: np.ndarray, *sorted_by: np.ndarray) -> np.ndarray:
 
 
 def _compared(segments: DataFrame) -> DataFrame:
-    """(doc_id, a, b, anchor): spans that repeat (anchor null), and segments to be looked into."""
+    """(doc_id, part, a, b, anchor): spans that repeat (anchor null), and segments to be looked into."""
 
     def run(batches):
         for t in _groups(batches, 0, 6):
-            anchor, owner, h, start, size = (t.column(i).to_numpy() for i in range(5))
+            anchor, owner, h, start, size, parts = (t.column(i).to_numpy() for i in range(6))
             known = anchor & 3 == 2
-            rows = [(owner[known], start[known], (start + size)[known], np.zeros(int(known.sum()), np.int64), np.ones(int(known.sum()), bool))]
-            anchor, owner, h, start, size = (x[~known] for x in (anchor & ~np.int64(63), owner, h, start, size))
+            rows = [(owner[known], parts[known], start[known], (start + size)[known], np.zeros(int(known.sum()), np.int64), np.ones(int(known.sum()), bool))]
+            anchor, owner, h, start, size, parts = (x[~known] for x in (anchor & ~np.int64(63), owner, h, start, size, parts))
             order = np.lexsort((h, anchor))
-            anchor, owner, h, start, size = (x[order] for x in (anchor, owner, h, start, size))
+            anchor, owner, h, start, size, parts = (x[order] for x in (anchor, owner, h, start, size, parts))
             least = _least(owner, anchor, h)
             several = _least(h, anchor) != -_least(-h, anchor)
             keep = (least < owner) | several
-            rows.append((owner[keep], start[keep], (start + size)[keep], anchor[keep], (least < owner)[keep]))
-            owner, a, b, anchor, repeat = (np.concatenate(x) for x in zip(*rows, strict=True))
-            yield _batch("doc_id a b anchor", owner, a, b, pa.array(anchor, mask=repeat))
+            rows.append((owner[keep], parts[keep], start[keep], (start + size)[keep], anchor[keep], (least < owner)[keep]))
+            owner, parts, a, b, anchor, repeat = (np.concatenate(x) for x in zip(*rows, strict=True))
+            yield _batch("doc_id part a b anchor", owner, parts, a, b, pa.array(anchor, mask=repeat))
 
-    return _dealt(segments).sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, a long, b long, anchor long")
+    return _dealt(segments).sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, part long, a long, b long, anchor long")
 
 
 def _cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(anchor, doc_id, start, segment) of the wanted segments of each document."""
+    """(anchor, doc_id, start, segment, part) of the wanted segments of each document."""
 
     def run(batches):
         for b in batches:
@@ -240,7 +240,7 @@ def _cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if not b.num_rows:
                 continue
             buf, offs = flat(b.column(1))
-            ids, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(2)
+            ids, parts, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False), b.column(2)
             a, e, anchor = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(3))
             doc = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
             begin = offs[doc] + a
@@ -248,10 +248,10 @@ def _cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             ends = np.append(0, np.cumsum(sizes))
             at = np.repeat(begin - ends[:-1], sizes) + np.arange(int(ends[-1]))
             bytes_ = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(buf[at].tobytes())])
-            yield _batch("anchor doc_id start segment", anchor, ids[doc], a, bytes_)
+            yield _batch("anchor doc_id start segment part", anchor, ids[doc], a, bytes_, parts[doc])
 
-    rows = docs.join(wanted, "doc_id", "left").select("doc_id", "text", "wanted")
-    return rows.mapInArrow(run, "anchor long, doc_id long, start long, segment binary")
+    rows = docs.join(wanted, ["doc_id", "part"], "left").select("doc_id", "text", "wanted", "part")
+    return rows.mapInArrow(run, "anchor long, doc_id long, start long, segment binary, part long")
 
 
 class RunIndex:
@@ -322,15 +322,15 @@ def _dense(key: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_spans(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, segment: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, first, end) of the spans that smaller documents hold, for whole anchor groups."""
+def repeated_spans(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, segment: list[bytes], part: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, part, first, end) of the spans that smaller documents hold, for whole anchor groups."""
     least: dict[bytes, int] = {}
     for x, d in zip(segment, doc.tolist(), strict=True):
         if least.get(x, d) >= d:
             least[x] = d
     size = np.array([len(x) for x in segment])
     own = np.array([least[x] == d for x, d in zip(segment, doc.tolist(), strict=True)])
-    out = [(doc[~own], start[~own], (start + size)[~own])]
+    out = [(doc[~own], part[~own], start[~own], (start + size)[~own])]
     # distinct segments, of anchors that have several
     at = {}
     for k in np.flatnonzero(own).tolist():
@@ -351,12 +351,12 @@ def repeated_spans(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, segme
             last = np.append(first[1:], len(hits)) - 1
             rows = [(k, lo, hi + LENGTH) for s, lo, hi in zip(hits[first, 0], hits[first, 1], hits[last, 1], strict=True) for k in at[keys[s]]]
             k, lo, hi = (np.array(x) for x in zip(*rows, strict=True))
-            out.append((doc[k], start[k] + lo, start[k] + hi))
+            out.append((doc[k], part[k], start[k] + lo, start[k] + hi))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def covered_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans array<struct<a, b>>) of bytes to remove, possibly overlapping."""
+    """(doc_id, part, spans array<struct<a, b>>) of bytes to remove, possibly overlapping."""
 
     def run(batches):
         waiting, size = [], 0
@@ -364,7 +364,7 @@ def covered_spans(docs: DataFrame) -> DataFrame:
         def done():
             t = pa.concat_tables(waiting)
             anchor, doc, start = (t.column(i).to_numpy() for i in range(3))
-            return _batch("doc_id a b", *repeated_spans(anchor, doc, start, t.column(3).to_pylist()))
+            return _batch("doc_id part a b", *repeated_spans(anchor, doc, start, t.column(3).to_pylist(), t.column(4).to_numpy()))
 
         for t in _groups(batches, 0):
             for part in _slices(t):
@@ -377,10 +377,10 @@ def covered_spans(docs: DataFrame) -> DataFrame:
             yield done()
 
     compared = _compared(_segments(docs, shared_anchors(docs)))
-    wanted = compared.where("anchor is not null").groupBy("doc_id").agg(F.collect_list(F.struct("a", "b", "anchor")).alias("wanted"))
+    wanted = compared.where("anchor is not null").groupBy("doc_id", "part").agg(F.collect_list(F.struct("a", "b", "anchor")).alias("wanted"))
     rows = _cut_out(docs, wanted).repartition("anchor").sortWithinPartitions("anchor")
-    found = compared.where("anchor is null").select("doc_id", "a", "b").union(rows.mapInArrow(run, "doc_id long, a long, b long"))
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    found = compared.where("anchor is null").select("doc_id", "part", "a", "b").union(rows.mapInArrow(run, "doc_id long, part long, a long, b long"))
+    return found.groupBy("doc_id", "part").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def _slices(t: pa.Table):
@@ -407,6 +407,17 @@ def _sha():
     return F.unhex(F.sha2("text", 256)).alias("sha")
 
 
+def _with_parts(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rows`` with ``part``: the hash of the text for ids that have several texts in ``docs``, else 0."""
+    texts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"))
+    several = stage(texts.where("low <> high").select(F.col("doc_id").alias("_r")), "several")
+    n = several.count()
+    if not n:
+        return rows.withColumn("part", F.lit(0).cast("long"))
+    found = rows.join(F.broadcast(several) if n <= BROADCAST_ROWS else several, F.col("doc_id") == F.col("_r"), "left")
+    return found.withColumn("part", F.when(F.col("_r").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0))).drop("_r")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every row."""
 
@@ -436,7 +447,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     few = copies.count() <= BROADCAST_ROWS  # beyond it, the anti-join is a shuffled one
     gone = copies.select(F.col("doc_id").alias("_d"), F.col("sha").alias("_s"))
     rest = docs.join(F.broadcast(gone) if few else gone, (F.col("doc_id") == F.col("_d")) & (_sha() == F.col("_s")), "left_anti")
-    rows = rest.join(covered_spans(rest), "doc_id", "left").select("doc_id", "text", "spans")
+    rest = _with_parts(rest, docs)
+    rows = rest.join(covered_spans(rest), ["doc_id", "part"], "left").select("doc_id", "text", "spans")
     out = rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     empty = F.lit(sha256(b"").hexdigest())
     return out.union(copies.select("doc_id", "n_bytes", "n_bytes", F.lit(1).cast("long"), empty, F.lit(b"").cast("binary")))

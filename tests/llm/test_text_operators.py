@@ -209,6 +209,23 @@ def test_unigram_kind_takes_the_best_sum():
         assert b"".join(model.text[i] for i in part) == t.encode()
 
 
+def test_suffix_dedup_of_an_id_with_two_texts(spark):
+    rng = random.Random(8)
+    prose = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage, other = prose(120), prose(90)
+    texts = [(1, prose(80) + passage + prose(40) + other), (2, prose(300) + passage + prose(50)), (2, prose(70)), (2, prose(400)), (3, prose(30) + other + prose(200)), (3, prose(500) + passage)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()
+    want = [(i, t if i == 1 else t.replace(passage, "").replace(other, "")) for i, t in texts]
+    assert [x[1] for x in want] != [x[1] for x in texts]
+    # a byte beside a passage may agree by chance: spans are as long as the passages at least, and close to them
+    size = {(r.doc_id, r.n_bytes): (r.n_removed, r.n_spans) for r in got}
+    assert len(got) == len(size) == len(texts)
+    for (i, t), (_, kept) in zip(texts, want, strict=True):
+        removed, spans = size[i, len(t)]
+        gone = len(t) - len(kept)
+        assert gone <= removed <= gone + 6 and spans == (gone > 0)
+
+
 def test_ppm(docs, rows, odd, empty):
     got = {r.doc_id: r for r in ppm.score(docs).collect()}
     hold = {r[0]: zlib.crc32(str(r[0]).encode()) % 7 == 2 for r in rows}
