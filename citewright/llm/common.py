@@ -17,16 +17,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 21
+SHARES = 4096  # parts of a bin of counts
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (local tests) a temporary folder is chosen and recorded.
-    """
+    Only a session without a cluster, where driver and executors are one process, gets a temporary one if it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: staged tables need a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -133,15 +135,25 @@ def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def most_frequent(counts: DataFrame, most: int, *more: str) -> DataFrame:
     """The rows (code, n, and the columns ``more``) of the greatest n, at most ``most`` of them. Counts are binned by sixteenths of
-    powers of two, and whole bins are taken from the top, so no task sorts or gathers the candidates."""
+    powers of two, so no task sorts or gathers the candidates. Whole bins are taken from the top; of the first that has
+    no room, the rows of the smallest hashes of their codes."""
     bin_ = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
-    bins = sorted(((r["bin"], r["rows"]) for r in counts.groupBy(bin_.alias("bin")).agg(F.count("*").alias("rows")).collect()), reverse=True)
-    low, room = None, most
+    share = F.pmod(F.xxhash64("code", F.lit(23)), F.lit(SHARES)).cast("int")
+    bins = counts.groupBy(bin_.alias("bin")).agg(F.count("*").alias("rows")).orderBy(F.desc("bin")).collect()  # some 16 rows a power of two
+    room, whole = most, None
     for at, rows in bins:
         if rows > room:
-            break
-        low, room = at, room - rows
-    return counts.where(F.lit(False) if low is None else bin_ >= low).select("code", "n", *more)
+            shares = counts.where(bin_ == at).groupBy(share.alias("share")).agg(F.count("*").alias("rows")).orderBy("share").collect()
+            upto = -1
+            for k, n in shares:
+                room -= n
+                if room < 0:
+                    break
+                upto = k
+            keep = (bin_ > at) | ((bin_ == at) & (share <= upto))
+            return counts.where(keep).select("code", "n", *more)
+        room, whole = room - rows, at
+    return counts.where(F.lit(False) if whole is None else bin_ >= whole).select("code", "n", *more)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -1,19 +1,22 @@
 """Self-join of documents whose 5-word shingle sets have Jaccard similarity 0.8 or more.
 
 Shingles are 64-bit hashes in one global order: common ones last, else by value. By that
-order the first n - ceil(0.8 n) + l shingles of a set, its prefix, share l at least with the prefix
-of every partner (l grows with n; for sets of unequal size the smaller l holds). Prefix rows
-are grouped by shingle; the smallest document of a group is its centre, so a group of m members
-makes m - 1 pairs, whatever m is.
-
-A document goes to the block of the centre it meets most often. Large blocks are dealt into parts,
-which share some members as landmarks. The globally ordered sets of a part form a prefix tree; every
-member traverses it: shared runs of shingles are matched once, a subtree is cut when its overlap so far plus the
-least remaining length can't reach the required overlap, or when all of it is linked to the member already.
-Links give components. Then only
-pairs in prefix groups whose ends lie in different components can still add a link: those that meet l times,
-and whose 512-bit sketches, which bound the overlap from above, allow it, are all formed and verified through the
-same trees, so no link between texts is lost.
+order the first n - ceil(0.8 n) + 1 shingles of a set, its prefix, share one at least with the prefix
+of every partner. Documents with equal sets are one set, named by a hash of it; all that follows is about
+distinct sets, and ids come back at the end, so an id may have several texts.
+
+1. Prefix rows are grouped by shingle; the smallest set of a group is its centre, so a group of m members
+   makes m - 1 pairs, whatever m is. Each batch makes its own groups first and sends only their centres on,
+   so a shingle of any frequency is a few rows a batch.
+2. A set goes to the block of the centre it meets most often, of those that lengths and sketches allow. Large
+   blocks are dealt into parts, which share some members as landmarks. The globally ordered sets of a part
+   form a prefix tree; every member traverses it: shared runs of shingles are matched once, a subtree is cut
+   when its overlap so far plus the least remaining length can't reach the required overlap, or when all
+   of it is linked to the member already. Links give components.
+3. Only pairs whose ends lie in different components can still add a link. Groups that hold several
+   components are dealt into tiles, so that no task holds a whole group; within tiles, lengths, places in the prefixes and
+   512-bit sketches, which bound the overlap from above, rule pairs out. A pair that shares the shingle before, too, was
+   met there and isn't met again. What is left is verified through the same trees, so no link between texts is lost.
 
 Which shingles count as common is found by counting all prefixes; the COMMON_MOST most
 frequent of at least COMMON_LEAST go last. Any choice gives the same links: it only keeps
@@ -21,19 +24,21 @@ passages that many documents share out of the prefixes.
 
 Defined cases: null, empty and blank texts have an empty set, link with nothing and are
 components of their own; one to four words form one shingle; rows that repeat a doc_id are
-one document with that id (their texts' links are united), one row out for each row in;
-null ids come out with a null component; an empty table gives an empty result; long texts
-count whole; other columns are ignored. Equal hashes of unequal shingles, one pair in 2**64,
+one document with that id (the links of all its texts are united), one row out for each row in;
+null ids take no part and come out with a null component; an empty table gives an empty result; long texts
+count whole; other columns are ignored. Equal hashes of unequal shingles or sets, one pair in 2**64,
 would count as equal.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import chunks, components, flat, mix, most_frequent, stage, word_hashes
@@ -43,10 +48,12 @@ WORDS = 5
 NUM, DEN = 80, 100  # links have DEN * intersection >= NUM * union
 COMMON_LEAST = 3
 COMMON_MOST = 1 << 20
-PAIRS_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE = 1 << 18
+ROWS_AT_ONCE = 1 << 20
 PART = 384  # members of a part of a block
 LANDMARKS = 16  # members all parts of a block share, about
-BROADCAST_IDS = 1 << 20  # more wanted ids than this meet the texts by a shuffled join
+TILE = 2048  # members of a group that are compared with as many others in one go
+TREE = 256  # partners of a set that form one tree
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -72,6 +79,11 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.int64)
 
 
+def set_key(s: np.ndarray) -> int:
+    """The name of a set: 64 bits of a digest of its sorted shingles."""
+    return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def in_order(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The sorted set in the global order: shingles of ``common`` last."""
     if not len(common) or not len(s):
@@ -81,13 +93,8 @@ def in_order(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~last], s[last]])
 
 
-def least_shared(n):
-    """Prefix shingles a set of n shares with any partner of the same or a greater l."""
-    return 1 + (n - -(-NUM * n // DEN)) // 4
-
-
 def prefix_length(n: int) -> int:
-    return n - -(-NUM * n // DEN) + least_shared(n)
+    return n - -(-NUM * n // DEN) + 1
 
 
 def needed(a: int | np.ndarray, b: int | np.ndarray):
@@ -98,185 +105,118 @@ def needed(a: int | np.ndarray, b: int | np.ndarray):
 def sketch(s: np.ndarray) -> np.ndarray:
     """512 bits as 8 int64: for each residue of the shingles, whether an odd number has it. Where two
     sketches differ, the sets differ by one shingle at least."""
-    odd = np.bincount(s.view(np.uint64) & np.uint64(511) if len(s) else s, minlength=512) & 1
+    odd = np.bincount((s.view(np.uint64) & np.uint64(511)).astype(np.int64), minlength=512) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """doc_id, n, rep, prefix, sketch: of sets equal within a task only the first, the rep, has the latter two."""
+    """doc_id, key, n, prefix, sketch: of sets equal within a task only the first has the latter two."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
-        seen: dict[bytes, int] = {}
+        seen: set[int] = set()
         for b in batches:
             ids = b.column(0).to_pylist()
-            ns, reps, prefixes, sketches = [], [], [], []
+            keys, ns, prefixes, sketches = [], [], [], []
             for doc, s in zip(ids, shingle_sets(b.column(1)), strict=True):
-                key = _digest(s)
-                rep = seen.setdefault(key, doc) if doc is not None else None
+                key = set_key(s)
+                first = doc is not None and len(s) > 0 and key not in seen
+                if first:
+                    seen.add(key)
+                keys.append(key)
                 ns.append(len(s))
-                reps.append(rep)
-                first = rep is not None and rep == doc and len(s) > 0
                 prefixes.append(in_order(s, shared.value)[: prefix_length(len(s))] if first else None)
-                sketches.append(sketch(s).tobytes() if first else None)
-            columns = [pa.array(x, pa.int64()) for x in (ids, ns, reps)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "n", "rep", "prefix", "sketch"])
+                sketches.append(sketch(s) if first else None)
+            columns = [pa.array(x, pa.int64()) for x in (ids, keys, ns)] + [pa.array(x, pa.list_(pa.int64())) for x in (prefixes, sketches)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n", "prefix", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, rep long, prefix array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, key long, n long, prefix array<long>, sketch array<long>")
 
 
-def _digest(s: np.ndarray) -> bytes:
-    from hashlib import blake2b
+def _members(prefixes: DataFrame) -> DataFrame:
+    """Members (token, key, n, pos, centre, centre_n) of the prefix groups of two sets and more.
 
-    return blake2b(s.tobytes(), digest_size=16).digest()
-
-
-def _stars(prefixes: DataFrame) -> DataFrame:
-    """Members (token, doc_id, n, pos, centre, centre_n) of the prefix groups of two and more."""
+    kind is 0 for a set alone with its shingle in its batch, 1 for the centre of several, 2 for the others of those."""
 
     def run(batches):
-        token = centre = size = place = None
-        alone = False
         for b in batches:
-            t, d, n, p = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            if not len(t):
-                continue
-            head = np.empty(len(t), bool)
-            head[0] = t[0] != token
-            head[1:] = t[1:] != t[:-1]
-            start = np.maximum.accumulate(np.where(head, np.arange(len(t)), -1))
-            of = lambda own, carried: np.where(start < 0, carried if carried is not None else 0, own[start])  # noqa: B023, E731
-            c, cn = of(d, centre), of(n, size)
-            follows = np.append(t[1:] == t[:-1], False)
-            member = ~head | follows
-            rows = [x[member] for x in (t, d, n, p, c, cn)]
-            if alone and not head[0]:  # the centre of a group that goes on from the batch before
-                rows = [np.append(x, y) for x, y in zip(rows, (token, centre, size, place, centre, size), strict=True)]
-            alone = bool(head[-1])
-            token, centre, size = t[-1], c[-1], cn[-1]
-            if head[-1]:
-                place = p[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=["token", "doc_id", "n", "pos", "centre", "centre_n"])
-
-    rows = prefixes.where("prefix is not null").select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
-    rows = rows.select("token", "doc_id", "n", F.col("pos").cast("long")).repartition("token").sortWithinPartitions("token", "doc_id")
-    return rows.mapInArrow(run, "token long, doc_id long, n long, pos long, centre long, centre_n long")
-
-
-def _met_often(counted: DataFrame) -> DataFrame:
-    """Pairs (a, b) of (a, b, na, nb, met) that lengths and the number of meetings allow."""
-    least = lambda n: f"1 + ({n} - ceil({NUM} * {n} / {DEN})) div 4"
-    fits = f"{DEN} * least(na, nb) >= {NUM} * greatest(na, nb)"
-    return counted.where(fits).where(f"met >= least({least('na')}, {least('nb')})")
-
-
-def _across(members: DataFrame) -> DataFrame:
-    """(a, b, na, nb, met): pairs in different components whose sketches allow a link, and how often their prefixes meet.
-
-    In a group, only members outside its largest component are compared with the others. What many
-    documents share was put last in the order, and near copies already are one component, so
-    these are few; a group is held as some 100 bytes a member, its pairs are streamed."""
-
-    def run(batches):
-        for t in _groups(batches, 0):
-            token, doc, n, component = (t.column(i).to_numpy() for i in range(4))
-            order = np.lexsort((doc, n, token))
-            token, doc, n, component = token[order], doc[order], n[order], component[order]
-            bits = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint64).reshape(-1, 8)[order]
-            head = np.flatnonzero(np.append(True, token[1:] != token[:-1])[: len(token)])
-            group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(token))))
-            main = _largest(group, component)[group] == component
-            # partners of a member are those of its group with 4/5 to 5/4 of its size
-            key = group * np.int64(1 << 40) + n
-            probe = np.flatnonzero(~main)
-            low = np.searchsorted(key, group[probe] * np.int64(1 << 40) - (-NUM * n[probe] // DEN), "left")
-            high = np.searchsorted(key, group[probe] * np.int64(1 << 40) + DEN * n[probe] // NUM, "right")
-            bounds = np.append(0, np.cumsum(high - low))
+            lists = b.column(2)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            values, key, size = lists.flatten().to_numpy(zero_copy_only=False), b.column(0).to_numpy(), b.column(1).to_numpy()
             lo = 0
-            while lo < len(probe):
-                hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + PAIRS_AT_ONCE, "right")) - 1)
-                count = (high - low)[lo:hi]
-                i = np.repeat(probe[lo:hi], count)
-                j = np.repeat(low[lo:hi], count) + np.arange(len(i)) - np.repeat(bounds[lo:hi] - bounds[lo], count)
+            while lo < len(sizes):
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - sizes[lo] + ROWS_AT_ONCE, "right")))
+                token = values[ends[lo] - sizes[lo] : ends[hi - 1]]
+                owner = np.repeat(np.arange(lo, hi), sizes[lo:hi])
+                pos = np.arange(len(token)) - np.repeat(ends[lo:hi] - sizes[lo:hi] - (ends[lo] - sizes[lo]), sizes[lo:hi])
+                order = np.lexsort((key[owner], token))
+                token, owner, pos = token[order], owner[order], pos[order]
+                head = np.append(True, token[1:] != token[:-1])
+                several = ~(head & np.append(head[1:], True))
+                centre = owner[np.maximum.accumulate(np.where(head, np.arange(len(token)), 0))]
+                columns = (token, key[owner], size[owner], pos, key[centre], size[centre], np.where(several, np.where(head, 1, 2), 0))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["token", "key", "n", "pos", "centre", "centre_n", "kind"])
                 lo = hi
-                ok = (component[i] != component[j]) & (main[j] | (doc[i] < doc[j]))
-                i, j = i[ok], j[ok]
-                differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-                ok = (n[i] + n[j] - differ) // 2 >= needed(n[i], n[j])
-                i, j = i[ok], j[ok]
-                swap = doc[i] > doc[j]
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
-                order = np.lexsort((doc[j], doc[i]))  # the same pair in many groups is one row with its count
-                i, j = i[order], j[order]
-                a, b = doc[i], doc[j]
-                first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)])
-                met = np.diff(np.append(first, len(a)))
-                columns = (a[first], b[first], n[i[first]], n[j[first]], met)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["a", "b", "na", "nb", "met"])
-
-    found = members.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long, na long, nb long, met long")
-    return found.groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met"))
-
-
-def _largest(group: np.ndarray, component: np.ndarray) -> np.ndarray:
-    """For each group the component that most of its rows have."""
-    order = np.lexsort((component, group))
-    g, c = group[order], component[order]
-    head = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (c[1:] != c[:-1]))[: len(g)])
-    count = np.diff(np.append(head, len(g)))
-    best = np.lexsort((count, g[head]))
-    last = np.append(g[head][best][1:] != g[head][best][:-1], True)[: len(best)]
-    return c[head][best][last]
-
-
-def _mixed(members: DataFrame) -> DataFrame:
-    """Members (token, doc_id, component) of the groups that hold several components."""
 
-    def run(batches):
-        for t in _groups(batches, 0):
-            token, component = t.column(0).to_numpy(), t.column(2).to_numpy()
-            head = np.flatnonzero(np.append(True, token[1:] != token[:-1])[: len(token)])
-            mixed = np.minimum.reduceat(component, head) < np.maximum.reduceat(component, head)
-            keep = np.repeat(mixed, np.diff(np.append(head, len(token))))
-            yield from t.filter(pa.array(keep)).to_batches()
+    rows = prefixes.where("prefix is not null").select("key", "n", "prefix")
+    rows = rows.mapInArrow(run, "token long, key long, n long, pos long, centre long, centre_n long, kind long")
+    local = F.col("kind") == 2
+    order = W.partitionBy("token", F.when(local, F.col("key"))).orderBy("key")
+    rows = rows.select("*", F.first("key").over(order).alias("c"), F.first("n").over(order).alias("cn"), F.lead("key").over(order).alias("next"))
+    # of equal sets from several batches one row is enough
+    last = F.col("next").isNull() | (F.col("next") != F.col("key"))
+    kept = rows.where((F.col("kind") > 0) | (last & ((F.col("c") != F.col("key")) | F.col("next").isNotNull())))
+    return kept.select("token", "key", "n", "pos", F.when(local, F.col("centre")).otherwise(F.col("c")).alias("centre"), F.when(local, F.col("centre_n")).otherwise(F.col("cn")).alias("centre_n"))
+
 
-    rows = members.select("token", "doc_id", "component").repartition("token").sortWithinPartitions("token")
-    return rows.mapInArrow(run, "token long, doc_id long, component long")
+def _fit(a: str, b: str) -> Column:
+    """Whether sets of so many elements can link."""
+    return DEN * F.least(a, b) >= NUM * F.greatest(a, b)
+
+
+def _allowed(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b, na, nb) whose lengths and sketches allow a link."""
+    one = sketches.select(F.col("key").alias("a"), F.col("sketch").alias("sa"))
+    two = sketches.select(F.col("key").alias("b"), F.col("sketch").alias("sb"))
+    both = pairs.where(_fit("na", "nb")).join(one, "a").join(two, "b")
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return both.where((F.col("na") + F.col("nb") - differ) * (NUM + DEN) >= 2 * NUM * (F.col("na") + F.col("nb"))).drop("sa", "sb")
 
 
 def _blocks(met: DataFrame) -> DataFrame:
-    """(block, part, doc_id): each document in the block of the centre it meets most often, the centre
+    """(block, part, key): each set in the block of the centre it meets most often, the centre
     too; parts of about PART members, and the landmarks of a block in each of its parts."""
-    home = met.groupBy(F.col("b").alias("doc_id")).agg(F.max_by("a", F.struct("met", -F.col("a"))).alias("block"))
-    rows = home.select("block", "doc_id").union(home.select("block", F.col("block").alias("doc_id")).distinct())
-    sizes = rows.groupBy("block").agg(F.count("*").alias("size"))
-    rows = rows.join(sizes, "block").withColumn("parts", F.ceil(F.col("size") / PART).cast("int")).withColumn("at", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 40)))
-    mark = (F.col("at") * F.col("size") < F.lit(LANDMARKS << 40)) | (F.col("doc_id") == F.col("block"))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    return rows.withColumn("part", F.explode(F.when(mark, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own)))).select("block", "part", "doc_id").distinct()
+    home = stage(met.groupBy(F.col("b").alias("key")).agg(F.max_by("a", F.struct("met", -F.col("a"))).alias("block")), "home")
+    rows = home.select("block", "key").union(home.select("block", F.col("block").alias("key")).distinct())
+    sizes = stage(rows.groupBy("block").agg(F.count("*").alias("size")), "sizes")
+    rows = rows.join(sizes, "block").withColumn("parts", F.ceil(F.col("size") / PART).cast("int")).withColumn("at", F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 40)))
+    mark = (F.col("at") * F.col("size") < F.lit(LANDMARKS << 40)) | (F.col("key") == F.col("block"))
+    own = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    return rows.withColumn("part", F.explode(F.when(mark, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own)))).select("block", "part", "key").distinct()
 
 
-def _linked_blocks(docs: DataFrame, blocks: DataFrame, common: np.ndarray) -> DataFrame:
+def _linked_blocks(docs: DataFrame, blocks: DataFrame, owners: DataFrame, common: np.ndarray) -> DataFrame:
     """(u, v): links that join the members of each part of a block as far as they link at all."""
 
     def run(batches):
         for t in _groups(batches, 0):
-            key = t.column(0).to_numpy()
+            block = t.column(0).to_numpy()
             lists = t.column(2).combine_chunks()
             values, bounds = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
-            ids = t.column(1).to_numpy()
-            cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+            keys = t.column(1).to_numpy()
+            cuts = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
             us, vs = [], []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 got = _join_part([values[bounds[k] : bounds[k + 1]] for k in range(lo, hi)])
-                us += [int(ids[lo + a]) for a, _ in got]
-                vs += [int(ids[lo + b]) for _, b in got]
+                us += [int(keys[lo + a]) for a, _ in got]
+                vs += [int(keys[lo + b]) for _, b in got]
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     blocks = stage(blocks, "blocks")
-    sets = _ordered_sets(docs, blocks.select("doc_id").distinct(), common)
-    rows = blocks.join(sets, "doc_id").select(F.xxhash64("block", "part").alias("key"), "doc_id", "shingles")
-    return stage(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long"), "links")
+    sets = _ordered_sets(docs, blocks.select("key").distinct(), owners, common)
+    rows = blocks.join(sets, "key").select(F.xxhash64("block", "part").alias("at"), "key", "shingles")
+    return stage(rows.repartition("at").sortWithinPartitions("at").mapInArrow(run, "u long, v long"), "links")
 
 
 def _join_part(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -337,32 +277,102 @@ def _walk(sets: list[np.ndarray], probe: np.ndarray, lo: int, hi: int, depth: in
             return
 
 
+def _tiles(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(tile, side, key, n, pos, before, component, sketch): members of groups with several components, dealt into tiles.
+
+    The sets outside a group's largest component, usually few, form its first parts, those of the
+    largest the others. A tile is two parts, one of the first ones at least, or one of these alone; side tells its parts apart, 2 is
+    a part with itself. ``before`` is the shingle of such a group that precedes in the set's prefix."""
+    own = members.select("token", "key", "n", "pos").distinct().join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    own = stage(own, "own")
+    counts = own.groupBy("token", "component").agg(F.count("*").alias("rows"))
+    groups = counts.groupBy("token").agg(F.max_by("component", "rows").alias("main"), F.max("rows").alias("inside"), F.sum("rows").alias("all"), F.count("*").alias("kinds"))
+    parts = lambda rows: F.ceil(rows / TILE).cast("int")
+    small = F.col("all") <= TILE
+    groups = groups.where("kinds > 1").select(
+        "token", "main", F.when(small, 1).otherwise(parts(F.col("all") - F.col("inside"))).alias("firsts"), F.when(small, 0).otherwise(parts(F.col("inside"))).alias("others")
+    )
+    rows = own.join(stage(groups, "groups"), "token")
+    rows = rows.withColumn("before", F.lag("token").over(W.partitionBy("key").orderBy("pos"))).join(sketches, "key")
+    hashed = F.xxhash64("key")
+    inside = (F.col("component") == F.col("main")) & (F.col("others") > 0)
+    part = F.when(inside, F.col("firsts") + F.pmod(hashed, F.greatest(F.col("others"), F.lit(1)))).otherwise(F.pmod(hashed, F.col("firsts"))).cast("int")
+    rows = rows.withColumn("part", part)
+    most = F.when(F.col("part") < F.col("firsts"), F.col("firsts") + F.col("others")).otherwise(F.col("firsts"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), most - 1)))
+    side = F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1)
+    tile = F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other"))
+    return rows.select(tile.alias("tile"), side.alias("side"), "key", "n", "pos", "before", "component", "sketch")
+
+
+def _across(tiles: DataFrame) -> DataFrame:
+    """(a, b): pairs in different components that may link, each from the tiles where it is met first."""
+
+    def run(batches):
+        for t in _groups(batches, 0):
+            tile, side, key, n, pos = (t.column(k).to_numpy() for k in range(5))
+            chained = t.column(5).combine_chunks()
+            component = t.column(6).to_numpy()
+            _, cell = np.unique(tile, return_inverse=True)
+            order = np.lexsort((key, n, cell))
+            bits = t.column(7).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, 8)[order]
+            has = chained.is_valid().to_numpy(zero_copy_only=False)[order]
+            before = chained.fill_null(0).to_numpy()[order]
+            cell, side, key, n, pos, component = (x[order] for x in (cell, side, key, n, pos, component))
+            # partners of a member are those behind it in its tile that have up to 5/4 of its size
+            place = cell * np.int64(1 << 40) + n
+            high = np.searchsorted(place, cell * np.int64(1 << 40) + DEN * n // NUM, "right")
+            count = high - np.arange(len(n)) - 1
+            bounds = np.append(0, np.cumsum(count))
+            lo = 0
+            while lo < len(n):
+                hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + PAIRS_AT_ONCE, "right")) - 1)
+                i = np.repeat(np.arange(lo, hi), count[lo:hi])
+                j = i + 1 + np.arange(len(i)) - np.repeat(bounds[lo:hi] - bounds[lo], count[lo:hi])
+                lo = hi
+                ok = (component[i] != component[j]) & ((side[i] != side[j]) | (side[i] == 2)) & ~((before[i] == before[j]) & has[i] & has[j])
+                i, j = i[ok], j[ok]
+                least = needed(n[i], n[j])
+                ok = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least
+                i, j, least = i[ok], j[ok], least[ok]
+                differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+                ok = (n[i] + n[j] - differ) // 2 >= least
+                i, j = key[i[ok]], key[j[ok]]
+                pairs = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link. Consecutive partners of a probe form one prefix tree."""
 
-    def links(probe_set: np.ndarray, ids: list[int], members: list[np.ndarray]) -> list[int]:
-        keys = [x.astype(">i8").tobytes() for x in members]
-        order = sorted(range(len(members)), key=lambda i: keys[i])
-        found: list[int] = []
-        _walk([members[i] for i in order], np.sort(probe_set), 0, len(order), 0, 0, found)
-        return [ids[order[i]] for i in found]
+    def links(probe_set: np.ndarray, keys: list[int], members: list[np.ndarray]) -> list[int]:
+        out = []
+        for at in range(0, len(keys), TREE):
+            own = members[at : at + TREE]
+            order = sorted(range(len(own)), key=lambda i: own[i].astype(">i8").tobytes())
+            found: list[int] = []
+            _walk([own[i] for i in order], np.sort(probe_set), 0, len(order), 0, 0, found)
+            out += [keys[at + order[i]] for i in found]
+        return out
 
     def run(batches):
         for b in batches:
             a = b.column(0).to_numpy(zero_copy_only=False)
-            ids = b.column(1).to_pylist()
+            keys = b.column(1).to_pylist()
             probes, members = b.column(2), b.column(3)
             us, vs = [], []
             cuts = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, int)
             for k, lo in enumerate(cuts):
                 hi = cuts[k + 1] if k + 1 < len(cuts) else len(a)
-                got = links(_values(probes, lo), ids[lo:hi], [_values(members, i) for i in range(lo, hi)])
+                got = links(_values(probes, lo), keys[lo:hi], [_values(members, i) for i in range(lo, hi)])
                 us += [int(a[lo])] * len(got)
                 vs += got
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    one = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("tb"))
-    two = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("ta"))
+    one = sets.select(F.col("key").alias("b"), F.col("shingles").alias("tb"))
+    two = sets.select(F.col("key").alias("a"), F.col("shingles").alias("ta"))
     joined = pairs.join(one, "b").join(two, "a").select("a", "b", "ta", "tb")
     return joined.mapInArrow(run, "u long, v long")
 
@@ -371,26 +381,23 @@ def _values(lists: pa.Array, i: int) -> np.ndarray:
     return lists[i].values.to_numpy(zero_copy_only=False)
 
 
-def _ordered_sets(docs: DataFrame, wanted: DataFrame, common: np.ndarray) -> DataFrame:
-    """doc_id and ordered shingles of the documents in ``wanted``."""
+def _ordered_sets(docs: DataFrame, wanted: DataFrame, owners: DataFrame, common: np.ndarray) -> DataFrame:
+    """key and ordered shingles of the ``wanted`` keys, from the texts of their ``owners`` (key, doc_id)."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
         for b in batches:
-            got = [in_order(s, shared.value) for s in shingle_sets(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    wanted = stage(wanted, "wanted")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    return rows.join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles array<long>")
-
+            wanted, keys, sets = b.column(0).to_numpy(), [], []
+            for key, s in zip(wanted.tolist(), shingle_sets(b.column(1)), strict=True):
+                if set_key(s) == key:  # else it is another text of the id
+                    keys.append(key)
+                    sets.append(in_order(s, shared.value))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
 
-def _linked(docs: DataFrame, pairs: DataFrame, common: np.ndarray) -> DataFrame:
-    pairs = stage(pairs.select("a", "b"), "pairs")
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    return stage(_verified(pairs, stage(_ordered_sets(docs, ends, common), "sets")), "links")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    wanted = stage(wanted.join(owners, "key").select("key", "doc_id"), "wanted")
+    found = rows.join(wanted, "doc_id").select("key", "text").mapInArrow(run, "key long, shingles array<long>")
+    return found.dropDuplicates(["key"])  # an id may repeat a text
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -399,19 +406,34 @@ def near_groups(docs: DataFrame) -> DataFrame:
     counts = stage(counts.where(F.col("n") >= COMMON_LEAST), "common")
     common = np.sort(most_frequent(counts, COMMON_MOST).select("code").toArrow().column(0).to_numpy())
     prefixes = stage(_prefixes(docs, common), "prefixes")
-    members = stage(_stars(prefixes), "members")
-    met = members.where("doc_id <> centre").groupBy(F.col("centre").alias("a"), F.col("doc_id").alias("b"), F.col("centre_n").alias("na"), F.col("n").alias("nb")).agg(F.count("*").alias("met"))
-    links = _linked_blocks(docs, _blocks(_met_often(met)), common)
-    copies = prefixes.where("rep <> doc_id and n > 0").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
-    labels = stage(components(links), "labels").withColumnRenamed("id", "doc_id")
-    small = labels.count() <= BROADCAST_IDS  # else the join is a shuffled one
-    own = members.select("token", "doc_id").join(F.broadcast(labels) if small else labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    sketches = prefixes.where("sketch is not null").select("doc_id", "n", "sketch").dropDuplicates(["doc_id"])
-    mixed = stage(_mixed(own), "mixed").join(sketches, "doc_id").select("token", "doc_id", "n", "component", "sketch")
-    late = _linked(docs, _met_often(_across(mixed)), common)
-    found = components(links.union(late).union(copies))
-    out = prefixes.select("doc_id", F.col("n").alias("n_shingles")).join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    rows = prefixes.select("doc_id", "key", "n")
+    owners = stage(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null"), "owners")
+    sketches = stage(prefixes.where("sketch is not null").select("key", "sketch").dropDuplicates(["key"]), "sketches")
+    members = stage(_members(prefixes), "members")
+    met = members.where("key <> centre").groupBy(F.col("centre").alias("a"), F.col("key").alias("b"), F.col("centre_n").alias("na"), F.col("n").alias("nb")).agg(F.count("*").alias("met"))
+    links = _linked_blocks(docs, _blocks(_allowed(met, sketches)), owners, common)
+    labels = stage(components(links), "labels").select(F.col("id").alias("key"), "component")
+    pairs = stage(_across(_tiles(members, labels, sketches)), "pairs")
+    ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    late = _verified(pairs, stage(_ordered_sets(docs, ends, owners, common), "sets"))
+    several, joins = _united(rows)
+    found = stage(components(links.union(late).union(joins)), "components").select(F.col("id").alias("key"), "component")
+    named = owners.join(found, "key", "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
+    least = stage(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    named = stage(named.join(least, "component").select("key", "component_id"), "named")
+    # a row without words has the component of its id's other texts, if there are any
+    rows = rows.join(several, F.col("doc_id") == F.col("id"), "left").withColumn("key", F.when(F.col("n") > 0, F.col("key")).otherwise(F.col("low")))
+    out = rows.join(named, "key", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def _united(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, low): ids with several texts and the least key of those with words; (u, v): what joins the keys of such an id."""
+    own = F.when(F.col("n") > 0, F.col("key"))
+    ids = rows.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min(own).alias("low"), F.max(own).alias("high"), F.count("*").alias("rows"))
+    several = stage(ids.where("rows > 1 and low is not null").select("id", "low"), "several")
+    joins = rows.where("n > 0").join(several, F.col("doc_id") == F.col("id")).where("key <> low").select(F.col("low").alias("u"), F.col("key").alias("v")).distinct()
+    return several, joins
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 
-from citewright.llm import exact_dedup, mixing, ngram_join, pieces, ppm, secret_scan, suffix_dedup
+from citewright.llm import common, exact_dedup, mixing, ngram_join, pieces, ppm, secret_scan, suffix_dedup
 
 
 def words(t):
@@ -74,23 +74,46 @@ def test_ngram_join(docs, rows, odd, empty):
     assert ngram_join.near_groups(odd).count() == 5 and ngram_join.near_groups(empty).count() == 0
 
 
-def test_cross_component_pairs_alone_find_all(docs, rows, monkeypatch):
-    """Without the star pairs every link has to come from the second round."""
-    monkeypatch.setattr(ngram_join, "_met_often", _second_only(ngram_join._met_often))
-    sets = {r[0]: shingles(r[1]) for r in rows}
-    links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
-    got = {r.doc_id: r.component_id for r in ngram_join.near_groups(docs).collect()}
-    assert got == components(sets, links)
-
+def brute_links(sets):
+    return [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
 
-def _second_only(f):
-    calls = []
 
-    def g(counted):
-        calls.append(1)
-        return f(counted) if len(calls) > 1 else f(counted).where("false")
-
-    return g
+def test_cross_component_pairs_alone_find_all(docs, rows, monkeypatch):
+    """Without the star pairs every link has to come from the second round, whole groups or tiles of three."""
+    allowed = ngram_join._allowed
+    monkeypatch.setattr(ngram_join, "_allowed", lambda pairs, sketches: allowed(pairs, sketches).where("false"))
+    sets = {r[0]: shingles(r[1]) for r in rows}
+    want = components(sets, brute_links(sets))
+    for tile in (ngram_join.TILE, 3):
+        monkeypatch.setattr(ngram_join, "TILE", tile)
+        got = {r.doc_id: r.component_id for r in ngram_join.near_groups(docs).collect()}
+        assert got == want
+
+
+def test_ngram_join_of_ids_with_several_texts(spark):
+    """An id is linked through each of its texts, also where one of them is empty."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    base = [[word() for _ in range(rng.randrange(12, 60))] for _ in range(30)]
+    texts = []
+    for k in range(90):
+        w = list(base[k % 30])
+        if k >= 30:
+            w[rng.randrange(len(w))] = word()
+        texts.append((rng.randrange(60), " ".join(w)))
+    texts += [(texts[0][0], ""), (texts[0][0], None), (90, ""), (91, None), texts[4], texts[4]]
+    sets = {(i, k): shingles(t) for k, (i, t) in enumerate(texts)}
+    ids = {i for i, _ in texts}
+    want = components(ids, [(a[0], b[0]) for a, b in brute_links(sets) if a[0] != b[0]])
+    got = ngram_join.near_groups(spark.createDataFrame(texts, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((i, len(shingles(t)), want[i]) for i, t in texts)
+
+
+def test_most_frequent_takes_part_of_a_bin(spark):
+    counts = spark.range(4000).selectExpr("id AS code", "if(id < 10, 100, 3) AS n")
+    got = [r.n for r in common.most_frequent(counts, 1000).collect()]
+    assert got.count(100) == 10 and 900 < len(got) <= 1000
+    assert common.most_frequent(counts, 4000).count() == 4000 and common.most_frequent(counts, 9).count() < 10
 
 
 def test_prefix_tree_equals_intersections():
