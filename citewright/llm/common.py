@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 21
+BATCH_BYTES = 1 << 22  # of an Arrow batch, whatever the length of its rows
 SHARES = 4096  # parts of a bin of counts
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -34,6 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that workers get by bytes, not by rows only, unless the session does so more tightly."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(name, "67108864b")
+    if not own.rstrip("b").isdigit() or int(own.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage,
     survives lost executors, and gives the planner true sizes."""

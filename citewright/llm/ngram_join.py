@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, components, flat, mix, most_frequent, stage, word_hashes
+from .common import bound_batches, chunks, components, flat, mix, most_frequent, stage, word_hashes
 from .suffix_dedup import _groups
 
 WORDS = 5
@@ -49,7 +49,7 @@ NUM, DEN = 80, 100  # links have DEN * intersection >= NUM * union
 COMMON_LEAST = 3
 COMMON_MOST = 1 << 20
 PAIRS_AT_ONCE = 1 << 18
-ROWS_AT_ONCE = 1 << 20
+ROWS_AT_ONCE = 1 << 18
 PART = 384  # members of a part of a block
 LANDMARKS = 16  # members all parts of a block share, about
 TILE = 2048  # members of a group that are compared with as many others in one go
@@ -125,7 +125,7 @@ def _prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
                     seen.add(key)
                 keys.append(key)
                 ns.append(len(s))
-                prefixes.append(in_order(s, shared.value)[: prefix_length(len(s))] if first else None)
+                prefixes.append(in_order(s, shared.value)[: prefix_length(len(s))].copy() if first else None)
                 sketches.append(sketch(s) if first else None)
             columns = [pa.array(x, pa.int64()) for x in (ids, keys, ns)] + [pa.array(x, pa.list_(pa.int64())) for x in (prefixes, sketches)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n", "prefix", "sketch"])
@@ -154,8 +154,11 @@ def _members(prefixes: DataFrame) -> DataFrame:
                 token, owner, pos = token[order], owner[order], pos[order]
                 head = np.append(True, token[1:] != token[:-1])
                 several = ~(head & np.append(head[1:], True))
+                kind = np.where(several, np.where(head, 1, 2), 0)
                 centre = owner[np.maximum.accumulate(np.where(head, np.arange(len(token)), 0))]
-                columns = (token, key[owner], size[owner], pos, key[centre], size[centre], np.where(several, np.where(head, 1, 2), 0))
+                back = np.argsort(owner, kind="stable")  # rows of one set together compress better
+                token, owner, pos, kind, centre = token[back], owner[back], pos[back], kind[back], centre[back]
+                columns = (token, key[owner], size[owner], pos, np.where(kind == 2, key[centre], 0), np.where(kind == 2, size[centre], 0), kind)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["token", "key", "n", "pos", "centre", "centre_n", "kind"])
                 lo = hi
 
@@ -402,6 +405,7 @@ def _ordered_sets(docs: DataFrame, wanted: DataFrame, owners: DataFrame, common:
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
+    bound_batches(docs.sparkSession)
     counts = _prefixes(docs, np.zeros(0, np.int64)).select(F.explode("prefix").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
     counts = stage(counts.where(F.col("n") >= COMMON_LEAST), "common")
     common = np.sort(most_frequent(counts, COMMON_MOST).select("code").toArrow().column(0).to_numpy())
