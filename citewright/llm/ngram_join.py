@@ -16,7 +16,9 @@ distinct sets, and ids come back at the end, so an id may have several texts.
 3. Only pairs whose ends lie in different components can still add a link. Groups that hold several
    components are dealt into tiles, so that no task holds a whole group; within tiles, lengths, places in the prefixes and
    512-bit sketches, which bound the overlap from above, rule pairs out. A pair that shares the shingle before, too, was
-   met there and isn't met again. What is left is verified through the same trees, so no link between texts is lost.
+   met there and isn't met again. In a first round a set tries only the likeliest member of each component of its tile,
+   which joins most of what belongs together; in the second, all pairs left are verified through the same trees, so no
+   link between texts is lost.
 
 Which shingles count as common is found by counting all prefixes; the COMMON_MOST most
 frequent of at least COMMON_LEAST go last. Any choice gives the same links: it only keeps
@@ -52,7 +54,7 @@ PAIRS_AT_ONCE = 1 << 18
 ROWS_AT_ONCE = 1 << 18
 PART = 384  # members of a part of a block
 LANDMARKS = 16  # members all parts of a block share, about
-TILE = 2048  # members of a group that are compared with as many others in one go
+TILE = 512  # members of a group that are compared with as many others in one go
 TREE = 256  # partners of a set that form one tree
 
 
@@ -165,11 +167,11 @@ def _members(prefixes: DataFrame) -> DataFrame:
     rows = prefixes.where("prefix is not null").select("key", "n", "prefix")
     rows = rows.mapInArrow(run, "token long, key long, n long, pos long, centre long, centre_n long, kind long")
     local = F.col("kind") == 2
-    order = W.partitionBy("token", F.when(local, F.col("key"))).orderBy("key")
+    order = W.partitionBy("token", F.when(local, F.col("key"))).orderBy("key", "kind")
     rows = rows.select("*", F.first("key").over(order).alias("c"), F.first("n").over(order).alias("cn"), F.lead("key").over(order).alias("next"))
     # of equal sets from several batches one row is enough
     last = F.col("next").isNull() | (F.col("next") != F.col("key"))
-    kept = rows.where((F.col("kind") > 0) | (last & ((F.col("c") != F.col("key")) | F.col("next").isNotNull())))
+    kept = rows.where(last & ((F.col("kind") > 0) | (F.col("c") != F.col("key")) | F.col("next").isNotNull()))
     return kept.select("token", "key", "n", "pos", F.when(local, F.col("centre")).otherwise(F.col("c")).alias("centre"), F.when(local, F.col("centre_n")).otherwise(F.col("cn")).alias("centre_n"))
 
 
@@ -280,13 +282,12 @@ def _walk(sets: list[np.ndarray], probe: np.ndarray, lo: int, hi: int, depth: in
             return
 
 
-def _tiles(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(tile, side, key, n, pos, before, component, sketch): members of groups with several components, dealt into tiles.
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(token, key, n, pos, component, main, firsts, others): members of the groups that hold several components.
 
-    The sets outside a group's largest component, usually few, form its first parts, those of the
-    largest the others. A tile is two parts, one of the first ones at least, or one of these alone; side tells its parts apart, 2 is
-    a part with itself. ``before`` is the shingle of such a group that precedes in the set's prefix."""
-    own = members.select("token", "key", "n", "pos").distinct().join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    The sets outside a group's largest component, usually few, are to form its first parts, those of the
+    largest the others, if the group is beyond TILE."""
+    own = members.select("token", "key", "n", "pos").join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
     own = stage(own, "own")
     counts = own.groupBy("token", "component").agg(F.count("*").alias("rows"))
     groups = counts.groupBy("token").agg(F.max_by("component", "rows").alias("main"), F.max("rows").alias("inside"), F.sum("rows").alias("all"), F.count("*").alias("kinds"))
@@ -295,8 +296,15 @@ def _tiles(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFr
     groups = groups.where("kinds > 1").select(
         "token", "main", F.when(small, 1).otherwise(parts(F.col("all") - F.col("inside"))).alias("firsts"), F.when(small, 0).otherwise(parts(F.col("inside"))).alias("others")
     )
-    rows = own.join(stage(groups, "groups"), "token")
-    rows = rows.withColumn("before", F.lag("token").over(W.partitionBy("key").orderBy("pos"))).join(sketches, "key")
+    return stage(own.join(stage(groups, "groups"), "token"), "mixed")
+
+
+def _tiles(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(tile, side, key, n, pos, before, component, sketch): the members dealt into tiles.
+
+    A tile is two parts of a group, one of the first ones at least, or one of these alone; side tells its parts apart, 2 is
+    a part with itself. ``before`` is the shingle of such a group that precedes in the set's prefix."""
+    rows = mixed.withColumn("before", F.lag("token").over(W.partitionBy("key").orderBy("pos"))).join(sketches, "key")
     hashed = F.xxhash64("key")
     inside = (F.col("component") == F.col("main")) & (F.col("others") > 0)
     part = F.when(inside, F.col("firsts") + F.pmod(hashed, F.greatest(F.col("others"), F.lit(1)))).otherwise(F.pmod(hashed, F.col("firsts"))).cast("int")
@@ -308,8 +316,9 @@ def _tiles(members: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFr
     return rows.select(tile.alias("tile"), side.alias("side"), "key", "n", "pos", "before", "component", "sketch")
 
 
-def _across(tiles: DataFrame) -> DataFrame:
-    """(a, b): pairs in different components that may link, each from the tiles where it is met first."""
+def _across(tiles: DataFrame, likeliest: bool) -> DataFrame:
+    """(a, b): pairs in different components that may link, each from the tiles where it is met first; or
+    only the ``likeliest`` pair, by sketches, of each set with each component of its tile."""
 
     def run(batches):
         for t in _groups(batches, 0):
@@ -340,13 +349,26 @@ def _across(tiles: DataFrame) -> DataFrame:
                 i, j, least = i[ok], j[ok], least[ok]
                 differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
                 ok = (n[i] + n[j] - differ) // 2 >= least
-                i, j = key[i[ok]], key[j[ok]]
+                i, j, differ = i[ok], j[ok], differ[ok]
+                if likeliest:
+                    one = _first_of(component[j], i, differ / (n[i] + n[j]))
+                    two = _first_of(component[i], j, differ / (n[i] + n[j]))
+                    both = np.intersect1d(one, two)  # the likeliest from either end
+                    i, j = i[both], j[both]
+                i, j = key[i], key[j]
                 pairs = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long").distinct()
 
 
+def _first_of(component: np.ndarray, own: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Where the least rank is for each row ``own`` and each ``component``."""
+    order = np.lexsort((rank, component, own))
+    c, o = component[order], own[order]
+    return order[np.append(True, (c[1:] != c[:-1]) | (o[1:] != o[:-1]))[: len(order)]]
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link. Consecutive partners of a probe form one prefix tree."""
 
@@ -403,6 +425,11 @@ def _ordered_sets(docs: DataFrame, wanted: DataFrame, owners: DataFrame, common:
     return found.dropDuplicates(["key"])  # an id may repeat a text
 
 
+def _linked(docs: DataFrame, pairs: DataFrame, owners: DataFrame, common: np.ndarray) -> DataFrame:
+    ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    return stage(_verified(pairs, stage(_ordered_sets(docs, ends, owners, common), "sets")), "links")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     bound_batches(docs.sparkSession)
@@ -417,9 +444,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     met = members.where("key <> centre").groupBy(F.col("centre").alias("a"), F.col("key").alias("b"), F.col("centre_n").alias("na"), F.col("n").alias("nb")).agg(F.count("*").alias("met"))
     links = _linked_blocks(docs, _blocks(_allowed(met, sketches)), owners, common)
     labels = stage(components(links), "labels").select(F.col("id").alias("key"), "component")
-    pairs = stage(_across(_tiles(members, labels, sketches)), "pairs")
-    ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    late = _verified(pairs, stage(_ordered_sets(docs, ends, owners, common), "sets"))
+    mixed = _mixed(members, labels)
+    likely = stage(_across(_tiles(mixed, sketches), True), "pairs")
+    links = links.union(_linked(docs, likely, owners, common))
+    # components only grow, so what is mixed now was mixed before
+    labels = stage(components(links), "labels").select(F.col("id").alias("key"), "component")
+    rest = stage(_across(_tiles(_mixed(mixed, labels), sketches), False).join(likely, ["a", "b"], "left_anti"), "pairs")
+    late = _linked(docs, rest, owners, common)
     several, joins = _united(rows)
     found = stage(components(links.union(late).union(joins)), "components").select(F.col("id").alias("key"), "component")
     named = owners.join(found, "key", "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
