@@ -51,6 +51,20 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def carried(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
+    """All columns of ``docs`` as one struct, and where in it the text is. A text that isn't a string goes along as
+    a second column, -1."""
+    names = [c.lower() for c in docs.columns]
+    at = names.index(text.lower())
+    if docs.schema[at].dataType.typeName() == "string":
+        return docs.select(F.struct("*").alias("row")), at
+    return docs.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("text")), -1
+
+
+def carried_text(b: pa.RecordBatch, at: int) -> pa.Array:
+    return b.column(1) if at < 0 else b.column(0).field(at)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser over uint64 values."""
     x = x ^ (x >> np.uint64(33))

@@ -11,7 +11,8 @@ candidates that byte-pair encoding would leave standing behind the last piece be
 neighbours are compatible when encoding their concatenation gives just them, and of the
 candidates at a place exactly one is compatible, which makes the pass exact. Compatibility of a pair of
 pieces is worked out once per worker and looked up from then on. Units with several leading blanks, where equal scores
-meet, and units with any leftover are merged directly.
+meet, units with any leftover and units beyond LONG bytes, which have hardly any equals to advance with, are merged directly, by
+a heap of neighbours: n log n in their bytes.
 
 Characters outside the vocabulary become byte pieces. Decoding concatenates pieces, so texts
 come back whole, except that a U+2581 sign becomes a blank, as the format has it.
@@ -24,6 +25,7 @@ are kept by ``encode`` and ignored by the query.
 from __future__ import annotations
 
 from hashlib import sha256
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import flat, prefix_hashes, span_hashes
+from .common import bound_batches, carried, carried_text, chunks, flat, prefix_hashes, span_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_KEY = 1 << 30
-BATCH = 1 << 22
+BATCH = 1 << 20
+LONG = 1 << 10  # bytes of a unit from which on merges by a heap are faster than a pass of its own
 
 
 class Model:
@@ -81,17 +84,40 @@ class Model:
 
     def merge(self, text: bytes) -> list[int]:
         """Byte-pair encoding by merges: the best-scored neighbours first, the leftmost of equals."""
-        parts = [c.encode() for c in text.decode()]
-        while len(parts) > 1:
-            scores = [self.rank.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-            best = max((s for s in scores if s is not None), default=None)
-            if best is None:
-                break
-            k = scores.index(best)
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        ends = [i for i in range(1, len(text)) if text[i] & 0xC0 != 0x80] + [len(text)]
+        begins = [0, *ends[:-1]]
+        n = len(ends)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank, heap = self.rank, []
+        for k in range(n - 1):
+            score = rank.get(text[begins[k] : ends[k + 1]])
+            if score is not None:
+                heap.append((-score, k, ends[k + 1]))
+        heapify(heap)
+        alive = [True] * n
+        while heap:
+            _, k, end = heappop(heap)
+            r = after[k]
+            if not alive[k] or r >= n or ends[r] != end or ends[k] == end:
+                continue  # one of the two has been merged since
+            ends[k], alive[r], after[k] = end, False, after[r]
+            if after[r] < n:
+                before[after[r]] = k
+            for left in (before[k], k):
+                right = after[left] if left >= 0 else n
+                if right < n:
+                    score = rank.get(text[begins[left] : ends[right]])
+                    if score is not None:
+                        heappush(heap, (-score, left, ends[right]))
         out: list[int] = []
-        for p in parts:
-            out += [self.ids[p]] if p in self.ids else self.bytes_[list(p)].tolist()
+        k = 0
+        while k < n:
+            part = text[begins[k] : ends[k]]
+            if part in self.ids:
+                out.append(self.ids[part])
+            else:
+                out += self.bytes_[list(part)].tolist()
+            k = after[k]
         return out
 
 
@@ -133,6 +159,8 @@ class Encoder:
         sums = prefix_hashes(buf)
         width = (buf < 0x80) * 1 + (buf >> 5 == 6) * 2 + (buf >> 4 == 14) * 3 + (buf >> 3 == 30) * 4  # 0 inside a character
         own = (size >= 2) & (buf[start] == 32) & (buf[np.minimum(start + 1, len(buf) - 1)] == 32) if self.m.kind == "bpe" else np.zeros(len(start), bool)
+        if self.m.kind == "bpe":
+            own |= size > LONG
         for k in np.flatnonzero(own).tolist():
             ids[k] = np.array(self.m.merge(buf[start[k] : start[k] + size[k]].tobytes()))
         # lengths over 48 share a pass with lengths up to a quarter more
@@ -320,27 +348,24 @@ _ENCODER: tuple | None = None
 
 def _parts(b: pa.RecordBatch, at: int):
     """Slices of a batch with about BATCH bytes of text."""
-    _, offs = flat(b.column(at))
-    i = 0
-    while i < b.num_rows:
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + BATCH, "right")) - 1)
-        yield b.slice(i, min(j, b.num_rows) - i)
-        i = j
+    _, offs = flat(carried_text(b, at))
+    for i, j in chunks(offs, BATCH):
+        yield b.slice(i, j - i)
 
 
 def encode(docs: DataFrame, model_path: str = MODEL, kind: str = "bpe", text: str = "text", into: str = "pieces") -> DataFrame:
     """All columns of ``docs`` and the piece ids of ``text``, as array<int> ``into`` (replacing one of that name)."""
     shared = _shared(docs, model_path, kind)
+    rows, at = carried(docs, text)
 
     def run(batches):
         for b in batches:
-            for part in _parts(b, 1):
-                ids, counts = encode_batch(_encoders(shared), part.column(1))
+            for part in _parts(b, at):
+                ids, counts = encode_batch(_encoders(shared), carried_text(part, at))
                 offsets = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["row", "found"])
 
-    rows = docs.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("text"))
     out = rows.mapInArrow(run, StructType([rows.schema["row"], StructField("found", ArrayType(IntegerType()))]))
     return out.select(*_others(docs, into), F.col("found").alias(into))
 
@@ -367,6 +392,7 @@ def _others(df: DataFrame, into: str) -> list:
 
 def _shared(docs: DataFrame, path: str, kind: str):
     """The model, of the fixed size of its vocabulary, for the executors."""
+    bound_batches(docs.sparkSession)
     model = Model(path, kind)
     model.path_key = f"{kind}:{path}"
     return docs.sparkSession.sparkContext.broadcast(model)
@@ -378,7 +404,7 @@ def round_trip(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for part in _parts(b, 1):
+            for part in _parts(b, -1):
                 ids, counts = encode_batch(_encoders(shared), part.column(1))
                 texts = decode_batch(shared.value, ids, counts)
                 bounds, numbers = np.append(0, np.cumsum(counts)), ids.astype("<i4")

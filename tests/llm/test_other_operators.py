@@ -132,6 +132,51 @@ def test_toxicity(spark):
     assert toxicity.score_documents(odd.where("false"), labels).count() == 0
 
 
+def plain_buckets(text):
+    """The bucket of every subword of a text, by plain integers."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode()
+    edge = bytes(32 if chr(c) in "\t\n\v\f\r !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789" else c for c in low)
+    framed, full, out = b" " + edge + b" ", (1 << 64) - 1, []
+    for n in toxicity.SIZES:
+        for k in range(len(framed) - n + 1):
+            if b" " not in framed[k + 1 : k + n - 1]:
+                h = sum(int(common._VALUE[c]) * pow(common._BASE, i, 1 << 64) for i, c in enumerate(framed[k : k + n])) & full
+                out.append(((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 & full) >> 48)
+    return out
+
+
+def test_scores_of_a_fixed_table_by_brute_force(spark):
+    table = np.random.default_rng(6).normal(size=toxicity.BUCKETS + 1) * 20
+    texts = [None, "", " ", "a", "You ABSOLUTE b4d-word, é日", "x" * 3000, "one two  three\tfour " * 50]
+    got = {r.row.doc_id: r.score for r in toxicity.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), table).collect()}
+    for i, t in enumerate(texts):
+        own = plain_buckets(t)
+        odds = (sum(table[k] for k in own) / len(own) if own else 0.0) + table[-1]
+        assert abs(got[i] - 1 / (1 + np.exp(-odds))) < 1e-9
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(8)
+    p = {"e": rng.normal(size=(9, 4)), "w": rng.normal(size=(4, 2)), "b": rng.normal(size=2)}
+    text, back, weight, y = np.repeat(np.arange(5), 6), rng.integers(0, 9, 30), rng.random(30), np.array([0, 1, 1, 0, 1])
+    _, grad = toxicity.gradients(**p, text=text, back=back, weight=weight, y=y)
+    for name, x in p.items():
+        for at in np.ndindex(x.shape):
+            own = x[at]
+            x[at] = own + 1e-6
+            up, _ = toxicity.gradients(**p, text=text, back=back, weight=weight, y=y)
+            x[at] = own - 1e-6
+            down, _ = toxicity.gradients(**p, text=text, back=back, weight=weight, y=y)
+            x[at] = own
+            assert abs((up - down) / 2e-6 - grad[name][at]) < 1e-6
+
+
+def test_bags_keep_all_counts():
+    packed = toxicity.packed_bag(np.array([3, 70, 65535]), np.array([1, 65535 * 2 + 5, 65536]))
+    assert np.bincount(packed >> 16, packed & 65535).nonzero()[0].tolist() == [3, 70, 65535]
+    assert [int((packed & 65535)[packed >> 16 == k].sum()) for k in (3, 70, 65535)] == [1, 65535 * 2 + 5, 65536]
+
+
 def test_misspellings_share_vectors():
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(200)]

@@ -218,6 +218,24 @@ def test_pieces_equal_the_library(docs, rows, odd, empty):
     assert pieces.round_trip(odd).where("same").count() == 5 and pieces.round_trip(empty).count() == 0
 
 
+def test_pieces_of_very_long_units(spark):
+    """A megabyte of blanks, one word of a megabyte and indented code, in seconds and as the library has them."""
+    import time
+
+    from sentencepiece import SentencePieceProcessor
+
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefgh\u65e5\u00e9") for _ in range(n))
+    texts = [" " * 1_000_000, word(700_000), "\n".join(" " * rng.randrange(60) + word(9) for _ in range(500)), " ".join(word(rng.randrange(1000, 1060)) for _ in range(40))]
+    encoder = pieces.Encoder(pieces.Model(pieces.MODEL))
+    began = time.time()
+    ids, counts = pieces.encode_batch(encoder, pa.array(texts))
+    assert time.time() - began < 60
+    sp = SentencePieceProcessor(model_file=pieces.MODEL)
+    for text, part in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert part.tolist() == sp.encode(text)
+
+
 def test_unigram_kind_takes_the_best_sum():
     model = pieces.Model(pieces.MODEL, "unigram")
     ids, counts = pieces.encode_batch(pieces.Encoder(model), pa.array(["the other thing", "naïve日"]))
