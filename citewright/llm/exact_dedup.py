@@ -1,15 +1,16 @@
 """Exact deduplication against a minimal perfect hash of historical digests.
 
 The rows are dealt into a historical part and new arrivals. The distinct digests of the
-history, each with its winner (largest doc_id) and its number of rows, are sharded by digest
-prefix; every shard becomes a minimal perfect hash whose slots hold the full 32-byte digest,
+history, each with its winner (largest doc_id) and its number of rows, are sharded by digest;
+every shard becomes a minimal perfect hash whose slots hold the full 32-byte digest,
 the winner's id and the row count. Arrivals, first reduced to distinct digests by a
-map-side combined aggregation, probe the shard: a slot whose 32 bytes agree removes the
-repeat (or passes the win on to a larger id), nonmembers form groups of their own.
+map-side combined aggregation, probe the shard: a slot whose 32 bytes agree takes the repeat in,
+and passes the win on to a larger id; nonmembers form groups of their own. What the slots hold then, and the
+nonmembers, are the groups. There are as many shards as keep about SHARD_KEYS digests, old and new, in each.
 
 Defined cases: null text counts as empty; rows that repeat both doc_id and text are one
-document, counted as often as they occur; a null doc_id loses against any other; an empty
-table gives an empty result; further columns, whatever their names, are ignored.
+document, counted as often as they occur; a null doc_id loses against any other; a history of none or all of the rows
+gives the same groups; an empty table gives an empty result; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import mix, stage
 
-SHARD_KEYS = 1 << 15
+SHARD_KEYS = 1 << 12
 _SLOTS = "shard long, levels array<binary>, digests binary, winners binary, sizes binary"
 
 
@@ -78,16 +79,23 @@ def _index_shard(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _probe_shard(new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    winner, size, member = new["winner"].to_numpy(np.int64).copy(), new["size"].to_numpy(np.int64).copy(), np.zeros(len(new), bool)
-    if len(index) and len(new):
-        row, keys = index.iloc[0], _digests(new["digest"])
+    """The groups of a shard: its slots after the members among the arrivals, and the nonmembers."""
+    held, winner, size = np.zeros((0, 4), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    member = np.zeros(len(new), bool)
+    if len(index):
+        row = index.iloc[0]
         held = np.frombuffer(row["digests"], np.uint64).reshape(-1, 4)
-        slot = probe_mph([np.frombuffer(x, np.uint8) for x in row["levels"]], keys)
-        member = slot >= 0
-        member[member] = (held[slot[member]] == keys[member]).all(axis=1)
-        winner[member] = np.maximum(winner[member], np.frombuffer(row["winners"], np.int64)[slot[member]])
-        size[member] += np.frombuffer(row["sizes"], np.int64)[slot[member]]
-    return pd.DataFrame({"digest": new["digest"], "winner": winner, "size": size, "member": member})
+        winner, size = (np.frombuffer(row[k], np.int64).copy() for k in ("winners", "sizes"))
+        if len(new):
+            keys = _digests(new["digest"])
+            slot = probe_mph([np.frombuffer(x, np.uint8) for x in row["levels"]], keys)
+            member = slot >= 0
+            member[member] = (held[slot[member]] == keys[member]).all(axis=1)
+            at = slot[member]  # arrivals are distinct: one a slot
+            winner[at] = np.maximum(winner[at], new["winner"].to_numpy(np.int64)[member])
+            size[at] += new["size"].to_numpy(np.int64)[member]
+    own = pd.DataFrame({"digest": [x.tobytes() for x in held], "winner": winner, "size": size})
+    return pd.concat([own, new.loc[~member, ["digest", "winner", "size"]]], ignore_index=True)
 
 
 def digest_groups(keyed: DataFrame) -> DataFrame:
@@ -101,9 +109,9 @@ def build_index(groups: DataFrame, shards: int) -> DataFrame:
 
 
 def look_up(groups: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """Distinct arriving digests with ``member`` and, for members, the joint winner and size."""
+    """(digest, winner, size) of history and arrivals: one row per distinct digest."""
     new = groups.withColumn("shard", _shard(shards))
-    return new.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_probe_shard, "digest binary, winner long, size long, member boolean")
+    return new.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_probe_shard, "digest binary, winner long, size long")
 
 
 def _shard(shards: int) -> Column:
@@ -113,21 +121,15 @@ def _shard(shards: int) -> Column:
 def exact_dedup(docs: DataFrame, history: Column | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document (doc_id, digest, copies, keep_id, group_size, kept, historical).
 
-    ``history`` marks the historical rows; by default the older half of the id range."""
+    ``history`` marks the historical rows; by default, half of the ids by hash."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("digest"))
-    keyed = stage(rows.groupBy("doc_id", "digest").agg(F.count("*").alias("copies")), "digests")
-    if history is None:
-        low, high = keyed.agg(F.min("doc_id"), F.max("doc_id")).first()
-        history = F.lit(False) if low is None else F.coalesce(F.col("doc_id") <= F.lit(low + (high - low) // 2), F.lit(True))
-    keyed = keyed.withColumn("historical", history)
+    historical = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0 if history is None else F.coalesce(history, F.lit(False))
+    keyed = stage(rows.groupBy("doc_id", "digest").agg(F.count("*").alias("copies")).withColumn("historical", historical), "digests")
     old = digest_groups(keyed.where("historical"))
     new = digest_groups(keyed.where("not historical"))
-    shards = max(1, keyed.where("historical").count() // SHARD_KEYS)
-    probed = look_up(new, build_index(old, shards), shards)
-    # a digest is in the history, among the arrivals, or in both; members carry the joint figures
-    joint = old.select("digest", "winner", "size").union(probed.select("digest", "winner", "size"))
-    groups = joint.groupBy("digest").agg(F.max("winner").alias("winner"), F.max("size").alias("group_size"))
-    out = keyed.join(groups, "digest")
+    shards = max(1, keyed.count() // SHARD_KEYS)
+    groups = stage(look_up(new, build_index(old, shards), shards).withColumnRenamed("size", "group_size"), "groups")
+    out = keyed.join(groups, "digest")  # of two tables, so that a digest of many rows can be split
     keep = F.when(F.col("winner") > -(1 << 63), F.col("winner"))
     return out.select("doc_id", "digest", "copies", keep.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep).alias("kept"), "historical")
 

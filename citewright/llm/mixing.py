@@ -2,9 +2,10 @@
 
 Every source is a flow whose documents arrive in a seeded shuffle, at most ``rounds`` times
 over. A copy's virtual finish time is the cumulative size of its flow up to and with it,
-divided by the flow's target; the mix is the copies in order of finish time, cut where the
-budget is spent. Cumulative sums come from two levels - totals of (source, bucket), then a
-running sum inside a bucket - so a source with any share of the rows is spread over buckets.
+divided by the flow's target; the copies are range-sorted by finish time over all flows, and the mix is
+cut where the budget is spent. Both cumulative sums take a range partition a task: totals of the partitions, of which there are
+as many as the session shuffles to, tell where each starts. Rows that agree in source, id and size are
+one counted row before their flow is sorted, so ids that are missing or repeated don't gather in one task.
 
 Defined cases: null or blank texts have size 0 and are never taken; a null source is a source
 of its own, ordered last; an empty table gives an empty result; repeated rows are documents
@@ -19,7 +20,6 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-BUCKET_ROWS = 1 << 12
 WEIGHTS = (5, 2, 1)
 
 
@@ -47,30 +47,30 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, rounds: int
     """One row per document: doc_id, source, size, source_size, target, taken."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words().alias("size")).withColumn("key", key)
-    rows = stage(rows, "sizes")
-    n, budget = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    buckets = 1 << (n // BUCKET_ROWS).bit_length()
-    queued, flows = _queued(rows, buckets, weights, rounds)
-    queued = stage(queued, "queue")
+    queued = stage(_queued(rows.groupBy("source", "key", "doc_id", "size").agg(F.count("*").alias("rows")), weights, rounds), "queue")
+    budget = queued.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     copies = queued.where("size > 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    copies = copies.withColumn("finish", _finish(F.col("round"))).where("finish <= 2")
-    # In any stretch of virtual time all flows together finish about the same size: slots are even.
-    copies = copies.withColumn("slot", F.floor(F.col("finish") * F.lit(buckets)))
-    slots = copies.groupBy("slot").agg(F.sum("size").alias("slot_size"))
-    slots = slots.withColumn("start", F.coalesce(F.sum("slot_size").over(W.orderBy("slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    # Slots that end inside the budget are taken whole; only the slot where it runs out is sorted.
-    at = slots.where((F.col("start") <= F.lit(budget)) & (F.col("start") + F.col("slot_size") > F.lit(budget))).first()
-    cut = None
-    if at is not None:
-        order = W.orderBy(*_order(F.col("finish")))
-        last = copies.where(F.col("slot") == at["slot"]).withColumn("spent", F.lit(at["start"]) + F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)))
-        cut = last.where(F.col("spent") > F.lit(budget)).select(F.struct(*_order(F.col("finish"))).alias("at")).agg(F.min("at").alias("at")).first()["at"]
+    order = _order(_finish(F.col("round")))
+    copies = copies.where(_finish(F.col("round")) <= 2).select(*order)
+    names = copies.columns
+    copies = stage(_ranged(copies, *names), "mix")
+    parts = copies.groupBy("part").agg(F.sum("size").alias("size")).orderBy("part").collect()  # as many as shuffle partitions at most
+    # partitions that end inside the budget are taken whole; the one where it runs out is summed up copy by copy
+    start, cut = 0, None
+    for part, size in parts:
+        if start + size > budget:
+            spent = F.lit(start) + F.sum("size").over(W.orderBy(*names).rowsBetween(W.unboundedPreceding, 0))
+            last = copies.where(F.col("part") == part).withColumn("spent", spent).where(F.col("spent") > budget)
+            cut = last.agg(F.min(F.struct(*names)).alias("at")).first()["at"]
+            break
+        start += size
     times = F.lit(0)
     for r in range(rounds):
         finish = _finish(F.lit(r))
         take = finish <= 2
         if cut is not None:
-            take = take & (F.struct(*_order(finish)) < F.struct(*[F.lit(x).cast(t) for x, t in zip(cut, ("double", "boolean", "string", "string", "long", "long"), strict=True)]))
+            kinds = ("double", "boolean", "string", "string", "long", "long", "long")
+            take = take & (F.struct(*_order(finish)) < F.struct(*[F.lit(x).cast(t) for x, t in zip(cut, kinds, strict=True)]))
         times = times + F.when((F.col("size") > 0) & take, 1).otherwise(0)
     return queued.select("doc_id", "source", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"))
 
@@ -80,24 +80,30 @@ def _finish(round_: Column) -> Column:
 
 
 def _order(finish: Column) -> list[Column]:
-    """A total order of copies: finish time, then source (null last), shuffle key, id, size."""
-    return [finish.alias("finish"), F.col("source").isNull().alias("last"), F.coalesce("source", F.lit("")).alias("source"), F.col("key"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("size")]
-
-
-def _queued(rows: DataFrame, buckets: int, weights: tuple[int, ...], rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Every row with ``upto``, its flow's cumulative size up to and with it, and its flow's figures."""
-    spread = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-    rows = rows.withColumn("bucket", F.floor(spread * F.lit(buckets) / F.lit(1 << 32)))
-    totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.withColumn("before", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
-    flows = source_targets(totals.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, rounds)
+    """A total order of copies: finish time, then source (null last), shuffle key, id, size, number among equal rows."""
+    return [finish.alias("finish"), F.col("source").isNull().alias("last"), F.coalesce("source", F.lit("")).alias("source"), F.col("key"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("size"), F.col("nth")]
+
+
+def _ranged(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` range-partitioned by these columns, with the number of their partition."""
+    return rows.repartitionByRange(*by).withColumn("part", F.spark_partition_id())
+
+
+def _queued(groups: DataFrame, weights: tuple[int, ...], rounds: int) -> DataFrame:
+    """Every row of the ``groups`` of equal rows with ``upto``, its flow's cumulative size up to and with it, and its flow's figures."""
+    groups = stage(_ranged(groups, "source", "key", "doc_id", "size"), "groups")
+    totals = groups.groupBy("source", "part").agg(F.sum(F.col("size") * F.col("rows")).alias("part_size"))
+    before = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.withColumn("before", F.coalesce(F.sum("part_size").over(before), F.lit(0)))
+    flows = source_targets(totals.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, rounds)
     named = flows.withColumnRenamed("source", "f")
-    totals = totals.join(named, F.col("source").eqNullSafe(F.col("f"))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before", "source_size", "target")
-    within = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("within", F.sum("size").over(within))
-    rows = rows.join(totals, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
-    return rows.withColumn("upto", F.col("before") + F.col("within")), flows
+    totals = totals.join(named, F.col("source").eqNullSafe(F.col("f")))
+    totals = stage(totals.select(F.col("source").alias("s"), F.col("part").alias("b"), "before", "source_size", "target"), "totals")
+    within = W.partitionBy("part", "source").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    groups = groups.withColumn("within", F.sum(F.col("size") * F.col("rows")).over(within))
+    rows = groups.join(totals, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("b"))).drop("s", "b", "part")
+    rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return rows.withColumn("upto", F.col("before") + F.col("within") - F.col("size") * (F.col("rows") - F.col("nth"))).drop("rows", "before", "within")
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, rounds: int = 3) -> DataFrame:
@@ -108,6 +114,7 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, rounds: i
     plan = mix_sources(docs, weights, rounds).where("taken > 0")
     times = F.ceil(F.sum(F.col("taken") / F.col("size")) / F.count("*")).cast("int")
     plan = plan.groupBy(F.col("doc_id").alias("id"), F.col("source").alias("flow"), F.col("size").alias("words")).agg(times.alias("times"))
+    plan = stage(plan, "plan")  # of two tables, so that a key of many rows can be split
     keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", n_words().alias("n"))
     on = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("flow")) & (F.col("n") == F.col("words"))
     return keyed.join(plan, on).select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

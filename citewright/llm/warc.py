@@ -3,7 +3,7 @@
 A capture is a response (or, for a payload already held, a revisit) record, a request and a
 metadata record; the latter two name the former in WARC-Concurrent-To. Archives are written
 by Spark's text writer, one record per row with the record terminator as line separator,
-gzip-compressed in files of bounded row count, and read back as binary files, which are cut
+gzip-compressed in files of about FILE_BYTES bytes at most (or of one page, where that is longer), and read back as binary files, which are cut
 into records by Content-Length alone, so payloads may hold any bytes, from one gzip member or many.
 Digest and size of a capture are those of the payload read back, of a revisit those of the response
 it refers to (null where that isn't in the archive). The records of a transaction are then brought together by the identifier they are concurrent to and nested
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import shared_dir, stage
 
 LEAST_BYTES = 100
-RECORDS_PER_FILE = 6_000
+FILE_BYTES = 1 << 26  # of a file before compression
+SIZES = (1 << 14, 1 << 18, 1 << 22)  # pages up to each of these sizes share files, longer ones have their own
+BATCH_BYTES = 1 << 22  # of the records that leave a worker at once
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _RECORD = "record_id string, record_type string, concurrent_to string, refers_to string, url string, payload_digest string, payload_bytes long, payload binary, fields string"
 
@@ -55,9 +57,10 @@ def plan_captures(pages: DataFrame, payload: str = "html", unnamed: bool = False
     plan = plan.withColumn("name", F.when(F.col("page_id").isNull(), F.concat(F.lit("row."), row)).when(F.col("row_id") == F.col("own"), page).otherwise(F.concat(page, F.lit("."), row)))
     large = plan.where((F.col("n_bytes") >= LEAST_BYTES) & F.col("page_id").isNotNull())
     first = large.groupBy("digest").agg(F.min(F.struct("page_id", "row_id", "name")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = stage(first, "first")  # of two tables, so that a payload of many rows can be split
     plan = plan.join(first, "digest", "left")
     refers = F.when((F.col("n_bytes") >= LEAST_BYTES) & (F.col("first.page_id") < F.col("page_id")), F.col("first.name"))
-    return rows.join(plan.select("row_id", "name", refers.alias("refers_to")), "row_id")
+    return rows.join(stage(plan.select("row_id", "name", refers.alias("refers_to")), "plan"), "row_id")
 
 
 def _record(fields: list[tuple[str, Column]], block: Column) -> Column:
@@ -90,8 +93,16 @@ def write_archive(pages: DataFrame, path: str, payload: str = "html", date: str
          ("Content-Type", F.lit("application/warc-fields")), ("WARC-Concurrent-To", main)],
         F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n")),
     )
-    records = plan.select(F.explode(F.array(request, capture, metadata)).alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    records = F.explode(F.array(request, capture, metadata)).alias("value")
+    longest = plan.agg(F.max("n_bytes")).first()[0] or 0
+    low = -1
+    for high in (*SIZES, None):
+        own = plan.where(F.col("n_bytes") > low)
+        own = own if high is None else own.where(F.col("n_bytes") <= high)
+        pages_a_file = 1 if high is None else FILE_BYTES // high
+        if low < longest or low < 0:
+            own.select(records).write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 3 * pages_a_file).text(path)
+        low = high
 
 
 def parse_records(data: bytes):
@@ -116,26 +127,30 @@ def unpack(raw: bytes) -> bytes:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record. Files hold RECORDS_PER_FILE records at most, so a task holds one
-    file; every record is checked against the length its header gives. Digest and size of the payload are as the
+    """One row per record. A task holds one file at a time, of bounded bytes; every record is checked against the length its header gives. Digest and size of the payload are as the
     header has them, for ``assemble`` to replace."""
 
     def run(batches):
         for b in batches:
             for content in b.column(0):
-                raw = content.as_py()
-                out = []
-                for head, block in parse_records(unpack(raw)):
+                out, size = [], 0
+                for head, block in parse_records(unpack(content.as_py())):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     kind = head["WARC-Type"]
                     length = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None) if kind in ("response", "revisit") else None
                     out.append((head["WARC-Record-ID"], kind, head.get("WARC-Concurrent-To"), head.get("WARC-Refers-To"), head.get("WARC-Target-URI"),
                                 head.get("WARC-Payload-Digest", "").removeprefix("sha256:") or None, length, payload if kind == "response" else None,
                                 block.decode("utf-8", "replace") if kind in ("request", "metadata") else None))
-                for i in range(0, len(out), 500):
-                    cols = list(zip(*out[i : i + 500], strict=True))
-                    types = [pa.string()] * 6 + [pa.int64(), pa.binary(), pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in _RECORD.split(", ")])
+                    size += len(block)
+                    if size >= BATCH_BYTES:
+                        yield rows(out)
+                        out, size = [], 0
+                if out:
+                    yield rows(out)
+
+    def rows(out):
+        types = [pa.string()] * 6 + [pa.int64(), pa.binary(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in _RECORD.split(", ")])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, _RECORD)
 

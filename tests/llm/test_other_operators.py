@@ -42,7 +42,7 @@ def test_word_hashes_agree_with_words():
 
 def test_warc(spark):
     long = "x" * 100 + "é\r\n\r\nWARC/1.1\r\n"
-    html = [long, "short", long, None, "short", "", "y" * 99, "y" * 99, long, "z" * 200_000]
+    html = [long, "short", long, None, "short", "", "y" * 99, "y" * 99, long, "z" * 200_000, "q" * 300_000, "r" * 5_000_000, "r" * 5_000_000]
     rows = [(i, f"http://h.example/{i}\nx" if i else None, h, "extra", "b") for i, h in enumerate(html)]
     got = {r.page_id: r for r in warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string, body string, digest string")).collect()}
     assert sorted(got) == list(range(len(html)))

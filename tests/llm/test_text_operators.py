@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from citewright.llm import common, exact_dedup, mixing, ngram_join, pieces, ppm, secret_scan, suffix_dedup
 
@@ -36,6 +37,19 @@ def test_exact_dedup(docs, rows, odd, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.keep_distinct(empty).count() == 0
 
 
+def test_exact_dedup_whatever_the_history(spark, monkeypatch):
+    """One far id, many rows of one text, and no history or nothing else: the groups are the same."""
+    monkeypatch.setattr(exact_dedup, "SHARD_KEYS", 16)
+    texts = [(i, "hot" if i % 3 == 0 else f"text {i % 70}") for i in range(300)] + [(-(1 << 60), "text 1"), (-(1 << 60), "alone"), (5, None), (6, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    groups = defaultdict(list)
+    for i, t in texts:
+        groups[t or ""].append(i)
+    want = sorted((i, max(groups[t or ""]), len(groups[t or ""])) for i, t in texts)
+    for history in (None, F.lit(False), F.lit(True), F.col("doc_id") < 0):
+        assert sorted((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs, history).collect()) == want
+
+
 def test_minimal_perfect_hash():
     keys = np.random.default_rng(1).integers(0, 1 << 63, (5000, 4), dtype=np.int64).astype(np.uint64)
     levels, slot = exact_dedup.build_mph(keys)
@@ -172,6 +186,47 @@ def test_mixing(docs, rows, odd, empty):
     assert mixing.mix_sources(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
 
 
+def brute_mix(rows):
+    """(doc_id, source, size, taken) of (doc_id, source, size): one queue in order of finish time."""
+    by = defaultdict(list)
+    for i, s, n in rows:
+        by[s].append((hashlib.md5(f"mix:{'' if i is None else i}".encode()).hexdigest(), i is not None, i or 0, n))
+    total, flows = sum(r[2] for r in rows), sorted(by, key=lambda s: (s is None, s or ""))
+    weight, own = {s: (5, 2, 1)[k % 3] for k, s in enumerate(flows)}, {s: sum(x[3] for x in by[s]) for s in flows}
+    target, left, open_ = {}, total, [s for s in flows if own[s]]
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if level * weight[s] > 3 * own[s]]
+        for s in full or open_:
+            target[s] = min(3 * own[s], level * weight[s])
+        left -= sum(target[s] for s in full)
+        open_ = [s for s in open_ if s not in full] if full else []
+    copies, taken = [], Counter()
+    for s in flows:
+        upto = 0
+        for k, x in enumerate(sorted(by[s])):
+            upto += x[3]
+            if x[3]:
+                copies += [((upto + own[s] * r) / target[s], s is None, s or "", x[0], x[2], x[3], k) for r in range(3)]
+    spent = 0
+    for c in sorted(copies):
+        spent += c[5]
+        if spent > total:
+            break
+        taken[None if c[1] else c[2], c[6]] += c[5]
+    return [(x[2] if x[1] else None, s, x[3], taken[s, k]) for s in flows for k, x in enumerate(sorted(by[s]))]
+
+
+def test_mixing_by_brute_force(spark, docs, rows):
+    want = Counter(brute_mix([(r[0], r[3], len(words(r[1]))) for r in rows]))
+    assert Counter((r.doc_id, r.source, r.size, r.taken) for r in mixing.mix_sources(docs).collect()) == want
+    # a third of the rows have no id, many repeat id and size
+    rng = random.Random(2)
+    odd = [(None if k % 3 == 0 else k % 40, rng.choice(["a", "b", "c", None]), rng.choice([0, 1, 5, 5, 30])) for k in range(600)]
+    got = mixing.mix_sources(spark.createDataFrame([(i, s, "w " * n) for i, s, n in odd], "doc_id long, source string, text string").repartition(5)).collect()
+    assert Counter((r.doc_id, r.source, r.size, r.taken) for r in got) == Counter(brute_mix(odd))
+
+
 def test_targets_fill_up(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 90), (None, 900)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
