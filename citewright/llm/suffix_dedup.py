@@ -2,21 +2,21 @@
 
 Bytes are removed that a 50-byte string covers which also starts in a document with a
 smaller id. Every 50-byte window is dealt by its anchor, the least of its 33 hashed 18-byte
-substrings; equal windows have equal anchors. Consecutive windows with one anchor are
+substrings; equal windows have equal anchors, so anchors choose the shards and nothing else. Consecutive windows with one anchor are
 a segment of at most 82 bytes.
 
-0. Texts that a smaller document has as a whole go whole, and take no part in the following.
+0. Texts that a smaller document has as a whole (by SHA-256) go whole, and take no part in the following.
 1. Anchors that two documents share are found by one shuffle. A task sends an anchor once,
    however many of its documents hold it; those it has seen in two documents itself are known
-   to be shared and are dealt by document instead.
-2. Documents meet their shared anchors and cut out the segments. By 64-bit hashes, an equal segment in a smaller
-   document makes the whole segment a repeat; most of the copied text ends here, without its bytes
-   being dealt. A task sends a segment once, for the smallest of its documents.
-3. Segments of the anchors that have several distinct ones are cut out once more, now with their bytes, and dealt by anchor.
-   In order of document, they get a Burrows-Wheeler transform, kept
-   as runs with the suffix positions sampled at run ends. Matching statistics are streamed through it:
-   all segments step backwards together by LF over the runs, and the group of suffixes that agree on 50
-   bytes tells the first document that holds the window.
+   to be shared and are dealt by document instead. Anchors that many documents share are cut once more, by the least of the
+   windows' substrings under another hash, so that a common phrase is spread over the contexts it stands in.
+2. Documents meet their shared anchors and cut out the segments, which are dealt by anchor with their bytes. A segment
+   whose bytes a smaller document of the same batch has is a repeat, and is told so without being dealt.
+3. A task takes the distinct segments of a shard in order of document and builds their Burrows-Wheeler transform, kept
+   as runs. Where the rows that agree on 50 bytes lie in one run and step to just such rows, the window before is held by the same
+   documents; so the first document is sampled only where runs end within such rows or begin anew. Matching
+   statistics are streamed through the index: all segments step backwards together by LF over the runs, and
+   the sample met last tells the first document that holds the window.
 4. The covered spans of a document are merged, and its remaining bytes digested.
 
 Defined cases: null counts as empty; texts under 50 bytes lose nothing; rows of equal doc_id don't
@@ -33,17 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, mix, powers, prefix_hashes, span_hashes, stage
+from .common import bound_batches, chunks, flat, mix, powers, prefix_hashes, span_hashes, stage
 
 LENGTH = 50
 KMER = 18
 _WINDOW = LENGTH - KMER + 1
 BLOCK = 1 << 20
 BROADCAST_ROWS = 1 << 19
+HEAVY = 1 << 11  # rows of a shared anchor from which on its segments are cut once more
 _LOW = np.uint64(63)
 
 
-def cut_segments(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cut_segments(buf: np.ndarray, offs: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor (int64), first and end byte of every segment, in order."""
     none = np.zeros(0, np.int64)
     if len(buf) < LENGTH:
@@ -51,7 +52,7 @@ def cut_segments(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     sums = prefix_hashes(buf)
     _, down = powers(len(sums))
     n = len(buf) - KMER + 1
-    key = mix((sums[KMER:] - sums[:-KMER]) * down[:n])
+    key = mix((sums[KMER:] - sums[:-KMER]) * down[:n] + np.uint64(seed))
     # the lowest bits hold the position, so that the least key tells where its anchor is
     key = (key & ~_LOW) | (np.arange(n, dtype=np.uint64) & _LOW)
     span = 1
@@ -71,12 +72,19 @@ def cut_segments(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (least[at[head]] & ~_LOW).view(np.int64), at[head], at[last] + LENGTH
 
 
-def _each_chunk(texts: pa.Array):
-    """Per chunk of texts: first text, bytes, offsets, then anchors, starts and ends of segments."""
-    buf, offs = flat(texts)
-    for i, j in chunks(offs):
-        part, own = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-        yield i, part, own, *cut_segments(part, own)
+def _cut_again(buf: np.ndarray, offs: np.ndarray, anchor: np.ndarray, start: np.ndarray, end: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The segments, those of ``heavy`` anchors cut where the anchors under another hash change."""
+    other, first, last = cut_segments(buf, offs, 1)
+    # both cuts hold the same windows in the same order: a window's segment is the last that starts at or before it
+    sizes = end - start - LENGTH + 1
+    mine = np.repeat(np.arange(len(start)), sizes)
+    window = np.arange(len(mine)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + start[mine]
+    theirs = np.searchsorted(first, window, "right") - 1
+    head = np.append(True, (mine[1:] != mine[:-1]) | (heavy[mine[1:]] & (theirs[1:] != theirs[:-1])))[: len(mine)]
+    at = np.flatnonzero(head)
+    upto = np.append(at[1:], len(mine)) - 1
+    both = (mix(anchor[mine[at]].view(np.uint64) ^ mix(other[theirs[at]].view(np.uint64))) & ~_LOW).view(np.int64)
+    return np.where(heavy[mine[at]], both, anchor[mine[at]]), window[at], window[upto] + LENGTH
 
 
 def _batch(names: str, *columns) -> pa.RecordBatch:
@@ -95,7 +103,10 @@ def _anchors(docs: DataFrame) -> DataFrame:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             hashes, owners = [], []
-            for i, _, own, anchor, start, _ in _each_chunk(b.column(1)):
+            buf, offs = flat(b.column(1))
+            for i, j in chunks(offs):
+                own = offs[i : j + 1] - offs[i]
+                anchor, start, _ = cut_segments(buf[offs[i] : offs[j]], own)
                 hashes.append(anchor)
                 owners.append(ids[i + np.searchsorted(own, start, "right") - 1])
             if not hashes:
@@ -135,8 +146,8 @@ def _groups(batches, key: int, low: int = 0):
         yield held
 
 
-def shared_anchors(docs: DataFrame) -> DataFrame:
-    """(doc_id, anchors): the anchors of each document that others may share."""
+def _shared(docs: DataFrame) -> DataFrame:
+    """(doc_id, anchor): the anchors of each document that others may share."""
 
     def run(batches):
         for t in _groups(batches, 0, 6):
@@ -150,13 +161,12 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
             yield _batch("doc_id anchor", d[keep], h[keep])
 
     rows = _dealt(_anchors(docs)).sortWithinPartitions("anchor")
-    found = rows.mapInArrow(run, "doc_id long, anchor long")
-    return found.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    return rows.mapInArrow(run, "doc_id long, anchor long")
 
 
 def _segments(docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(anchor, doc_id, hash, start, size, part) of segments: kind 0, or 2 where a smaller document of
-    the task has an equal one."""
+    """(anchor, doc_id, part, start, size, segment): the shared segments with their bytes, of kind 0; of kind 2, without, the spans of those
+    whose bytes a smaller document of the batch has. An odd anchor is a heavy one."""
 
     def run(batches):
         for b in batches:
@@ -164,94 +174,72 @@ def _segments(docs: DataFrame, anchors: DataFrame) -> DataFrame:
             ids, parts, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False), b.column(2)
             values = lists.flatten().to_numpy(zero_copy_only=False)
             bounds = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+            buf, offs = flat(b.column(1))
             found = []
-            for i, part, own, anchor, start, end in _each_chunk(b.column(1)):
+            for i, j in chunks(offs):
+                part, own = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                anchor, start, end = cut_segments(part, own)
                 doc = np.searchsorted(own, start, "right") - 1
-                wanted = np.zeros(len(anchor), bool)
+                wanted, often = np.zeros(len(anchor), bool), np.zeros(len(anchor), bool)
                 cuts = np.searchsorted(doc, np.arange(len(own)))
                 for k in range(len(own) - 1):
                     lo, hi = cuts[k], cuts[k + 1]
                     if lo < hi:
-                        wanted[lo:hi] = np.isin(anchor[lo:hi], values[bounds[i + k] : bounds[i + k + 1]])
-                start, end, doc = start[wanted], end[wanted], doc[wanted]
-                found.append((anchor[wanted], ids[i + doc], span_hashes(prefix_hashes(part), start, end).view(np.int64), start - own[doc], end - start, parts[i + doc]))
+                        mine = values[bounds[i + k] : bounds[i + k + 1]]
+                        often[lo:hi] = np.isin(anchor[lo:hi], mine[mine & 1 == 1] - 1)
+                        wanted[lo:hi] = np.isin(anchor[lo:hi], mine) | often[lo:hi]
+                anchor, start, end, often = anchor[wanted], start[wanted], end[wanted], often[wanted]
+                if often.any():
+                    anchor, start, end = _cut_again(part, own, anchor, start, end, often)
+                doc = np.searchsorted(own, start, "right") - 1
+                found.append((anchor, i + doc, span_hashes(prefix_hashes(part), start, end), offs[i] + start, end - start))
             if not found:
                 continue
-            anchor, owner, h, start, size, parts = (np.concatenate(x) for x in zip(*found, strict=True))
+            anchor, doc, h, begin, size = (np.concatenate(x) for x in zip(*found, strict=True))
+            owner = ids[doc]
             order = np.lexsort((owner, h, anchor))
-            anchor, owner, h, start, size, parts = (x[order] for x in (anchor, owner, h, start, size, parts))
-            known = _least(owner, anchor, h) < owner
-            order = np.lexsort((start, parts, owner, known))
-            anchor, owner, h, start, size, parts, known = (x[order] for x in (anchor, owner, h, start, size, parts, known))
-            # known repeats need no comparison: what follows on from each other is one row
-            head = ~known
-            head[:1] = True
-            head[1:] |= (owner[1:] != owner[:-1]) | (parts[1:] != parts[:-1]) | (start[1:] > (start + size)[:-1]) | ~known[:-1]
-            first = np.flatnonzero(head)
-            last = np.append(first[1:], len(head))[: len(first)] - 1
-            size = (start + size)[last] - start[first]
-            known = known[first]
-            anchor, h = np.where(known, 2, anchor[first]), np.where(known, 0, h[first])
-            yield _batch("anchor doc_id hash start size part", anchor, owner[first], h, start[first], size, parts[first])
-
-    rows = docs.join(anchors, "doc_id", "left").select("doc_id", "text", "anchors", "part")
-    return rows.mapInArrow(run, "anchor long, doc_id long, hash long, start long, size long, part long")
-
-
-def _least(owner: np.ndarray, *sorted_by: np.ndarray) -> np.ndarray:
-    """The least owner among rows that agree on the arrays they are sorted by."""
-    if not len(owner):
-        return owner
-    change = np.zeros(len(owner), bool)
-    for x in sorted_by:
-        change[1:] |= x[1:] != x[:-1]
-    change[0] = True
-    head = np.flatnonzero(change)
-    return np.repeat(np.minimum.reduceat(owner, head), np.diff(np.append(head, len(owner))))
-
-
-def _compared(segments: DataFrame) -> DataFrame:
-    """(doc_id, part, a, b, anchor): spans that repeat (anchor null), and segments to be looked into."""
-
-    def run(batches):
-        for t in _groups(batches, 0, 6):
-            anchor, owner, h, start, size, parts = (t.column(i).to_numpy() for i in range(6))
-            known = anchor & 3 == 2
-            rows = [(owner[known], parts[known], start[known], (start + size)[known], np.zeros(int(known.sum()), np.int64), np.ones(int(known.sum()), bool))]
-            anchor, owner, h, start, size, parts = (x[~known] for x in (anchor & ~np.int64(63), owner, h, start, size, parts))
-            order = np.lexsort((h, anchor))
-            anchor, owner, h, start, size, parts = (x[order] for x in (anchor, owner, h, start, size, parts))
-            least = _least(owner, anchor, h)
-            several = _least(h, anchor) != -_least(-h, anchor)
-            keep = (least < owner) | several
-            rows.append((owner[keep], parts[keep], start[keep], (start + size)[keep], anchor[keep], (least < owner)[keep]))
-            owner, parts, a, b, anchor, repeat = (np.concatenate(x) for x in zip(*rows, strict=True))
-            yield _batch("doc_id part a b anchor", owner, parts, a, b, pa.array(anchor, mask=repeat))
-
-    return _dealt(segments).sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, part long, a long, b long, anchor long")
-
-
-def _cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(anchor, doc_id, start, segment, part) of the wanted segments of each document."""
-
-    def run(batches):
-        for b in batches:
-            b = b.take(pa.array(np.flatnonzero(b.column(2).is_valid().to_numpy(zero_copy_only=False))))
-            if not b.num_rows:
-                continue
-            buf, offs = flat(b.column(1))
-            ids, parts, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False), b.column(2)
-            a, e, anchor = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            doc = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-            begin = offs[doc] + a
-            sizes = e - a
-            ends = np.append(0, np.cumsum(sizes))
-            at = np.repeat(begin - ends[:-1], sizes) + np.arange(int(ends[-1]))
-            bytes_ = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(buf[at].tobytes())])
-            yield _batch("anchor doc_id start segment part", anchor, ids[doc], a, bytes_, parts[doc])
-
-    rows = docs.join(wanted, ["doc_id", "part"], "left").select("doc_id", "text", "wanted", "part")
-    return rows.mapInArrow(run, "anchor long, doc_id long, start long, segment binary, part long")
+            anchor, doc, h, begin, size, owner = (x[order] for x in (anchor, doc, h, begin, size, owner))
+            head = np.append(True, (anchor[1:] != anchor[:-1]) | (h[1:] != h[:-1]))[: len(h)]
+            first = np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))  # the same hash from the smallest document
+            known = (owner > owner[first]) & (size == size[first])
+            at = np.flatnonzero(known)
+            known[at] = _equal(buf, begin[at], begin[first[at]], size[at])
+            yield from told(buf, offs, ids, parts, anchor, doc, begin, size, known)
+
+    def told(buf, offs, ids, parts, anchor, doc, begin, size, known):
+        names = "anchor doc_id part start size segment"
+        at = np.flatnonzero(known)
+        at = at[np.lexsort((begin[at], doc[at]))]
+        d, a, e = doc[at], begin[at], (begin + size)[at]
+        # what follows on from each other is one row
+        head = np.append(True, (d[1:] != d[:-1]) | (a[1:] > e[:-1]))[: len(at)]
+        lo = np.flatnonzero(head)
+        hi = np.append(lo[1:], len(at))[: len(lo)] - 1
+        yield _batch(names, np.full(len(lo), 2), ids[d[lo]], parts[d[lo]], a[lo] - offs[d[lo]], e[hi] - a[lo], pa.nulls(len(lo), pa.binary()))
+        at = np.flatnonzero(~known)
+        at = at[np.argsort(doc[at], kind="stable")]
+        anchor, doc, begin, size = anchor[at], doc[at], begin[at], size[at]
+        for lo in range(0, len(at), 1 << 15):
+            own = slice(lo, lo + (1 << 15))
+            ends = np.append(0, np.cumsum(size[own]))
+            spot = np.repeat(begin[own] - ends[:-1], size[own]) + np.arange(int(ends[-1]))
+            cut = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(buf[spot].tobytes())])
+            yield _batch(names, anchor[own], ids[doc[own]], parts[doc[own]], begin[own] - offs[doc[own]], size[own], cut)
+
+    rows = docs.join(anchors, "doc_id").select("doc_id", "text", "anchors", "part")
+    return rows.mapInArrow(run, "anchor long, doc_id long, part long, start long, size long, segment binary")
+
+
+def _equal(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes of the spans at a and at b agree."""
+    out = np.zeros(len(a), bool)
+    for lo in range(0, len(a), 1 << 15):
+        n = size[lo : lo + (1 << 15)]
+        ends = np.cumsum(n)
+        step = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
+        same = buf[np.repeat(a[lo : lo + len(n)], n) + step] == buf[np.repeat(b[lo : lo + len(n)], n) + step]
+        out[lo : lo + len(n)] = np.logical_and.reduceat(same, ends - n)
+    return out
 
 
 class RunIndex:
@@ -268,8 +256,6 @@ class RunIndex:
         # rows whose suffixes agree on 50 bytes: 32 and the 32 that start 18 later
         depth = np.where(left >= LENGTH, ranks * np.int64(n) + np.append(ranks[LENGTH - 32 :], np.zeros(LENGTH - 32, np.int64)), -1 - np.arange(n))
         depth = depth[order]
-        self.group = np.flatnonzero(np.append(True, depth[1:] != depth[:-1]))
-        self.first_doc = np.minimum.reduceat(docs[owner[order]], self.group)
         bwt = text[order - 1]
         self.start = np.flatnonzero(np.append(True, bwt[1:] != bwt[:-1]))
         self.head = bwt[self.start]
@@ -277,7 +263,20 @@ class RunIndex:
         by_char = np.argsort(self.head, kind="stable")
         self.base = np.empty(len(self.start), np.int64)
         self.base[by_char] = np.cumsum(length[by_char]) - length[by_char]
-        self.sample_first, self.sample_last = order[self.start], order[self.start + length - 1]
+        # groups of rows that agree on 50 bytes, and the first document of each
+        group = np.flatnonzero(np.append(True, depth[1:] != depth[:-1]))
+        end = np.append(group[1:], n)
+        first_doc = np.minimum.reduceat(docs[owner[order]], group)
+        whole = depth[group] >= 0
+        # a group in one run that steps to just such a group hands its first document on; the others are sampled
+        run = np.searchsorted(self.start, group, "right")
+        one = whole & (run == np.searchsorted(self.start, end - 1, "right")) & (self.head[run - 1] > 0)
+        low = self.step(group[one])
+        to = np.searchsorted(group, low, "right") - 1
+        just = (group[to] == low) & (end[to] == low + (end - group)[one]) & whole[to]
+        sampled = whole.copy()
+        sampled[to[just]] = False
+        self.sample_first, self.sample_end, self.sample_doc = group[sampled], end[sampled], first_doc[sampled]
 
     @staticmethod
     def _sorted(text: np.ndarray, left: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -304,11 +303,13 @@ class RunIndex:
     def stream(self) -> np.ndarray:
         """(segment, window) pairs, one row each, that a document before the segment's holds."""
         rows, alive, found = np.arange(len(self.docs)), np.arange(len(self.docs)), []
+        first = np.full(len(self.docs), np.iinfo(np.int64).max)
         for length in range(1, int(self.sizes.max()) + 1):
             more = self.sizes[alive] >= length
-            alive, rows = alive[more], self.step(rows[more])
-            if length >= LENGTH:
-                first = self.first_doc[np.searchsorted(self.group, rows, "right") - 1]
+            alive, rows, first = alive[more], self.step(rows[more]), first[more]
+            if length >= LENGTH and len(self.sample_first):
+                at = np.searchsorted(self.sample_first, rows, "right") - 1
+                first = np.where((at >= 0) & (rows < self.sample_end[at]), self.sample_doc[at], first)
                 hit = first < self.docs[alive]
                 found.append(np.stack([alive[hit], self.sizes[alive[hit]] - length], axis=1))
         return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
@@ -359,27 +360,39 @@ def covered_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, part, spans array<struct<a, b>>) of bytes to remove, possibly overlapping."""
 
     def run(batches):
-        waiting, size = [], 0
+        waiting, size, spans = [], 0, []
 
         def done():
             t = pa.concat_tables(waiting)
-            anchor, doc, start = (t.column(i).to_numpy() for i in range(3))
-            return _batch("doc_id part a b", *repeated_spans(anchor, doc, start, t.column(3).to_pylist(), t.column(4).to_numpy()))
-
-        for t in _groups(batches, 0):
+            anchor, doc, part, start = (t.column(i).to_numpy() for i in range(4))
+            return _batch("doc_id part a b", *repeated_spans(anchor, doc, start, t.column(5).to_pylist(), part))
+
+        def unknown():
+            for b in batches:
+                known = b.column(0).to_numpy() == 2
+                if known.any():
+                    own = b.filter(pa.array(known))
+                    start = own.column(3).to_numpy()
+                    spans.append(_batch("doc_id part a b", own.column(1), own.column(2), start, start + own.column(4).to_numpy()))
+                yield b.filter(pa.array(~known))
+
+        for t in _groups(unknown(), 0):
+            while spans:
+                yield spans.pop()
             for part in _slices(t):
                 waiting.append(part)
                 size += part.nbytes
                 if size >= 2 * BLOCK:
                     yield done()
                     waiting, size = [], 0
+        yield from spans
         if waiting:
             yield done()
 
-    compared = _compared(_segments(docs, shared_anchors(docs)))
-    wanted = compared.where("anchor is not null").groupBy("doc_id", "part").agg(F.collect_list(F.struct("a", "b", "anchor")).alias("wanted"))
-    rows = _cut_out(docs, wanted).repartition("anchor").sortWithinPartitions("anchor")
-    found = compared.where("anchor is null").select("doc_id", "part", "a", "b").union(rows.mapInArrow(run, "doc_id long, part long, a long, b long"))
+    anchors = stage(_shared(docs), "anchors")
+    heavy = stage(anchors.groupBy("anchor").agg(F.count("*").alias("rows")).where(F.col("rows") >= HEAVY).select("anchor", F.lit(1).alias("bit")), "heavy")
+    lists = anchors.join(heavy, "anchor", "left").groupBy("doc_id").agg(F.collect_list(F.col("anchor") + F.coalesce("bit", F.lit(0))).alias("anchors"))
+    found = _dealt(_segments(docs, lists)).sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, part long, a long, b long")
     return found.groupBy("doc_id", "part").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
@@ -442,6 +455,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 digests.append(sha256(kept[-1]).hexdigest())
             yield _batch("doc_id n_bytes n_removed n_spans kept_sha256 kept", b.column(0), np.diff(offs), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary()))
 
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     copies = stage(exact_copies(docs), "copies")
     few = copies.count() <= BROADCAST_ROWS  # beyond it, the anti-join is a shuffled one

@@ -166,6 +166,32 @@ def test_run_index_steps_backwards():
     assert found == {(2, k) for k, w in enumerate(windows(text[2])) if w in windows(text[0])}
 
 
+def test_run_index_carries_the_result():
+    """Without its samples the index finds nothing; they are fewer than the windows, and the answer is that of brute force."""
+    rng = random.Random(6)
+    text = lambda n, letters: bytes(rng.choice(letters) for _ in range(n))
+    base = [text(80, b"ab") for _ in range(6)] + [b"a" * 82]
+    for _ in range(20):
+        segments = list({b[i : i + rng.randrange(50, 83)] for b in base for i in range(3)} | {text(60, b"a") + text(22, b"ab") for _ in range(5)})
+        segments = [x for x in segments if len(x) >= 50]
+        docs = np.sort(np.array([rng.randrange(12) for _ in segments]))
+        first = {}
+        for x, d in zip(segments, docs.tolist(), strict=True):
+            for k in range(len(x) - 49):
+                first[x[k : k + 50]] = min(d, first.get(x[k : k + 50], d))
+        index = suffix_dedup.RunIndex(segments, docs)
+        want = {(i, k) for i, (x, d) in enumerate(zip(segments, docs.tolist(), strict=True)) for k in range(len(x) - 49) if first[x[k : k + 50]] < d}
+        assert {(s, w) for s, w in index.stream().tolist()} == want
+        assert len(index.sample_first) < len(first)
+        index.sample_doc[:] = np.iinfo(np.int64).max
+        assert not len(index.stream())
+
+
+def test_suffix_dedup_cuts_heavy_anchors_again(docs, rows, odd, empty, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HEAVY", 2)
+    test_suffix_dedup(docs, rows, odd, empty)
+
+
 def test_mixing(docs, rows, odd, empty):
     got = {r.doc_id: r for r in mixing.mix_sources(docs).collect()}
     sizes = {r[0]: len(words(r[1])) for r in rows}
