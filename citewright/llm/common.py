@@ -35,12 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that workers get by bytes, not by rows only, unless the session does so more tightly."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    own = spark.conf.get(name, "67108864b")
-    if not own.rstrip("b").isdigit() or int(own.rstrip("b")) > BATCH_BYTES:
-        spark.conf.set(name, f"{BATCH_BYTES}b")
+def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Bound the Arrow batches that workers get by bytes, not by rows only."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{size}b")
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

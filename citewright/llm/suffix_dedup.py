@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, chunks, flat, mix, powers, prefix_hashes, span_hashes, stage
+from .common import BATCH_BYTES, bound_batches, chunks, flat, mix, powers, prefix_hashes, span_hashes, stage
 
 LENGTH = 50
 KMER = 18
@@ -226,7 +226,7 @@ def _segments(docs: DataFrame, anchors: DataFrame) -> DataFrame:
             cut = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(buf[spot].tobytes())])
             yield _batch(names, anchor[own], ids[doc[own]], parts[doc[own]], begin[own] - offs[doc[own]], size[own], cut)
 
-    rows = docs.join(anchors, "doc_id").select("doc_id", "text", "anchors", "part")
+    rows = docs.join(anchors, "doc_id", "left").select("doc_id", "text", "anchors", "part")
     return rows.mapInArrow(run, "anchor long, doc_id long, part long, start long, size long, segment binary")
 
 
@@ -357,7 +357,7 @@ def repeated_spans(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, segme
 
 
 def covered_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, part, spans array<struct<a, b>>) of bytes to remove, possibly overlapping."""
+    """(doc_id, spans array<struct<part, a, b>>) of bytes to remove, possibly overlapping."""
 
     def run(batches):
         waiting, size, spans = [], 0, []
@@ -393,7 +393,7 @@ def covered_spans(docs: DataFrame) -> DataFrame:
     heavy = stage(anchors.groupBy("anchor").agg(F.count("*").alias("rows")).where(F.col("rows") >= HEAVY).select("anchor", F.lit(1).alias("bit")), "heavy")
     lists = anchors.join(heavy, "anchor", "left").groupBy("doc_id").agg(F.collect_list(F.col("anchor") + F.coalesce("bit", F.lit(0))).alias("anchors"))
     found = _dealt(_segments(docs, lists)).sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, part long, a long, b long")
-    return found.groupBy("doc_id", "part").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return found.groupBy("doc_id").agg(F.collect_list(F.struct("part", "a", "b")).alias("spans"))
 
 
 def _slices(t: pa.Table):
@@ -438,13 +438,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for b in batches:
             buf, offs = flat(b.column(1))
             removed, spans, digests, kept = [], [], [], []
+            parts = b.column(3).to_numpy(zero_copy_only=False)
             for i, own in enumerate(b.column(2)):
                 text = buf[offs[i] : offs[i + 1]]
                 if own.is_valid:
                     change = np.zeros(len(text) + 1, np.int32)
-                    pairs = own.values
-                    np.add.at(change, pairs.field(0).to_numpy(), 1)
-                    np.add.at(change, pairs.field(1).to_numpy(), -1)
+                    part, lo, hi = (own.values.field(k).to_numpy() for k in range(3))
+                    mine = part == parts[i]  # the others are of another text of the id
+                    np.add.at(change, lo[mine], 1)
+                    np.add.at(change, hi[mine], -1)
                     gone = np.cumsum(change[:-1]) > 0
                     spans.append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
                     text = text[~gone]
@@ -455,14 +457,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 digests.append(sha256(kept[-1]).hexdigest())
             yield _batch("doc_id n_bytes n_removed n_spans kept_sha256 kept", b.column(0), np.diff(offs), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary()))
 
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, 4 * BATCH_BYTES)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     copies = stage(exact_copies(docs), "copies")
     few = copies.count() <= BROADCAST_ROWS  # beyond it, the anti-join is a shuffled one
     gone = copies.select(F.col("doc_id").alias("_d"), F.col("sha").alias("_s"))
     rest = docs.join(F.broadcast(gone) if few else gone, (F.col("doc_id") == F.col("_d")) & (_sha() == F.col("_s")), "left_anti")
     rest = _with_parts(rest, docs)
-    rows = rest.join(covered_spans(rest), ["doc_id", "part"], "left").select("doc_id", "text", "spans")
+    rows = rest.join(covered_spans(rest), "doc_id", "left").select("doc_id", "text", "spans", "part")
     out = rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     empty = F.lit(sha256(b"").hexdigest())
     return out.union(copies.select("doc_id", "n_bytes", "n_bytes", F.lit(1).cast("long"), empty, F.lit(b"").cast("binary")))
