@@ -38,7 +38,7 @@ from .common import BATCH_BYTES, bound_batches, chunks, flat, mix, powers, prefi
 LENGTH = 50
 KMER = 18
 _WINDOW = LENGTH - KMER + 1
-BLOCK = 1 << 20
+BLOCK = 1 << 18  # half the bytes of the segments of an index: run ends then stay in a core's cache
 BROADCAST_ROWS = 1 << 19
 HEAVY = 1 << 11  # rows of a shared anchor from which on its segments are cut once more
 _LOW = np.uint64(63)
@@ -174,21 +174,19 @@ def _segments(docs: DataFrame, anchors: DataFrame) -> DataFrame:
             ids, parts, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False), b.column(2)
             values = lists.flatten().to_numpy(zero_copy_only=False)
             bounds = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+            named = _of_row(values & ~np.int64(63), np.repeat(np.arange(b.num_rows), np.diff(bounds)))
+            odd = values & 1 == 1
             buf, offs = flat(b.column(1))
             found = []
             for i, j in chunks(offs):
                 part, own = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 anchor, start, end = cut_segments(part, own)
                 doc = np.searchsorted(own, start, "right") - 1
-                wanted, often = np.zeros(len(anchor), bool), np.zeros(len(anchor), bool)
-                cuts = np.searchsorted(doc, np.arange(len(own)))
-                for k in range(len(own) - 1):
-                    lo, hi = cuts[k], cuts[k + 1]
-                    if lo < hi:
-                        mine = values[bounds[i + k] : bounds[i + k + 1]]
-                        often[lo:hi] = np.isin(anchor[lo:hi], mine[mine & 1 == 1] - 1)
-                        wanted[lo:hi] = np.isin(anchor[lo:hi], mine) | often[lo:hi]
-                anchor, start, end, often = anchor[wanted], start[wanted], end[wanted], often[wanted]
+                mine = slice(bounds[i], bounds[j])
+                key = _of_row(anchor, i + doc)
+                wanted = _among(key, named[mine])
+                anchor, start, end, key = anchor[wanted], start[wanted], end[wanted], key[wanted]
+                often = _among(key, named[mine][odd[mine]])
                 if often.any():
                     anchor, start, end = _cut_again(part, own, anchor, start, end, often)
                 doc = np.searchsorted(own, start, "right") - 1
@@ -230,6 +228,18 @@ def _segments(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "anchor long, doc_id long, part long, start long, size long, segment binary")
 
 
+def _of_row(anchor: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """One number for an anchor in a row. Should two agree by chance, a segment more goes to its shard."""
+    return mix(anchor.view(np.uint64) ^ mix(row.astype(np.uint64) + np.uint64(1)))
+
+
+def _among(key: np.ndarray, some: np.ndarray) -> np.ndarray:
+    if not len(some):
+        return np.zeros(len(key), bool)
+    some = np.sort(some)
+    return some[np.minimum(np.searchsorted(some, key), len(some) - 1)] == key
+
+
 def _equal(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether the bytes of the spans at a and at b agree."""
     out = np.zeros(len(a), bool)
