@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, lower, most_frequent, stage, word_hashes
+from .common import bound_batches, chunks, flat, lower, most_frequent, stage, word_hashes
 
 ORDER = 4
 LEAST = 1  # every string counts
@@ -242,6 +242,7 @@ def _lookup(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarra
 
 def score(docs: DataFrame, hold: Column | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    bound_batches(docs.sparkSession)
     hold = held_out() if hold is None else hold
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), hold.alias("held_out"))
     counts = stage(_count(rows.select("text", F.coalesce("held_out", F.lit(True)).alias("held_out"))), "counts")

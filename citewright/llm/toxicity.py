@@ -33,6 +33,7 @@ SAMPLE = {1: 2_500, 0: 7_500}  # at most so many labelled texts of each class ar
 SAMPLE_BYTES = 1 << 27  # of the bags that are learnt from, taken in order of hash
 EPOCHS = 12
 SCALE = 50.0
+SLICE = 1 << 19  # bytes of text whose subwords are held at once
 
 
 def held_out(doc_id: str = "doc_id", modulus: int = 5) -> Column:
@@ -79,7 +80,7 @@ def _bags(rows: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             buf, offs = flat(b.column(2))
-            for i, j in chunks(offs):
+            for i, j in chunks(offs, SLICE):
                 bucket, text = subwords(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 key, n = np.unique(text.astype(np.int64) * BUCKETS + bucket, return_counts=True)
                 cuts = np.searchsorted(key, np.arange(j - i + 1) * BUCKETS)
@@ -187,7 +188,7 @@ def scored(docs: DataFrame, table: np.ndarray | None) -> DataFrame:
     def run(batches):
         for b in batches:
             buf, offs = flat(carried_text(b, at))
-            score = [_score(shared.value, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in chunks(offs)]
+            score = [_score(shared.value, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in chunks(offs, SLICE)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(score) if score else np.zeros(0))], names=["row", "score"])
 
     return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
