@@ -53,10 +53,18 @@ def years(c: Column) -> Column:
 
 def safe_url(c: Column) -> Column:
     """The address without fragment, or null unless it is a public http(s) one: no user or
-    password, default ports, no white space, no local or private host, no IPv6 literal."""
+    password, default ports, no white space, no local host, no address outside the global ranges, no IPv6 literal."""
     host = F.lower(F.regexp_extract(c, r"^[A-Za-z]+://([^/?#:@\s\[\]]+)(:[0-9]*)?(?:[/?#]|$)", 1))
     port = F.regexp_extract(c, r"^[A-Za-z]+://[^/?#:@\s\[\]]+(?::([0-9]*))?(?:[/?#]|$)", 1)
-    private = host.rlike(r"^(10|127|0)\.|^192\.168\.|^169\.254\.|^172\.(1[6-9]|2[0-9]|3[01])\.|^100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.")
+    octets = F.transform(F.split(F.when(host.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), host), r"\."), lambda x: x.cast("int"))
+    first, second, third = octets[0], octets[1], octets[2]
+    # Ranges of addresses that aren't global (private, shared, local, documentation, benchmark, reserved)
+    private = F.coalesce(
+        first.isin(0, 10, 127) | (first >= 240) | ((first == 100) & second.between(64, 127)) | ((first == 169) & (second == 254))
+        | ((first == 172) & second.between(16, 31)) | ((first == 192) & (second == 168)) | ((first == 198) & second.isin(18, 19))
+        | ((first == 192) & (second == 0) & third.isin(0, 2)) | ((first == 198) & (second == 51) & (third == 100)) | ((first == 203) & (second == 0) & (third == 113)),
+        F.lit(False),
+    )
     ok = (
         (F.length(c) <= 4000) & c.rlike(r"(?i)^https?://") & ~c.rlike(r"\s") & (host != "")
         & port.isin("", "80", "443") & ~host.isin("localhost", "metadata.google.internal") & ~host.endswith(".localhost") & ~private

@@ -147,21 +147,32 @@ def first_family(authors: Column) -> Column:
 
 
 #: Words of journal names that say nothing.
-GENERIC = ("the", "and", "for", "journal", "international", "proceedings", "transactions")
+GENERIC = ("journal", "of", "the", "and", "j", "proceedings", "proc")
 
 
 def journal_matches(journal: Column, citation: Column) -> Column:
-    """Whether each significant word of the journal begins, or is begun by, a printed word; true for no journal."""
+    """Whether each significant word of the journal begins, or is begun by, a printed word; true for no journal,
+    false for one of generic words only."""
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda w: F.length(w) >= 3)
     named = F.filter(words(F.coalesce(journal, F.lit(""))), lambda w: ~w.isin(*GENERIC))
     printed = words(citation)
-    return F.forall(named, lambda w: F.exists(printed, lambda p: F.startswith(w, p) | F.startswith(p, w)))
+    all_printed = (F.size(named) > 0) & F.forall(named, lambda w: F.exists(printed, lambda p: F.startswith(w, p) | F.startswith(p, w)))
+    return (F.trim(F.coalesce(journal, F.lit(""))) == "") | F.coalesce(all_printed, F.lit(False))
+
+
+#: What a title can't hold (addresses, identifiers, volumes and pages with their numbers, page ranges), and name particles.
+NO_TITLE = r"(?i)https?://|10\.[0-9]{4,9}/|\b(?:vol(?:ume)?|pp?|pages?)\.?\s*[0-9]|\b[0-9]{2,4}\s*[-–—]\s*[0-9]{2,4}\b"
+PARTICLES = ("van", "von", "de", "der", "den", "del", "della", "di", "da", "dos", "du", "la", "le", "el", "al", "bin", "ibn", "ter", "ten", "y", "e", "et")
 
 
 def usable_title(title: Column) -> Column:
-    """Three words of two letters at least, no address, identifier, volume or page range."""
-    words = F.size(F.regexp_extract_all(title, F.lit("[A-Za-z]{2,}"), F.lit(0))) >= 3
-    return F.coalesce(words & ~title.rlike(r"(?i)https?://|10\.[0-9]{4,9}/|\bvol\b|\bpp?\.|[0-9]+\s*[-–]\s*[0-9]+"), F.lit(False))
+    """Three words of two Latin letters at least, nothing of NO_TITLE, and no list of names: one that has initials or
+    separators, and capitalised words and particles only."""
+    words = F.size(F.regexp_extract_all(title, F.lit(r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]{2,}"), F.lit(0))) >= 3
+    named = F.filter(F.split(F.regexp_replace(title, r"(?i)\bet al\b\.?|\band\b", " "), r"[\s,;&.]+"), lambda w: w != "")
+    capital = F.forall(named, lambda w: w.rlike(r"^\p{Lu}") | F.lower(w).isin(*PARTICLES))
+    names = title.rlike(r"\b[A-Z]\.\s*|[,;]|(?i)\bet al\b") & capital & ~title.rlike(r"[0-9:\"\x{201C}\x{201D}/<>]")
+    return F.coalesce(words & ~title.rlike(NO_TITLE) & ~names, F.lit(False))
 
 
 def contained_titles(refs: DataFrame, works: DataFrame, least: int = 15) -> DataFrame:

@@ -228,10 +228,10 @@ def fuzzy_title_match(spark, sf):
     return resolve.fuzzy_titles(items.select(F.col("item_id").alias("ref_id"), lost.alias("title")), items.select(F.col("item_id").alias("work_id"), F.left("text", F.lit(120)).alias("title")))
 
 
-@query("""w AS (SELECT DISTINCT part AS work_id, year, family, volume, first_page FROM refs WHERE part % 10 = 3)
+@query("""w AS (SELECT DISTINCT part AS work_id, year, family, volume, first_page FROM refs)
     SELECT r.paper_id, r.position, w.work_id FROM cited r JOIN w ON r.year = w.year AND r.family = w.family AND r.volume = w.volume AND r.first_page = w.first_page AND w.volume <> w.year""", REFS_SQL + ",")
 def coordinates_match(spark, sf):
-    works = refs(spark, sf).where("part % 10 = 3").select(F.col("part").alias("work_id"), "year", "family", "volume", "first_page").distinct()
+    works = refs(spark, sf).select(F.col("part").alias("work_id"), "year", "family", "volume", "first_page").distinct()
     rows = cited(spark, sf).select("paper_id", "position", "year", "family", "citation")
     return resolve.match_coordinates(rows, works).select("paper_id", "position", "work_id")
 
@@ -342,8 +342,8 @@ def intent_batches(spark, sf):
 
 
 @query(r"""l AS (SELECT doc_id, line, position FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS position FROM documents)),
-    s AS (SELECT *, least(3, len(regexp_extract_all(lower(line), '(?:^|[^\p{L}\p{N}])this(?:$|[^\p{L}\p{N}])'))) + least(3, len(regexp_extract_all(lower(line), '(?:^|[^\p{L}\p{N}])les(?:$|[^\p{L}\p{N}])'))) AS hits FROM l)
-    SELECT doc_id AS source_id, position, hits * 10 + CASE WHEN length(line) <= 80 AND NOT regexp_matches(line, '[.!?,;:]\s*$') THEN 3 ELSE 0 END AS score,
+    s AS (SELECT *, least(3, len(regexp_extract_all(lower(line), 'this'))) + least(3, len(regexp_extract_all(lower(line), 'les'))) AS hits FROM l)
+    SELECT doc_id AS source_id, position, hits * 10 + CASE WHEN regexp_matches(left(line, 140), '(^|[^\p{L}\p{N}_])(abstract|conclusions?|results?|limitations?|methods?|methodology|discussion)($|[^\p{L}\p{N}_])', 'i') THEN 3 ELSE 0 END AS score,
       hits > 0 OR coalesce(lag(hits) OVER w, 0) > 0 OR coalesce(lead(hits) OVER w, 0) > 0 AS chosen FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY position)""".replace("l AS", "WITH l AS", 1))
 def excerpt_rank(spark, sf):
     rows = table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), F.posexplode(F.split("text", "\n")).alias("position", "text"))

@@ -24,6 +24,9 @@ def test_citation_fields(printed, title, year, authors):
 def test_broken_doi_is_joined():
     assert citation.doi_of("see doi:10.1000/ab. cd12, and more") == "10.1000/ab.cd12"
     assert citation.doi_of("none") is None
+    assert citation.doi_of("10.1000/a- b. c/ d- e") == "10.1000/a-b.c/d-" and citation.doi_of("10.1000/ab Cd") == "10.1000/ab"
+    assert citation.is_author_list("A. Ason") and citation.is_author_list("Smith, J.") and not citation.is_author_list("Smithsonian")
+    assert citation.is_author_list("Smith, J., van Doe, A. and Kim Roe") and not citation.is_author_list("Smith, J. and Roe, Kim") and not citation.is_author_list("In Smith, Doe Roe")
 
 
 def one(spark, column):
@@ -36,7 +39,9 @@ def test_latex_is_escaped_once(spark):
 
 @pytest.mark.parametrize(
     ("url", "safe"),
-    [("https://a.example/x#p", "https://a.example/x"), ("http://u:p@a.example/", None), ("http://192.168.1.2/", None), ("http://[::1]/", None), ("ftp://a.example/", None), ("http://a.example:8080/", None), ("http://a b.example/", None)],
+    [("https://a.example/x#p", "https://a.example/x"), ("http://u:p@a.example/", None), ("http://192.168.1.2/", None), ("http://[::1]/", None), ("ftp://a.example/", None), ("http://a.example:8080/", None), ("http://a b.example/", None)]
+    + [(f"http://{x}/", None) for x in ("192.0.2.1", "198.18.0.1", "198.19.255.1", "198.51.100.7", "203.0.113.9", "240.0.0.1", "255.255.255.255", "100.64.0.1", "0.0.0.0")]
+    + [(f"http://{x}/", f"http://{x}/") for x in ("192.0.3.1", "198.20.0.1", "100.128.0.1", "8.8.8.8", "172.32.0.1", "10.example")],
 )
 def test_safe_url(spark, url, safe):
     assert one(spark, text.safe_url(F.lit(url))) == safe
