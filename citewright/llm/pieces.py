@@ -37,7 +37,7 @@ from .common import bound_batches, carried, carried_text, chunks, flat, prefix_h
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_KEY = 1 << 30
-BATCH = 1 << 22
+BATCH = 1 << 21
 LONG = 1 << 10  # bytes of a unit from which on merges by a heap are faster than a pass of its own
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from citewright.llm import common, embedding_dedup, queries, toxicity, warc
+from citewright.llm import common, embedding_dedup, pieces, queries, toxicity, warc
 
 
 def test_components(spark):
@@ -191,10 +191,34 @@ def test_misspellings_share_vectors():
 
 
 def test_pipeline_stages(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    """Every stage against brute force on what its predecessor kept."""
+    from sentencepiece import SentencePieceProcessor
+
+    from .test_text_operators import brute_links, brute_mix, components, shingles, words
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    tables, names = [docs], docs.columns
     for name, function in corpus_pipeline.STAGES:
-        out = common.stage(function(spark, docs, "/root/testdata/sf0.001"), name)
-        assert out.columns[: len(docs.columns)] == docs.columns and 0 < out.count()
-        docs = out
-    assert docs.columns[-1] == "pieces"
+        tables.append(common.stage(function(spark, tables[-1], sf), name))
+    assert all(t.columns == names for t in tables[:-1]) and tables[-1].columns == [*names, "pieces"]
+    start, clean, exact, near, mixed, encoded = (t.collect() for t in tables)
+    plain = lambda rows: sorted(tuple(str(r[c]) for c in names) for r in rows)
+    score = {r.row.doc_id: r.score for r in toxicity.scored(docs, toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))).collect()}
+    assert plain(clean) == plain([r for r in start if score[r.doc_id] < 0.5]) and len(clean) < len(start)
+    last = {}
+    for r in clean:
+        last[r.text or ""] = max(r.doc_id, last.get(r.text or "", r.doc_id))
+    assert plain(exact) == plain([r for r in clean if last[r.text or ""] == r.doc_id])
+    sets = {r.doc_id: shingles(r.text) for r in exact}
+    least = components(sets, brute_links(sets))
+    assert plain(near) == plain([r for r in exact if least[r.doc_id] == r.doc_id])
+    taken = {(i, s): n for i, s, size, n in brute_mix([(r.doc_id, r.source, len(words(r.text))) for r in near]) if size}
+    sizes = {r.doc_id: len(words(r.text)) for r in near}
+    assert plain(mixed) == plain([r for r in near if sizes[r.doc_id] for _ in range(taken[r.doc_id, r.source] // sizes[r.doc_id])])
+    sp = SentencePieceProcessor(model_file=pieces.MODEL)
+    assert plain(encoded) == plain(mixed) and all(r.pieces == sp.encode(r.text or "") for r in encoded)
+
+
+def test_registry():
     assert set(queries.oracle_sql()) <= set(queries.queries()) and "pipeline" in queries.queries()
