@@ -54,11 +54,22 @@ def metadata_matches(year: Column, ref_year: Column, title_ok: Column, ratio: Co
     return ~conflict & F.when(title_ok, ratio >= least).otherwise(contained | located)
 
 
+def coordinates_in(citation: Column, volume: Column, page: Column, year: Column) -> Column:
+    """Whether a citation prints a record's volume and, behind an issue or year at most, its first page or article number; a
+    volume that is the year says nothing."""
+    plain = lambda c: F.regexp_replace(c, r"([^\p{L}\p{N}])", r"\\$1")
+    vol, first = F.trim(F.coalesce(volume, F.lit(""))), F.split(F.trim(F.coalesce(page, F.lit(""))), r"\s*[-–—]\s*")[0]
+    place = F.concat(
+        F.lit(r"(?iU)(?<![\w\[(])"), plain(vol), F.lit(r"(?![\w\])])\s*(?:\([\w\s,–-]+\)\s*){0,2}(?:(?:18|19|20)\d{2}\s*)?[,;:]?\s*(?:pp?\.?\s*)?"), plain(first), F.lit(r"(?!\w)"),
+    )
+    told = (vol != "") & (first != "") & ~vol.eqNullSafe(year)
+    return F.coalesce(F.when(told & F.contains(citation, vol), F.regexp_like(citation, place)), F.lit(False))
+
+
 def match_coordinates(refs: DataFrame, works: DataFrame) -> DataFrame:
     """References without title joined on year and family, where the work's volume and then its first page stand in the citation."""
     joined = refs.join(works, ["year", "family"])
-    place = F.concat(F.lit(r"(?:^|[^0-9])"), F.col("volume"), F.lit(r"\s*(?:\([^)]*\))?\s*[,:]?\s*(?:\([0-9]{4}\))?\s*[,:]?\s*(?:pp?\.)?\s*"), F.col("first_page"), F.lit(r"(?:[^0-9]|$)"))
-    return joined.where((F.col("volume") != F.col("year")) & F.expr("contains(citation, volume)") & F.regexp_like("citation", place))
+    return joined.where(coordinates_in(F.col("citation"), F.col("volume"), F.col("first_page"), F.col("year")))
 
 
 def ambiguous_titles(works: DataFrame) -> DataFrame:
@@ -165,14 +176,17 @@ NO_TITLE = r"(?i)https?://|10\.[0-9]{4,9}/|\b(?:vol(?:ume)?|pp?|pages?)\.?\s*[0-
 PARTICLES = ("van", "von", "de", "der", "den", "del", "della", "di", "da", "dos", "du", "la", "le", "el", "al", "bin", "ibn", "ter", "ten", "y", "e", "et")
 
 
+def name_list(text: Column) -> Column:
+    """Whether a text is a list of names: initials or separators, and capitalised words and particles only."""
+    named = F.filter(F.split(F.regexp_replace(text, r"(?i)\bet al\b\.?|\band\b", " "), r"[\s,;&.]+"), lambda w: w != "")
+    capital = F.forall(named, lambda w: w.rlike(r"^\p{Lu}") | F.lower(w).isin(*PARTICLES))
+    return F.coalesce((F.size(named) > 1) & text.rlike(r"\b[A-Z]\.\s*|[,;]|(?i)\bet al\b") & capital & ~text.rlike(r"[0-9:\"\x{201C}\x{201D}/<>]"), F.lit(False))
+
+
 def usable_title(title: Column) -> Column:
-    """Three words of two Latin letters at least, nothing of NO_TITLE, and no list of names: one that has initials or
-    separators, and capitalised words and particles only."""
+    """Three words of two Latin letters at least, nothing of NO_TITLE, and no list of names."""
     words = F.size(F.regexp_extract_all(title, F.lit(r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]{2,}"), F.lit(0))) >= 3
-    named = F.filter(F.split(F.regexp_replace(title, r"(?i)\bet al\b\.?|\band\b", " "), r"[\s,;&.]+"), lambda w: w != "")
-    capital = F.forall(named, lambda w: w.rlike(r"^\p{Lu}") | F.lower(w).isin(*PARTICLES))
-    names = title.rlike(r"\b[A-Z]\.\s*|[,;]|(?i)\bet al\b") & capital & ~title.rlike(r"[0-9:\"\x{201C}\x{201D}/<>]")
-    return F.coalesce(words & ~title.rlike(NO_TITLE) & ~names, F.lit(False))
+    return F.coalesce(words & ~title.rlike(NO_TITLE) & ~name_list(title), F.lit(False))
 
 
 def contained_titles(refs: DataFrame, works: DataFrame, least: int = 15) -> DataFrame:
