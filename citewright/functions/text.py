@@ -107,7 +107,7 @@ def first_date_year(*parts: Column) -> Column:
 
 def split_authors(c: Column) -> Column:
     """Names of an author list, at most 40; initials that follow a surname stay with it."""
-    parts = F.filter(F.transform(F.split(F.regexp_replace(c, r"(?i),?\s*\bet al\.?", ""), r"\s*;\s*|\s*,\s*(?:and\s+|&\s*)?|\s+(?:and|&)\s+"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.regexp_replace(c, r"(?i),?\s*\bet al\.?", ""), r"\s*;\s*|\s*,\s*(?:and\s+|&\s*)?|\s+(?:and|&)\s+"), lambda x: F.trim(x)), lambda x: x != "")
     glue = lambda acc, x: F.when(
         x.rlike(r"^(?:\p{Lu}\.[\s-]*)+$") & (F.size(acc) > 0),
         F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat_ws(", ", F.element_at(acc, -1), x))),

@@ -39,6 +39,25 @@ def evaluate(report: DataFrame, expected: DataFrame) -> DataFrame:
     return report.join(expected, "sha", "left").withColumn("count_matches", F.when(F.col("expected").isNotNull(), F.col("found") == F.col("expected")))
 
 
+def corpus_summary(report: DataFrame) -> DataFrame:
+    """One row of a report (sha, status, count_matches, gaps): distinct files, those parsed, checks made and passed, and whether the run
+    passes, as no check failed."""
+    counts = report.agg(
+        F.countDistinct("sha").alias("unique_files"), F.count_if(F.col("status") == "parsed").alias("parsed"),
+        F.count("count_matches").alias("exact_count_checks"), F.count_if("count_matches").alias("checks_passed"),
+    )
+    return counts.withColumn("passes", F.col("checks_passed") == F.col("exact_count_checks"))
+
+
+def document_metadata(raw: DataFrame) -> DataFrame:
+    """(paper_id, title, author) as a decoder reads them to title and authors: names a program gives aren't titles, authors are
+    parted by semicolons, 40 at most; what is missing is empty."""
+    title = F.trim(F.coalesce("title", F.lit("")))
+    names = F.filter(F.transform(F.split(F.coalesce("author", F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
+    # Titles programs give
+    return raw.select("paper_id", F.when(F.lower(title).isin("untitled", "microsoft word"), "").otherwise(F.left(title, F.lit(1200))).alias("title"), F.slice(names, 1, 40).alias("authors"))
+
+
 def export_sessions(sessions: DataFrame, path: str) -> None:
     head = [F.lit(HISTORY["format"]).alias("format"), F.lit(HISTORY["version"]).alias("version")]
     sessions.select(*head, "*").write.mode("overwrite").json(path)
