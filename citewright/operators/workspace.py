@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import latex, spaced_key
+from ..functions.staging import staged
+from ..functions.text import doi_key, latex, spaced_key
 
 
 def unique_sessions(sessions: DataFrame) -> DataFrame:
@@ -20,7 +21,7 @@ def shared_references(refs: DataFrame, least: int = 2, title_least: int = 15) ->
 
     A reference is its DOI, case ignored; one without is the DOI its title has, if just one; else its title.
     Each session votes once."""
-    rows = refs.select("owner", "session_id", F.lower("doi").alias("doi"), spaced_key(F.col("title")).alias("title"))
+    rows = refs.select("owner", "session_id", F.nullif(doi_key(F.col("doi")), F.lit("")).alias("doi"), spaced_key(F.col("title")).alias("title"))
     known = rows.where("doi is not null").groupBy("owner", "title").agg(F.countDistinct("doi").alias("n"), F.min("doi").alias("only"))
     known = known.where("n = 1").where(F.length("title") >= title_least).select("owner", "title", "only")
     named = rows.where(F.col("doi").isNotNull() | (F.length("title") >= title_least)).join(known, ["owner", "title"], "left")
@@ -29,13 +30,28 @@ def shared_references(refs: DataFrame, least: int = 2, title_least: int = 15) ->
     return votes.groupBy("owner", "key").agg(F.count("*").alias("sessions"), F.min("title").alias("title")).where(F.col("sessions") >= least)
 
 
+def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """Rows with their place in the order of ``by``, from 1: counted within ranges, behind the rows of the ranges before. Only
+    the ranges' sizes, a row each, meet in one task; ranges are staged, as their bounds are drawn anew when recomputed."""
+    ranged = staged(rows.repartitionByRange(by).withColumn("range_no", F.spark_partition_id()))
+    sizes = ranged.groupBy("range_no").agg(F.count("*").alias("n"))
+    before = sizes.select("range_no", F.coalesce(F.sum("n").over(W.orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.row_number().over(W.partitionBy("range_no").orderBy(by))
+    return ranged.join(before, "range_no").withColumn(name, F.col("before") + within).drop("range_no", "before")
+
+
 def bibtex(refs: DataFrame) -> DataFrame:
     """References (position, doi, title, authors, year, journal) to entries, one per identity, in order of first arrival;
-    a row with DOI stands for those without."""
-    key = spaced_key(F.col("title"))
-    best = F.struct(F.col("doi").isNull().alias("without"), F.col("position"))
-    rows = refs.withColumn("key", key).groupBy("key").agg(F.min("position").alias("at"), F.min_by(F.struct("doi", "title", "authors", "year", "journal"), best).alias("r")).select("at", "r.*")
-    number = F.row_number().over(W.orderBy("at"))
+    a row with DOI stands for those without. A reference is its DOI, else the one DOI its title has, else its title; one
+    whose title key has under 15 characters is only itself."""
+    rows = refs.withColumns({"key": spaced_key(F.coalesce("title", F.lit(""))), "own": F.nullif(doi_key(F.col("doi")), F.lit(""))})
+    known = rows.where("own is not null and length(key) >= 15").groupBy("key").agg(F.countDistinct("own").alias("n"), F.min("own").alias("only")).where("n = 1").drop("n")
+    rows = rows.join(known, "key", "left")
+    own = F.concat(F.lit("doi:"), F.coalesce("own", "only"))
+    identity = F.coalesce(own, F.when(F.length("key") >= 15, F.concat(F.lit("title:"), "key")), F.concat(F.lit("row:"), F.col("position").cast("string")))
+    best = F.struct(F.col("own").isNull().alias("without"), F.col("position"))
+    kept = rows.groupBy(identity.alias("identity")).agg(F.min("position").alias("at"), F.min_by(F.struct("doi", "title", "authors", "year", "journal"), best).alias("r")).select("at", "r.*")
+    rows, number = numbered(kept, "at", "number"), F.col("number")
     field = lambda n: F.when(F.coalesce(F.col(n), F.lit("")) != "", F.concat(F.lit(f"  {n} = {{"), latex(F.col(n)) if n != "doi" else F.col(n), F.lit("},\n"))).otherwise("")
     kind = F.when(F.coalesce("journal", F.lit("")) != "", "article").otherwise("misc")
     names = F.when(F.coalesce("authors", F.lit("")) != "", F.concat(F.lit("  author = {"), latex(F.col("authors")), F.lit("},\n"))).otherwise("")
@@ -61,7 +77,7 @@ def layout(papers: DataFrame, columns: int = 3, dx: int = 260, dy: int = 110) ->
     """Nodes of a two-level tree: groups in order of their first paper, papers in a grid below their group."""
     group = W.partitionBy("group_id")
     rows = papers.withColumn("first", F.min("position").over(group)).withColumn("nth", F.row_number().over(group.orderBy("position")) - 1)
-    firsts = rows.select("group_id", "first").distinct().withColumn("group_no", F.row_number().over(W.orderBy("first")) - 1).drop("first")
+    firsts = numbered(rows.select("group_id", "first").distinct(), "first", "group_no").withColumn("group_no", F.col("group_no") - 1).drop("first")
     rows = rows.join(firsts, "group_id")
     x = F.col("group_no") * (columns * dx + 80) + (F.col("nth") % columns) * dx
     return rows.select("paper_id", "group_id", "group_no", x.alias("x"), (F.floor(F.col("nth") / columns) * dy + 160).alias("y"))

@@ -283,10 +283,13 @@ def unique_sessions(spark, sf):
     return workspace.unique_sessions(rows).drop("saved_at")
 
 
-@query("""k AS (SELECT p_name, min(p_partkey) AS place, coalesce(min(p_partkey) FILTER (WHERE p_partkey % 3 <> 0), min(p_partkey)) AS best FROM part GROUP BY p_name),
+@query(r"""WITH b AS (SELECT *, trim(regexp_replace(lower(p_name), '[^\p{L}\p{N}]+', ' ', 'g')) AS title_key, CASE WHEN p_partkey % 3 <> 0 THEN '10.1000/' || p_partkey || '_x' END AS own FROM part),
+    t AS (SELECT title_key, min(own) AS sole FROM b WHERE own IS NOT NULL AND length(title_key) >= 15 GROUP BY title_key HAVING count(DISTINCT own) = 1),
+    i AS (SELECT b.*, CASE WHEN own IS NOT NULL OR sole IS NOT NULL THEN 'd' || coalesce(own, sole) WHEN length(title_key) >= 15 THEN 't' || title_key ELSE 'r' || p_partkey END AS identity FROM b LEFT JOIN t USING (title_key)),
+    k AS (SELECT identity, min(p_partkey) AS place, coalesce(min(p_partkey) FILTER (WHERE own IS NOT NULL), min(p_partkey)) AS best FROM i GROUP BY identity),
     r AS (SELECT place, row_number() OVER (ORDER BY place) AS n, p.* FROM k JOIN part p ON p.p_partkey = k.best)
-    SELECT place AS "at", '@' || CASE WHEN p_size > 25 THEN 'article' ELSE 'misc' END || '{ref' || n || ',' || chr(10) || '  title = {' || p_name || '},' || chr(10) || '  author = {A. \\& B\\_' || p_partkey || '},' || chr(10) || '  year = {' || (1990 + p_size) || '},' || chr(10)
-        || CASE WHEN p_size > 25 THEN '  journal = {J. 100\\%},' || chr(10) ELSE '' END || CASE WHEN p_partkey % 3 <> 0 THEN '  doi = {10.1000/' || p_partkey || '_x},' || chr(10) ELSE '' END || '}' AS entry FROM r""".replace("k AS", "WITH k AS", 1))
+    SELECT place AS "at", '@' || CASE WHEN p_size > 25 THEN 'article' ELSE 'misc' END || '{ref' || n || ',' || chr(10) || '  title = {' || p_name || '},' || chr(10) || '  author = {A. \& B\_' || p_partkey || '},' || chr(10) || '  year = {' || (1990 + p_size) || '},' || chr(10)
+        || CASE WHEN p_size > 25 THEN '  journal = {J. 100\%},' || chr(10) ELSE '' END || CASE WHEN p_partkey % 3 <> 0 THEN '  doi = {10.1000/' || p_partkey || '_x},' || chr(10) ELSE '' END || '}' AS entry FROM r""")
 def bibtex_entries(spark, sf):
     k = F.col("p_partkey").cast("string")
     rows = table(spark, sf, "part").select(
