@@ -79,6 +79,17 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import repair
+
+    rows = _table(spark, sf_dir, "conversations")
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn"))) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(said("text"), "[.!?]", "")).otherwise(said("text"))
+    damaged = rows.where(kind != 0).select("conv_id", "turn", F.when(kind == 4, "user").otherwise(said("role")).alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(1), F.when(kind == 3, 2).otherwise(1))))
+    return repair(damaged, rows.select("conv_id").distinct())
+
+
 def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -114,6 +125,32 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN payload_bytes >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
                    CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to
             FROM d""",
+        "op11_conversation_repair": r"""
+            WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+            h AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(name) + 1), lambda j: ascii(name[j])::BIGINT)),
+                  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) % 20 AS k FROM t),
+            d AS (SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                  unnest(range(CASE k WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE k <> 0),
+            o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM d),
+            g AS (SELECT *, left(role, 1) AS r, CASE WHEN body = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN right(body, 1) IN ('.', '!', '?') THEN 0 ELSE 3 END AS fault FROM o),
+            ins (a, b, put, lines) AS (VALUES (0, 0, '', ''), (1, 1, '', ''), (2, 2, '', ''), (3, 3, '', ''), (0, 2, 'I', chr(10) || 'user:'), (1, 2, 'I', chr(10) || 'user:'), (3, 2, 'I', chr(10) || 'user:'), (2, 3, 'I', chr(10) || 'assistant:'),
+                  (0, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+            ops (b, c, edit, first, word, price) AS (VALUES (0, 0, 'D', NULL, NULL, 4), (1, 1, 'D', NULL, NULL, 4), (2, 2, 'D', NULL, NULL, 4), (3, 3, 'D', NULL, NULL, 4),
+                  (0, 2, 'R', NULL, 'user', 3), (1, 2, 'R', NULL, 'user', 3), (3, 2, 'R', NULL, 'user', 3), (2, 3, 'R', NULL, 'assistant', 3),
+                  (0, 1, 'K', 's', NULL, 0), (0, 2, 'K', 'u', NULL, 0), (1, 2, 'K', 'u', NULL, 0), (3, 2, 'K', 'u', NULL, 0), (2, 3, 'K', 'a', NULL, 0)),
+            w AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS s, (0::BIGINT, '', '') AS best FROM g
+              UNION ALL SELECT conv_id, i, s, min(way) FROM (
+                SELECT w.conv_id, g.i, ops.c AS s, (w.best[1] + 3 * length(put) + price + CASE WHEN fault = 3 AND edit <> 'D' THEN 3 ELSE 0 END, w.best[2] || put || edit,
+                       w.best[3] || lines || CASE edit WHEN 'D' THEN '' ELSE chr(10) || coalesce(word, role) || ':' || text END) AS way
+                FROM w JOIN g ON w.conv_id IS NOT DISTINCT FROM g.conv_id AND g.i = w.i + 1 JOIN ins ON ins.a = w.s JOIN ops ON ops.b = ins.b AND (first IS NULL OR first = r) AND (edit = 'D' OR fault NOT IN (1, 2))) GROUP BY ALL),
+            e AS (SELECT w.conv_id, min((best[1] + 3 * length(put), best[2] || put, best[3] || lines)) AS best FROM w JOIN ins ON ins.a = w.s AND ins.b IN (0, 3)
+                  WHERE w.i = (SELECT max(i) FROM g WHERE g.conv_id IS NOT DISTINCT FROM w.conv_id) GROUP BY w.conv_id),
+            c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated,
+                  count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT *, lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS pair FROM g) GROUP BY conv_id)
+            SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+                   coalesce(best[1], 0) AS cost, coalesce(best[2], '') AS audit, sha256(coalesce(best[3][2:], '')) AS repaired_sha256
+            FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON a.conv_id IS NOT DISTINCT FROM e.conv_id""",
         "op12_decontaminate": r"""
             WITH t AS (SELECT doc_id, row_number() OVER () AS r,
                               regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
