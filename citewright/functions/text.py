@@ -105,16 +105,6 @@ def first_date_year(*parts: Column) -> Column:
     return F.coalesce(*[F.get(F.get(p, 0), 0) for p in parts]).cast("string")
 
 
-def split_authors(c: Column) -> Column:
-    """Names of an author list, at most 40; initials that follow a surname stay with it."""
-    parts = F.filter(F.transform(F.split(F.regexp_replace(c, r"(?i),?\s*\bet al\.?", ""), r"\s*;\s*|\s*,\s*(?:and\s+|&\s*)?|\s+(?:and|&)\s+"), lambda x: F.trim(x)), lambda x: x != "")
-    glue = lambda acc, x: F.when(
-        x.rlike(r"^(?:\p{Lu}\.[\s-]*)+$") & (F.size(acc) > 0),
-        F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat_ws(", ", F.element_at(acc, -1), x))),
-    ).otherwise(F.concat(acc, F.array(x)))
-    return F.slice(F.aggregate(parts, F.expr("cast(array() as array<string>)"), glue), 1, 40)
-
-
 def clip_label(c: Column, width: int = 27, least: int = 12) -> Column:
     """A graph label of at most two lines of ``width`` characters, broken at the last blank behind ``least``."""
     head = F.regexp_extract(c, rf"^(.{{{least},{width}}})(?:\s|$)", 1)

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.citation import title_ratio
+from ..functions.citation import VENUES
 from ..functions.text import compact_key, doi_key, safe_url
+from ..functions.tokens import usable_title
+from .matching import contained_titles, fuzzy_titles
 
 #: The rank of versions of a copy, best first.
 VERSIONS = ("publishedVersion", "acceptedVersion", "submittedVersion", "unknown")
@@ -20,58 +22,6 @@ def join_by_doi(refs: DataFrame, works: DataFrame) -> DataFrame:
     return refs.withColumn("key", doi_key(F.col("doi"))).join(keyed, "key", "left").drop("key")
 
 
-def fuzzy_titles(refs: DataFrame, works: DataFrame, least: float = 0.88) -> DataFrame:
-    """Best work by title ratio for each reference: (ref_id, work_id, ratio).
-
-    A ratio r needs lengths within r / (2 - r) of each other, so rows meet in buckets of the
-    logarithm of their length and its neighbours, never all with all; distinct key pairs are then bounded by the
-    characters they share before the exact ratio. Ties go to the first work."""
-    step = (2 - least) / least
-    bucket = lambda c: F.floor(F.log(F.length(c).cast("double")) / F.log(F.lit(step)))
-    a = refs.select("ref_id", compact_key(F.col("title")).alias("ka")).where(F.length("ka") >= 8)
-    b = works.select("work_id", compact_key(F.col("title")).alias("kb")).where(F.length("kb") >= 8)
-    left = a.select("ka").distinct().withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: bucket(F.col("ka")) + d)))
-    right = b.select("kb").distinct().withColumn("bucket", bucket(F.col("kb")))
-    near = left.join(right, "bucket").where(F.least(F.length("ka"), F.length("kb")) >= F.greatest(F.length("ka"), F.length("kb")) / F.lit(step) - 1e-9)
-    near = near.where(_shared_characters(F.col("ka"), F.col("kb")) * 2.0 >= F.lit(least) * (F.length("ka") + F.length("kb")))
-    rated = near.withColumn("ratio", title_ratio("ka", "kb")).where(F.col("ratio") >= least)
-    found = a.join(rated, "ka").join(b, "kb")
-    best = W.partitionBy("ref_id").orderBy(F.desc("ratio"), "work_id")
-    return found.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("ref_id", "work_id", "ratio")
-
-
-def _shared_characters(a: Column, b: Column) -> Column:
-    """Size of the intersection of the character bags: an upper bound of matched characters."""
-    letters = F.array_distinct(F.split(a, ""))
-    count = lambda s, x: F.length(s) - F.length(F.replace(s, x, F.lit("")))
-    return F.aggregate(letters, F.lit(0), lambda acc, x: acc + F.least(count(a, x), count(b, x)))
-
-
-def metadata_matches(year: Column, ref_year: Column, title_ok: Column, ratio: Column, contained: Column, located: Column, least: float = 0.88) -> Column:
-    """A year conflict rejects; a usable title decides by ratio alone; else the work's title stands in
-    the citation, or year, family and coordinates agree."""
-    conflict = year.isNotNull() & ref_year.isNotNull() & (year != ref_year)
-    return ~conflict & F.when(title_ok, ratio >= least).otherwise(contained | located)
-
-
-def coordinates_in(citation: Column, volume: Column, page: Column, year: Column) -> Column:
-    """Whether a citation prints a record's volume and, behind an issue or year at most, its first page or article number; a
-    volume that is the year says nothing."""
-    plain = lambda c: F.regexp_replace(c, r"([^\p{L}\p{N}])", r"\\$1")
-    vol, first = F.trim(F.coalesce(volume, F.lit(""))), F.split(F.trim(F.coalesce(page, F.lit(""))), r"\s*[-–—]\s*")[0]
-    place = F.concat(
-        F.lit(r"(?iU)(?<![\w\[(])"), plain(vol), F.lit(r"(?![\w\])])\s*(?:\([\w\s,–-]+\)\s*){0,2}(?:(?:18|19|20)\d{2}\s*)?[,;:]?\s*(?:pp?\.?\s*)?"), plain(first), F.lit(r"(?!\w)"),
-    )
-    told = (vol != "") & (first != "") & ~vol.eqNullSafe(year)
-    return F.coalesce(F.when(told & F.contains(citation, vol), F.regexp_like(citation, place)), F.lit(False))
-
-
-def match_coordinates(refs: DataFrame, works: DataFrame) -> DataFrame:
-    """References without title joined on year and family, where the work's volume and then its first page stand in the citation."""
-    joined = refs.join(works, ["year", "family"])
-    return joined.where(coordinates_in(F.col("citation"), F.col("volume"), F.col("first_page"), F.col("year")))
-
-
 def ambiguous_titles(works: DataFrame) -> DataFrame:
     """Works with the number of identities of their title; over one, a title alone doesn't resolve."""
     key = compact_key(F.col("title"))
@@ -150,13 +100,6 @@ def top_citing(edges: DataFrame, most: int = 20) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
-def first_family(authors: Column) -> Column:
-    """Surname of the first author: before a comma; of "Surname AB" the first word; else the last word."""
-    name = F.trim(F.split(authors, r"\s*(?:,|;|&|\band\b)\s*")[0])
-    vancouver = name.rlike(r"^\p{Lu}[\p{L}'-]+\s+\p{Lu}{1,3}$")
-    return F.when(vancouver, F.split(name, " ")[0]).otherwise(F.element_at(F.split(name, " "), -1))
-
-
 #: Words of journal names that say nothing.
 GENERIC = ("journal", "of", "the", "and", "j", "proceedings", "proc")
 
@@ -171,37 +114,6 @@ def journal_matches(journal: Column, citation: Column) -> Column:
     return (F.trim(F.coalesce(journal, F.lit(""))) == "") | F.coalesce(all_printed, F.lit(False))
 
 
-#: What a title can't hold (addresses, identifiers, volumes and pages with their numbers, page ranges), and name particles.
-NO_TITLE = r"(?i)https?://|10\.[0-9]{4,9}/|\b(?:vol(?:ume)?|pp?|pages?)\.?\s*[0-9]|\b[0-9]{2,4}\s*[-–—]\s*[0-9]{2,4}\b"
-PARTICLES = ("van", "von", "de", "der", "den", "del", "della", "di", "da", "dos", "du", "la", "le", "el", "al", "bin", "ibn", "ter", "ten", "y", "e", "et")
-
-
-def name_list(text: Column) -> Column:
-    """Whether a text is a list of names: initials or separators, and capitalised words and particles only."""
-    named = F.filter(F.split(F.regexp_replace(text, r"(?i)\bet al\b\.?|\band\b", " "), r"[\s,;&.]+"), lambda w: w != "")
-    capital = F.forall(named, lambda w: w.rlike(r"^\p{Lu}") | F.lower(w).isin(*PARTICLES))
-    return F.coalesce((F.size(named) > 1) & text.rlike(r"\b[A-Z]\.\s*|[,;]|(?i)\bet al\b") & capital & ~text.rlike(r"[0-9:\"\x{201C}\x{201D}/<>]"), F.lit(False))
-
-
-def usable_title(title: Column) -> Column:
-    """Three words of two Latin letters at least, nothing of NO_TITLE, and no list of names."""
-    words = F.size(F.regexp_extract_all(title, F.lit(r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]{2,}"), F.lit(0))) >= 3
-    return F.coalesce(words & ~title.rlike(NO_TITLE) & ~name_list(title), F.lit(False))
-
-
-def contained_titles(refs: DataFrame, works: DataFrame, least: int = 15) -> DataFrame:
-    """(ref_id, work_id) where a work's title key of ``least`` characters and more stands in the citation's key.
-
-    Both meet on the work title's rarest word, as each of its words stands in the citation too."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
-    titled = works.select("work_id", compact_key(F.col("title")).alias("key"), words(F.col("title")).alias("words")).where(F.length("key") >= least)
-    cited = refs.select("ref_id", compact_key(F.col("citation")).alias("text"), F.explode(words(F.col("citation"))).alias("word"))
-    use = cited.groupBy("word").agg(F.count("*").alias("n"))
-    rarest = titled.select("work_id", "key", F.explode("words").alias("word")).join(use, "word")
-    rarest = rarest.groupBy("work_id", "key").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
-    return cited.join(rarest, "word").where(F.contains("text", F.col("key"))).select("ref_id", "work_id")
-
-
 def resolve(refs: DataFrame, works: DataFrame, least: float = 0.88) -> DataFrame:
     """References (ref_id, doi, title, year, citation) to their works, staged as cheaper before dearer:
     identifier, then contained title, then title ratio; each stage sees what the ones before left. A year conflict
@@ -214,7 +126,7 @@ def resolve(refs: DataFrame, works: DataFrame, least: float = 0.88) -> DataFrame
     agree = lambda df, left: df.join(left.select("ref_id", "year", "title"), "ref_id").join(years, "work_id").where("year is null or work_year is null or year = work_year")
     left = refs.join(found, "ref_id", "left_anti")
     inside = agree(contained_titles(left, works), left).groupBy("ref_id", "title").agg(F.min("work_id").alias("work_id"), F.countDistinct("work_id").alias("n"))
-    inside = inside.where(usable_title(F.col("title")) | (F.col("n") == 1)).select("ref_id", "work_id", F.lit("contained").alias("matched_by"))
+    inside = inside.where(usable_title(F.col("title"), VENUES) | (F.col("n") == 1)).select("ref_id", "work_id", F.lit("contained").alias("matched_by"))
     left = left.join(inside, "ref_id", "left_anti")
-    near = agree(fuzzy_titles(left.where(usable_title(F.col("title"))), works, least), left).select("ref_id", "work_id", F.lit("title").alias("matched_by"))
+    near = agree(fuzzy_titles(left.where(usable_title(F.col("title"), VENUES)), works, least), left).select("ref_id", "work_id", F.lit("title").alias("matched_by"))
     return found.union(inside).union(near)

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import citation, text
-from ..operators import evidence, flow, resolve, segment, workspace
+from ..operators import evidence, flow, matching, resolve, segment, workspace
 from .tables import LINES_SQL, REFS_SQL, cited, document_lines, refs, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,20 +220,48 @@ def pdf_locations_best(spark, sf):
     return resolve.best_copies(rows)
 
 
+def _titled(spark, sf) -> DataFrame:
+    """Works: the parts' and the benchmark's titles, whole."""
+    part, items = table(spark, sf, "part"), table(spark, sf, "benchmark")
+    named = F.concat("p_name", F.lit(" for "), F.lower("p_type"), F.lit(" systems"))
+    return part.select(F.col("p_partkey").alias("work_id"), named.alias("title")).union(items.select(F.col("item_id") + 1_000_000_000, "text"))
+
+
 @query()
 def fuzzy_title_match(spark, sf):
-    """Every benchmark item finds itself again from a title with letters lost; the ratio isn't SQL."""
-    items = table(spark, sf, "benchmark")
-    lost = F.regexp_replace(F.left("text", F.lit(120)), "th(?=e)", "t")
-    return resolve.fuzzy_titles(items.select(F.col("item_id").alias("ref_id"), lost.alias("title")), items.select(F.col("item_id").alias("work_id"), F.left("text", F.lit(120)).alias("title")))
+    """Titles as line items print them - a letter lost, a word added, two words changed - and benchmark texts with letters lost, against
+    all works; the ratio isn't SQL, tests compare it with all pairs."""
+    works = _titled(spark, sf)
+    slips = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("work_id"), (F.col("l_linenumber") % 3).alias("slip")).distinct()
+    rows = works.join(slips.union(table(spark, sf, "benchmark").select(F.col("item_id") + 1_000_000_000, F.lit(3))), "work_id")
+    lost = F.when(F.col("slip") == 0, F.regexp_replace("title", " systems$", " system")).when(F.col("slip") == 1, F.concat(F.lit("The "), F.regexp_replace("title", "e", "")))
+    lost = lost.when(F.col("slip") == 2, F.regexp_replace("title", "for (\\w+)", "of new")).otherwise(F.regexp_replace("title", "th(?=e)", "t"))
+    return matching.fuzzy_titles(rows.select((F.col("work_id") * 4 + F.col("slip")).alias("ref_id"), lost.alias("title")), works)
+
+
+@query(r"""c AS (SELECT paper_id * 100 + position AS ref_id, CASE WHEN position % 4 = 0 THEN citation ELSE replace(citation, ' for ', ' - for: ') END AS citation FROM cited),
+    w AS (SELECT p_partkey AS work_id, CASE WHEN p_partkey % 5 = 0 THEN lower(p_type) ELSE p_name || ' for ' || lower(p_type) END AS title FROM part),
+    k AS (SELECT DISTINCT citation, lower(regexp_replace(citation, '[^\p{L}\p{N}]+', '', 'g')) AS text FROM c),
+    t AS (SELECT DISTINCT lower(regexp_replace(title, '[^\p{L}\p{N}]+', '', 'g')) AS key FROM w)
+    SELECT ref_id, count(*) AS works, min(work_id) AS first_work FROM c JOIN (SELECT citation, key FROM k, t WHERE length(key) >= 15 AND contains(text, key)) USING (citation)
+    JOIN (SELECT work_id, lower(regexp_replace(title, '[^\p{L}\p{N}]+', '', 'g')) AS key FROM w) USING (key) GROUP BY ref_id""", REFS_SQL + ",")
+def contained_title_match(spark, sf):
+    """Every printed citation, with signs inside its title or without, against all works, whose titles are whole or a part of one."""
+    rows = cited(spark, sf).select(
+        (F.col("paper_id") * 100 + F.col("position")).alias("ref_id"),
+        F.when(F.col("position") % 4 == 0, F.col("citation")).otherwise(F.replace("citation", F.lit(" for "), F.lit(" - for: "))).alias("citation"),
+    )
+    title = F.when(F.col("p_partkey") % 5 == 0, F.lower("p_type")).otherwise(F.concat("p_name", F.lit(" for "), F.lower("p_type")))
+    works = table(spark, sf, "part").select(F.col("p_partkey").alias("work_id"), title.alias("title"))
+    return matching.contained_titles(rows, works).groupBy("ref_id").agg(F.count("*").alias("works"), F.min("work_id").alias("first_work"))
 
 
 @query("""w AS (SELECT DISTINCT part AS work_id, year, family, volume, first_page FROM refs)
     SELECT r.paper_id, r.position, w.work_id FROM cited r JOIN w ON r.year = w.year AND r.family = w.family AND r.volume = w.volume AND r.first_page = w.first_page AND w.volume <> w.year""", REFS_SQL + ",")
 def coordinates_match(spark, sf):
     works = refs(spark, sf).select(F.col("part").alias("work_id"), "year", "family", "volume", "first_page").distinct()
-    rows = cited(spark, sf).select("paper_id", "position", "year", "family", "citation")
-    return resolve.match_coordinates(rows, works).select("paper_id", "position", "work_id")
+    rows = cited(spark, sf).select(F.struct("paper_id", "position").alias("ref_id"), "year", "family", "citation")
+    return matching.match_coordinates(rows, works).select("ref_id.paper_id", "ref_id.position", "work_id")
 
 
 @query(r"""SELECT p_partkey, n AS identities, n > 1 AS ambiguous FROM (SELECT p_partkey, count(*) OVER (PARTITION BY lower(regexp_replace(p_name, '[^\p{L}\p{N}]+', '', 'g'))) AS n FROM part)""")

@@ -41,9 +41,31 @@ def test_query_equals_sql(spark, duck, name):
     assert got == rows([c[0] for c in cursor.description], cursor.fetchall())
 
 
-def test_fuzzy_titles_find_themselves(spark):
-    found = catalogue.QUERIES["fuzzy_title_match"](spark, DATA).collect()
-    assert len(found) == 40 and all(r.ref_id == r.work_id and r.ratio >= 0.88 for r in found)
+def test_fuzzy_titles_equal_all_pairs(spark):
+    """The whole query at the smallest size against every pair of distinct keys."""
+    from difflib import SequenceMatcher
+
+    from citewright.functions.text import compact_key
+    from citewright.operators import matching
+
+    taken = {}
+    keep, matching.fuzzy_titles = matching.fuzzy_titles, lambda a, b: taken.update(a=a, b=b) or keep(a, b)
+    try:
+        got = {r.ref_id: (r.work_id, round(r.ratio, 9)) for r in catalogue.QUERIES["fuzzy_title_match"](spark, DATA).collect()}
+    finally:
+        matching.fuzzy_titles = keep
+    keys = lambda df, i: [(r[0], r[1]) for r in df.select(i, compact_key(df["title"])).collect()]
+    first = {}
+    for w, k in sorted(keys(taken["b"], "work_id")):
+        first.setdefault(k, w)
+    best, want = {}, {}
+    for r, k in keys(taken["a"], "ref_id"):
+        if k not in best:
+            near = [(-SequenceMatcher(None, k, x).ratio(), w) for x, w in first.items() if 2 * min(len(k), len(x)) >= 0.88 * (len(k) + len(x))]
+            best[k] = min(near, default=(0, None))
+        if best[k][0] <= -0.88:
+            want[r] = (best[k][1], round(-best[k][0], 9))
+    assert got == want and len(want) > 300
 
 
 def test_entry_point(spark):

@@ -47,10 +47,6 @@ def test_safe_url(spark, url, safe):
     assert one(spark, text.safe_url(F.lit(url))) == safe
 
 
-def test_author_list(spark):
-    assert one(spark, text.split_authors(F.lit("Doe, J. and Roe, K.; Poe, L. et al."))) == ["Doe, J.", "Roe, K.", "Poe, L."]
-
-
 def test_ratio_keeps_argument_order(spark):
     df = spark.createDataFrame([("abcdefghij", "abcdefghiX"), ("short", "short")], "a string, b string")
     assert [round(r.r, 2) for r in df.select(citation.title_ratio("a", "b").alias("r")).collect()] == [0.9, 0.0]
