@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import citation, text
-from ..operators import evidence, flow, matching, resolve, segment, workspace
+from ..operators import evidence, flow, matching, packing, resolve, segment, workspace
 from .tables import LINES_SQL, REFS_SQL, cited, document_lines, refs, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -344,15 +344,32 @@ def graph_layout(spark, sf):
 # --- evidence ----------------------------------------------------------------------------------------
 
 
-@query("""WITH RECURSIVE o AS (SELECT source AS group_id, doc_id AS position, least(n_chars, 3000) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
-    p AS (SELECT group_id, position, i, size AS used, 1 AS held, 0 AS batch FROM o WHERE i = 1
-      UNION ALL SELECT o.group_id, o.position, o.i, CASE WHEN p.used + o.size > 6000 OR p.held >= 4 THEN o.size ELSE p.used + o.size END,
-        CASE WHEN p.used + o.size > 6000 OR p.held >= 4 THEN 1 ELSE p.held + 1 END, p.batch + CASE WHEN p.used + o.size > 6000 OR p.held >= 4 THEN 1 ELSE 0 END
-      FROM p JOIN o ON o.group_id = p.group_id AND o.i = p.i + 1)
+@query("""WITH RECURSIVE o AS (SELECT source AS group_id, doc_id AS position, n_chars AS size, n_chars > 6000 AS alone, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+    p AS (SELECT group_id, position, i, size AS used, 1 AS held, 0 AS batch, alone FROM o WHERE i = 1
+      UNION ALL SELECT group_id, position, i, CASE WHEN new THEN size ELSE used + size END, CASE WHEN new THEN 1 ELSE held + 1 END, batch + CASE WHEN new THEN 1 ELSE 0 END, alone
+      FROM (SELECT o.*, p.used, p.held, p.batch, o.alone OR p.alone OR p.used + o.size > 6000 OR p.held >= 4 AS new FROM p JOIN o ON o.group_id = p.group_id AND o.i = p.i + 1))
     SELECT group_id, position, batch FROM p""")
 def pack_batches(spark, sf):
-    units = table(spark, sf, "documents").select(F.col("source").alias("group_id"), F.col("doc_id").alias("position"), F.least(F.col("n_chars"), F.lit(3000)).alias("size"))
-    return evidence.pack(units, 6000, 4)
+    """All documents of a source in order; one over the room is a batch of its own. A source is a third of the table, and spreads."""
+    units = table(spark, sf, "documents").select(F.col("source").alias("group_id"), F.col("doc_id").alias("position"), F.col("n_chars").alias("size"), (F.col("n_chars") > 6000).alias("alone"))
+    return packing.pack(units, 6000, 4)
+
+
+@query(r"""e AS (SELECT paper_id, position, '[' || position || '] ' || citation || CASE WHEN position = 3 THEN repeat(' and more', 40) ELSE '' END || chr(10) AS unit, max(position) OVER (PARTITION BY paper_id) AS n FROM cited),
+    u AS (SELECT paper_id, position, length(unit) - CASE WHEN position = n THEN 1 ELSE 0 END AS size, n, length(unit) - CASE WHEN position = n THEN 1 ELSE 0 END > 400 AS alone FROM e),
+    p AS (SELECT paper_id, position, size + 1 AS used, 1 AS held, 0 AS batch, alone FROM u WHERE position = 1
+      UNION ALL SELECT paper_id, position, CASE WHEN new THEN size + 1 ELSE used + size + 1 END, CASE WHEN new THEN 1 ELSE held + 1 END, batch + CASE WHEN new THEN 1 ELSE 0 END, alone
+      FROM (SELECT u.*, p.used, p.held, p.batch, u.alone OR p.alone OR p.used + u.size + 1 > 400 OR p.held >= 3 AS new FROM p JOIN u ON u.paper_id = p.paper_id AND u.position = p.position + 1)),
+    b AS (SELECT paper_id AS group_id, batch, count(*) AS units, sum(size) + count(*) - 1 AS size FROM p JOIN u USING (paper_id, position) WHERE n > 1 GROUP BY paper_id, batch)
+    SELECT group_id, batch, units, CAST(size AS BIGINT) AS size FROM b""", "RECURSIVE " + REFS_SQL + ",")
+def bibliography_batches(spark, sf):
+    """Every paper's printed list: labelled entries, one of them over the room, packed whole; lists of one entry are left out, as a
+    single label doesn't make a list."""
+    rows = cited(spark, sf).withColumn("more", F.when(F.col("position") == 3, F.repeat(F.lit(" and more"), F.lit(40))).otherwise(""))
+    entry = F.concat(F.lit("["), F.col("position").cast("string"), F.lit("] "), "citation", "more")
+    lists = rows.groupBy(F.col("paper_id").alias("group_id")).agg(F.array_sort(F.collect_list(F.struct("position", entry.alias("entry")))).alias("entries")).where(F.size("entries") > 1)
+    texts = lists.select("group_id", F.array_join(F.transform("entries", lambda x: x["entry"]), "\n").alias("text"))
+    return packing.bibliography_batches(texts, 400, 3, preserve=True).select("group_id", "batch", "units", F.length("text").cast("long").alias("size"))
 
 
 @query("""SELECT doc_id, CAST(least(600, 3000 // n) AS INT) AS room, md5(substr(text, 1, least(600, 3000 // n))) AS abstract FROM (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM documents)""")

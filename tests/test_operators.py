@@ -47,23 +47,6 @@ def test_pacing_equals_recursion(spark):
         free = start + max(30, duration)
 
 
-def test_packing_equals_loop(spark):
-    rng = random.Random(2)
-    sizes = [rng.randrange(1, 900) for _ in range(200)]
-    got = [r.batch for r in evidence.pack(spark.createDataFrame([("g", i, s) for i, s in enumerate(sizes)], "group_id string, position long, size long"), 2000, 5).orderBy("position").collect()]
-    batch, used, held, want = 0, 0, 0, []
-    for s in sizes:
-        if held and (used + s > 2000 or held >= 5):
-            batch, used, held = batch + 1, 0, 0
-        used, held = used + s, held + 1
-        want.append(batch)
-    assert got == want
-
-
-def test_oversize_units_overlap(spark):
-    parts = spark.range(1).select(evidence.split_oversize(F.lit("x" * 900), 400, 100).alias("p")).first()["p"]
-    assert [len(p) for p in parts] == [400, 400, 300]
-
 
 def test_precedence_and_copies(spark):
     copies = spark.createDataFrame([("p", 1, "https://a.example/1#x", None, None), ("p", 2, "https://a.example/1", "publishedVersion", "cc-by"), ("p", 3, "http://localhost/1", "publishedVersion", None), ("p", 4, "https://b.example/1", "acceptedVersion", None)], "paper_id string, position int, url string, version string, license string")
