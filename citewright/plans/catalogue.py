@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import citation, text
-from ..operators import evidence, flow, matching, packing, resolve, segment, workspace
-from .tables import LINES_SQL, REFS_SQL, cited, document_lines, refs, table
+from ..operators import evidence, flow, matching, packing, resolve, sections, segment, workspace
+from . import lifecycle
+from .tables import LINES_SQL, REFS_SQL, cited, document_lines, printed_pages, refs, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,9 +90,15 @@ def request_fields(spark, sf):
 # --- segmentation and coverage --------------------------------------------------------------------
 
 
-@query("SELECT paper_id, md5(key) AS key, n_pages FROM heads", LINES_SQL)
+@query("SELECT DISTINCT paper_id, 'proceedings on systems ' || CAST(paper_id % 9 AS VARCHAR) AS key, 3::BIGINT AS n_pages FROM refs", REFS_SQL)
 def running_headers(spark, sf):
-    return segment.running_headers(document_lines(spark, sf)).withColumn("key", F.md5("key"))
+    return segment.running_headers(segment.page_lines(printed_pages(spark, sf)))
+
+
+@query("""SELECT paper_id, position AS number, citation, title, year, 'A. ' || family AS authors FROM cited""", REFS_SQL)
+def extracted_references(spark, sf):
+    """All printed pages read back: headers, page numbers, headings, wrapped lines and appendices go, and the fields are those that were printed."""
+    return lifecycle.extract(printed_pages(spark, sf)).select("paper_id", "number", "citation", "title", "year", F.array_join("authors", "; ").alias("authors"))
 
 
 @query("SELECT k.page_no, count(*) AS lines, count(*) FILTER (WHERE h.key IS NULL) AS kept FROM keyed k LEFT JOIN heads h USING (paper_id, key) GROUP BY k.page_no", LINES_SQL)
@@ -109,8 +116,8 @@ def numbered_entries(spark, sf):
     # a printed entry is two lines: its label and authors, then the rest
     head = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), F.substring_index("citation", ", ", 1), F.lit(","))
     tail = F.expr("substring(citation, length(substring_index(citation, ', ', 1)) + 3)")
-    lines = rows.select("paper_id", F.explode(F.array(F.struct((F.col("position") * 2).alias("line_no"), head.alias("line")), F.struct((F.col("position") * 2 + 1).alias("line_no"), tail.alias("line")))).alias("l"))
-    return segment.numbered_entries(lines.select("paper_id", "l.*"))
+    lines = rows.select("paper_id", F.lit(0).cast("long").alias("start"), F.explode(F.array(F.struct((F.col("position") * 2).alias("at"), head.alias("line")), F.struct((F.col("position") * 2 + 1).alias("at"), tail.alias("line")))).alias("l"))
+    return sections.numbered(lines.select("paper_id", "start", "l.*")).drop("start")
 
 
 @query("""g AS (SELECT paper_id, max(number) AS expected, count(DISTINCT number) AS found, list(DISTINCT number) AS seen FROM refs GROUP BY paper_id)

@@ -59,6 +59,28 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_lines(docs)
 
 
+def printed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a paper of three pages, with a header on each and page numbers: a body, then a bibliography over two pages. Entries
+    are wrapped lines; even papers have bracketed labels, every third of them alone on a line, odd ones none. An appendix
+    follows in every third paper, and every fifth paper's heading is numbered."""
+    rows = cited(spark, sf_dir)
+    n = F.col("position")
+    numbered = F.col("paper_id") % 2 == 0
+    label = F.when(numbered, F.concat(F.lit("["), n.cast("string"), F.lit("]"), F.when(n % 3 == 0, "\n").otherwise(" "))).otherwise("")
+    wrapped = F.concat(label, F.regexp_replace("citation", ", J. Power", ",\nJ. Power"))
+    papers = rows.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("position", wrapped.alias("entry")))).alias("e"))
+    half = F.ceil(F.size("e") / 2).cast("int")
+    lines = lambda e: F.array_join(F.transform(e, lambda x: x["entry"]), "\n")
+    head = F.concat(F.lit("Proceedings on  Systems "), (F.col("paper_id") % 9).cast("string"), F.lit("\n"))
+    title = F.when(F.col("paper_id") % 5 == 0, "7. References").otherwise("REFERENCES:")
+    texts = F.array(
+        F.concat(head, F.lit("Body of paper "), F.col("paper_id").cast("string"), F.lit("\n\n1")),
+        F.concat(head, title, F.lit("\n"), lines(F.slice("e", F.lit(1), half)), F.lit("\n2")),
+        F.concat(head, lines(F.slice("e", half + 1, F.size("e"))), F.lit("\n3\n"), F.when(F.col("paper_id") % 3 == 0, "Appendix A\n[99] B. Behind, no entry of the list, 1999.").otherwise("")),
+    )
+    return papers.select("paper_id", F.posexplode(texts).alias("page_no", "text"))
+
+
 LINES_SQL = r"""lines AS (
   SELECT paper_id, page_no, line FROM (SELECT source AS paper_id, doc_id AS page_no, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> ''),
 keyed AS (SELECT *, lower(trim(regexp_replace(line, '[\s\x{a0}]+', ' ', 'g'))) AS key FROM lines),

@@ -8,20 +8,6 @@ from citewright.operators import evidence, flow, prompts, resolve, segment, work
 from citewright.sources import corpus, works
 
 
-def lines(spark, *texts):
-    return spark.createDataFrame([("p", i, t) for i, t in enumerate(texts)], "paper_id string, line_no int, line string")
-
-
-def test_wrapped_and_repeated_labels(spark):
-    rows = segment.numbered_entries(lines(spark, "[1] First entry of some", "length goes on", "[2] Second entry is long too", "[2] A repeated label, also long", "[3] doi:10.1/x is no label", "[3] Third entry has its own text")).collect()
-    found = {r.number: r.entry for r in rows}
-    assert found[1] == "First entry of some length goes on" and found[2].startswith("Second") and found[3].startswith("Third")
-
-
-def test_too_few_labels_are_refused(spark):
-    assert segment.numbered_entries(lines(spark, "[1] A long enough entry here", "[9] Another long enough entry")).count() == 0
-
-
 def test_reading_order_of_columns(spark):
     boxes = [("p", 1, 600.0, 50.0, 100.0 + 20 * i, 280.0, 115.0 + 20 * i, f"left {i}") for i in range(6)] + [("p", 1, 600.0, 320.0, 101.0 + 20 * i, 560.0, 116.0 + 20 * i, f"right {i}") for i in range(6)]
     df = spark.createDataFrame(boxes, "paper_id string, page_no int, width double, x0 double, y0 double, x1 double, y1 double, text string")
@@ -31,7 +17,6 @@ def test_reading_order_of_columns(spark):
 
 def test_last_heading_cuts(spark):
     df = spark.createDataFrame([("p", 0, i, t) for i, t in enumerate(["Body", "References", "more body", "7. Références", "[1] x"])], "paper_id string, page_no int, line_no int, line string")
-    assert [r.line for r in segment.after_heading(df).collect()] == ["[1] x"]
     assert segment.before_heading(df).count() == 3
     assert segment.summary_text(segment.before_heading(df), most=20, marker="..").first()["text"].startswith("Body\nReferenc")
 
