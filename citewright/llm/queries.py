@@ -15,7 +15,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
-    out = exact_dedup(_table(spark, sf_dir, "documents"))
+    # rows that repeat id and text are one document of the operator, and as many rows of the result
+    out = exact_dedup(_table(spark, sf_dir, "documents")).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
