@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.citation import VENUES
-from ..functions.text import compact_key, doi_key, safe_url
+from ..functions.folds import fold_groups
+from ..functions.text import compact_key, doi_key, normalize_doi, safe_url
 from ..functions.tokens import usable_title
 from .matching import contained_titles, fuzzy_titles
 
@@ -58,18 +60,39 @@ def best_copies(copies: DataFrame) -> DataFrame:
 
 
 def merge_references(records: DataFrame, limit: int = 100) -> DataFrame:
-    """Ordered union of provider lists (paper_id, source_rank, position, doi, title, text): one row per identity
-    (DOI, else title, else text), the longest text, the first of other fields, the first ``limit`` rows."""
-    key = F.coalesce(F.nullif(doi_key(F.col("doi")), F.lit("")), F.nullif(compact_key(F.col("title")), F.lit("")), F.col("text"))
-    at = F.struct("source_rank", "position")
-    rows = records.withColumn("key", key).withColumn("at", at)
-    out = rows.groupBy("paper_id", "key").agg(
-        F.min("at").alias("at"), F.min_by("doi", F.when(F.col("doi").isNotNull(), F.col("at"))).alias("doi"),
-        F.min_by("title", F.when(F.coalesce("title", F.lit("")) != "", F.col("at"))).alias("title"),
-        F.max_by("text", F.struct(F.length("text"), -F.col("source_rank"), -F.col("position"))).alias("text"),
-    )
-    out = out.withColumn("number", F.row_number().over(W.partitionBy("paper_id").orderBy("at")))
-    return out.where(F.col("number") <= limit).select("paper_id", "number", "doi", "title", "text")
+    """Ordered union of provider lists (paper_id, source_rank, position, doi, title, year, text) to (paper_id, number, doi, title, year,
+    text), ``limit`` rows at most.
+
+    A row is known by its DOI and by its title, or by its text if it has neither. The first of these that an earlier row is known
+    by makes it that row again, which then answers for its other name too, unless another row does already. The longest
+    text and the first of the other fields stay. Behind the row that reaches the limit nothing is read. A fold that streams:
+    it holds ``limit`` rows and their names."""
+    doi, title = F.coalesce("doi", F.lit("")), F.coalesce("title", F.lit(""))
+    keyed = records.withColumns({
+        "doi_name": F.when(doi != "", F.concat(F.lit("d"), F.lower(normalize_doi(doi)))), "title_name": F.when(title != "", F.concat(F.lit("t"), compact_key(title))),
+        "text_name": F.concat(F.lit("x"), compact_key(F.coalesce("text", F.lit("")))), "year": F.col("year").cast("string") if "year" in records.columns else F.lit(None).cast("string"),
+    })
+    out = T.StructType().add("number", "integer").add("doi", "string").add("title", "string").add("year", "string").add("text", "string")
+    return fold_groups(keyed, ["paper_id"], ["source_rank", "position"], ["doi", "title", "year", "text", "doi_name", "title_name", "text_name"], lambda rows: _merged(rows, limit), out)
+
+
+def _merged(rows, limit: int):
+    kept: list[list] = []
+    known: dict[str, list] = {}
+    for _, _, doi, title, year, text, *names, by_text in rows:
+        names = [n for n in names if n is not None] or [by_text]
+        row = next((known[n] for n in names if n in known), None)
+        if row is None:
+            row = [doi or None, title or None, year or None, text or ""]
+            kept.append(row)
+        else:
+            row[:3] = [a or b or None for a, b in zip(row[:3], (doi, title, year), strict=True)]
+            row[3] = text if text and len(text) > len(row[3]) else row[3]
+        for n in names:
+            known.setdefault(n, row)
+        if len(kept) >= limit:
+            break
+    return [(k, *row) for k, row in enumerate(kept, 1)]
 
 
 def rebuild_abstract(works: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import citation, text
-from ..operators import evidence, flow, matching, packing, resolve, sections, segment, workspace
+from ..operators import answers, evidence, flow, matching, packing, resolve, sections, segment, workspace
 from . import lifecycle
 from .tables import LINES_SQL, REFS_SQL, cited, document_lines, printed_pages, refs, table
 
@@ -277,11 +277,21 @@ def ambiguous_identity(spark, sf):
     return resolve.ambiguous_titles(works).select("p_partkey", "identities", "ambiguous")
 
 
-@query(r"""k AS (SELECT paper_id, CAST(number % 3 AS INT) AS source_rank, position, doi, title, citation AS text, coalesce(lower(doi), lower(regexp_replace(title, '[^\p{L}\p{N}]+', '', 'g'))) AS key FROM cited),
-    g AS (SELECT paper_id, key, min((source_rank, position)) AS place, max(doi) AS doi, arg_min(title, (source_rank, position)) AS title, arg_max(text, (length(text), -source_rank, -position)) AS text FROM k GROUP BY ALL)
-    SELECT paper_id, number, doi, title, text FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY place) AS number FROM g) WHERE number <= 4""", REFS_SQL + ",")
+@query(r"""m AS (SELECT paper_id, CASE WHEN part % 4 = 1 THEN NULL ELSE CASE part % 2 WHEN 0 THEN 'https://doi.org/' || upper(doi) ELSE doi END END AS doi, CASE WHEN position % 3 = 0 THEN '' ELSE title END AS title, year, citation AS text,
+        row_number() OVER (PARTITION BY paper_id ORDER BY number % 3, position) AS i FROM cited),
+    k AS (SELECT *, CASE WHEN doi IS NULL AND title = '' THEN ['x' || lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g'))]
+        ELSE list_filter(['d' || lower(replace(doi, 'https://doi.org/', '')), CASE WHEN title <> '' THEN 't' || lower(regexp_replace(title, '[^\p{L}\p{N}]+', '', 'g')) END], lambda n: n IS NOT NULL) END AS names FROM m),
+    f AS (SELECT DISTINCT paper_id, 0::BIGINT AS i, 0 AS row, 0 AS n, MAP {}::MAP(VARCHAR, INTEGER) AS known FROM k
+      UNION ALL SELECT paper_id, i, coalesce(row, n + 1), CASE WHEN row IS NULL THEN n + 1 ELSE n END, map_concat(map_from_entries(list_transform(names, lambda x: (x, coalesce(row, n + 1)))), known)
+      FROM (SELECT k.paper_id, k.i, k.names, f.n, f.known, coalesce(f.known[k.names[1]], f.known[k.names[2]]) AS row FROM f JOIN k ON f.paper_id = k.paper_id AND k.i = f.i + 1 WHERE f.n < 4))
+    SELECT paper_id, row AS number, arg_min(doi, i) AS doi, arg_min(title, i) FILTER (WHERE title <> '') AS title, arg_min(year, i) AS year, arg_max(text, (length(text), -i)) AS text
+    FROM f JOIN k USING (paper_id, i) WHERE row > 0 GROUP BY paper_id, row""", "RECURSIVE " + REFS_SQL + ",")
 def merge_references(spark, sf):
-    rows = cited(spark, sf).select("paper_id", (F.col("number") % 3).alias("source_rank"), "position", "doi", "title", F.col("citation").alias("text"))
+    """Lists of three providers, rows of which lack the title, the identifier, or both; every paper's first four."""
+    part = F.col("part")
+    doi = F.when(part % 4 != 1, F.when(part % 2 == 0, F.concat(F.lit("https://doi.org/"), F.upper("doi"))).otherwise(F.col("doi")))
+    title = F.when(F.col("position") % 3 == 0, "").otherwise(F.col("title"))
+    rows = cited(spark, sf).select("paper_id", (F.col("number") % 3).alias("source_rank"), "position", doi.alias("doi"), title.alias("title"), "year", F.col("citation").alias("text"))
     return resolve.merge_references(rows, limit=4)
 
 
@@ -405,14 +415,19 @@ def excerpt_rank(spark, sf):
     return evidence.score_blocks(rows, ["this", "les"]).select("source_id", "position", "score", "chosen")
 
 
-@query("""p AS (SELECT paper_id, number, arg_min(citation, position) AS entry FROM cited GROUP BY ALL),
-    m AS (SELECT paper_id, number, min(title) AS title FROM refs WHERE part % 3 <> 0 GROUP BY ALL HAVING count(DISTINCT title) = 1)
-    SELECT paper_id, number, coalesce(title, entry) AS title, title IS NULL AS fallback FROM p LEFT JOIN m USING (paper_id, number)""", REFS_SQL + ",")
+@query(r"""p AS (SELECT paper_id, number, arg_min(citation, position) AS entry, arg_min(title, position) AS title, arg_min(year, position) AS year FROM cited GROUP BY ALL),
+    a AS (SELECT paper_id, number, position, CASE position % 2 WHEN 0 THEN upper(title) || '!' ELSE title END AS title, lower(regexp_replace(title, '[^\p{L}\p{N}_]+', '', 'g')) AS key FROM cited WHERE part % 3 <> 0),
+    m AS (SELECT paper_id, number, arg_min(title, position) AS title FROM a GROUP BY ALL HAVING count(DISTINCT key) = 1)
+    SELECT paper_id, number, coalesce(m.title, p.title) AS title, CASE WHEN m.title IS NULL THEN p.year ELSE '1900' END AS year, m.title IS NULL AS fallback FROM p LEFT JOIN m USING (paper_id, number)""", REFS_SQL + ",")
 def ai_recovery(spark, sf):
-    printed = cited(spark, sf).groupBy("paper_id", "number").agg(F.min_by("citation", "position").alias("entry"))
-    answers = refs(spark, sf).where("part % 3 <> 0").select("paper_id", "number", "title")
-    answers = answers.union(answers.select("paper_id", (F.col("number") + 100).alias("number"), "title"))  # numbers nobody printed
-    return evidence.recover_omitted(printed, answers).drop("entry")
+    """A model's rows for each printed entry: two rows of one number agree if their titles do but for case and signs; else, and where it
+    has none, title and year are those that are printed."""
+    rows = cited(spark, sf)
+    printed = rows.groupBy("paper_id", "number").agg(F.min_by("citation", "position").alias("entry"))
+    title = F.when(F.col("position") % 2 == 0, F.concat(F.upper("title"), F.lit("!"))).otherwise(F.col("title"))
+    said = rows.where("part % 3 <> 0").select("paper_id", F.lit(0).alias("request"), F.col("position").alias("place"), "number", title.alias("title"), F.array(F.lit("A. Model")).alias("authors"), F.lit("1900").alias("year"), "doi", F.lit("x").alias("text"))
+    said = said.union(said.withColumn("number", F.col("number") + 100))  # numbers nobody printed
+    return answers.merge_answers(printed, said).select("paper_id", "number", "title", "year", "fallback")
 
 
 @query("""a AS (SELECT paper_id, position, CASE WHEN part % 3 <> 0 THEN position * 2 END AS number FROM cited),

@@ -60,8 +60,7 @@ def test_model_failures_stay_with_their_rows(spark):
 def test_bad_batches_fail_alone(spark):
     sent = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "request_id string, paper_id long")
     assigned = spark.createDataFrame([("a", 1, 1), ("a", 9, 1), ("b", 3, 1)], "request_id string, paper_id long, theme_id long")
-    themes = spark.createDataFrame([(1,)], "theme_id long")
-    assert [r.request_id for r in prompts.failed_batches(sent, assigned, themes).collect()] == ["a"]
+    assert [r.request_id for r in prompts.failed_batches(sent, assigned).collect()] == ["a"]
 
 
 def test_provider_records(spark):
