@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import citation, text
-from ..operators import answers, evidence, flow, matching, packing, resolve, sections, segment, workspace
+from ..operators import answers, evidence, flow, history, matching, packing, resolve, sections, segment, workspace
 from . import lifecycle
 from .tables import LINES_SQL, REFS_SQL, cited, document_lines, printed_pages, refs, table
 
@@ -351,6 +351,22 @@ def retention(spark, sf):
     return workspace.retain(rows, room=20_000).select("owner", "session_id")
 
 
+@query(r"""WITH o AS (SELECT user_id AS owner, event_id AS at, event_type AS op, json_extract_string(props, '$.k') AS session_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS saved_at FROM events),
+    c AS (SELECT owner, max(at) FILTER (WHERE op = 'error' AND at % 5 = 0) AS cleared FROM o GROUP BY owner),
+    r AS (SELECT owner, session_id, greatest(coalesce(max(at) FILTER (WHERE op = 'view'), -1), coalesce(any_value(cleared), -1)) AS gone FROM o JOIN c USING (owner) GROUP BY owner, session_id),
+    s AS (SELECT o.owner, o.session_id, min(o.at) AS first, arg_min(o.saved_at, o.at) AS saved_at FROM o JOIN r USING (owner, session_id) WHERE op IN ('signup', 'purchase') AND o.at > gone GROUP BY ALL)
+    SELECT s.owner, s.session_id, s.saved_at, max(o.at) AS written FROM s JOIN o ON o.owner = s.owner AND o.session_id = s.session_id AND o.at >= s.first AND op IN ('signup', 'purchase', 'click') GROUP BY ALL""")
+def history_replay(spark, sf):
+    """Each user's events as operations on sessions: sign-ups and purchases save, clicks update, views delete, some errors clear."""
+    e = F.col("event_type")
+    op = F.when(e.isin("signup", "purchase"), "save").when(e == "click", "update").when(e == "view", "delete").when(F.col("event_id") % 5 == 0, "clear")
+    rows = table(spark, sf, "events").select(
+        F.col("user_id").alias("owner"), F.col("event_id").alias("at"), op.alias("op"), F.get_json_object("props", "$.k").alias("session_id"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("saved_at"), F.lit(1).alias("bytes"),
+    )
+    return history.replay(rows, most=1_000_000).drop("bytes")
+
+
 @query("""f AS (SELECT p_brand, min(p_partkey) AS first FROM part GROUP BY 1), g AS (SELECT p_brand, row_number() OVER (ORDER BY first) - 1 AS group_no FROM f),
     n AS (SELECT p_partkey AS paper_id, p_brand AS group_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS nth FROM part)
     SELECT paper_id, group_id, group_no, group_no * 860 + (nth % 3) * 260 AS x, nth // 3 * 110 + 160 AS y FROM n JOIN g ON group_id = p_brand""".replace("f AS", "WITH f AS", 1))

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MOST_BYTES = 50 << 20
-HISTORY = {"format": "citewright-history", "version": 1, "most": 50}
+HISTORY = {"format": "citewright-history", "version": 1, "most": 50, "file": 16 << 20, "room": 8 << 20}
 
 
 def scan_files(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
@@ -64,13 +64,20 @@ def export_sessions(sessions: DataFrame, path: str) -> None:
 
 
 def import_sessions(spark: SparkSession, path: str, schema: str, held: DataFrame | None = None) -> DataFrame:
-    """Valid exported sessions merged with those held: of one id the last saved stays, the newest 50 of all."""
+    """Valid exported sessions merged with those held: an imported one replaces one of its id. If they are more than "most" of HISTORY,
+    their file is larger than "file", or what would be held is too many or more than "room" bytes of JSON, the import is
+    refused and those held stay as they are; that is decided inside the plan, by one row of counts."""
     rows = spark.read.schema(f"format string, version int, {schema}").json(path)
-    rows = rows.where((F.col("format") == HISTORY["format"]) & (F.col("version") == HISTORY["version"]) & F.col("session_id").isNotNull()).drop("format", "version")
-    rows = rows.unionByName(held) if held is not None else rows
-    last = W.partitionBy("session_id").orderBy(F.desc("saved_at"))
-    rows = rows.withColumn("nth", F.row_number().over(last)).where("nth = 1").drop("nth")
-    return rows.orderBy(F.desc("saved_at"), F.desc("session_id")).limit(HISTORY["most"])
+    size = spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("file"))
+    good = (F.col("format") == HISTORY["format"]) & (F.col("version") == HISTORY["version"]) & F.col("session_id").isNotNull() & F.try_to_timestamp("saved_at").isNotNull()
+    sound = rows.agg(F.every(F.coalesce(good, F.lit(False))).alias("sound"), F.count("*").alias("n"))
+    rows = rows.drop("format", "version").dropDuplicates(["session_id"])
+    old = held if held is not None else spark.createDataFrame([], rows.schema)
+    merged = old.join(rows.select("session_id"), "session_id", "left_anti").unionByName(rows)
+    total = merged.agg(F.count("*").alias("all"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 1), F.lit(0)).alias("bytes"))
+    taken = F.coalesce("sound", F.lit(False)) & (F.col("n") <= HISTORY["most"]) & (F.col("file") <= HISTORY["file"]) & (F.col("all") <= HISTORY["most"]) & (F.col("bytes") <= HISTORY["room"])
+    verdict = size.crossJoin(sound).crossJoin(total).select(taken.alias("taken"))  # three single rows
+    return merged.join(verdict.where("taken")).drop("taken").unionByName(old.join(verdict.where("not taken")).drop("taken"))
 
 
 def write_bibtex(entries: DataFrame, path: str) -> None:

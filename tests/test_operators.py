@@ -71,6 +71,14 @@ def test_provider_records(spark):
     assert {(x.work_id, x.kind, x.other_id) for x in works.relationships(w).collect()} == {("W1", "references", "W2"), ("W2", "citing", "W1")}
     c = works.crossref(spark.createDataFrame([('{"DOI": "10.1/A", "title": ["X"], "issued": {"date-parts": [[1999, 2]]}, "page": "7-9", "abstract": "<p>a &amp; b</p>"}',)], "json string")).first()
     assert (c.year, c.first_page, c.abstract) == ("1999", "7", "a & b")
+    dates = '{"DOI": "10.1/%s", "published-print": {"date-parts": [[%s]]}, "published-online": {"date-parts": [[%s]]}, "issued": {"date-parts": [[null]]}, "created": {"date-parts": [[1990]]}, "page": %s, "article-number": "e12"}'
+    read = works.crossref(spark.createDataFrame([(dates % x,) for x in (("a", "1995", "1994", '"S3 \u2013 S9"'), ("b", "", "1994", "null"), ("c", "null", "", '" "'))], "json string")).orderBy("doi").collect()
+    assert [(x.year, x.first_page) for x in read] == [("1995", "S3"), ("1994", "e12"), ("1990", "e12")]
+    spot = '{"is_oa": %s, "pdf_url": %s, "landing_page_url": "%s", "source": {"type": "repository", "display_name": %s}}'
+    best, more = spot % ("true", '"https://a.example/b.pdf"', "https://a.example/b", '"Store"'), [spot % ("true", "null", "https://a.example/b", "null"), spot % ("false", '"https://c.example/x"', "https://c.example/c", "null"), spot % ("true", '"http://localhost/x"', "https://d.example/d", "null")]
+    o = works.openalex(spark.createDataFrame([('{"id": "W3", "best_oa_location": %s, "locations": [%s], "primary_location": {"source": {"display_name": "J"}}}' % (best, ", ".join(more)),), ('{"id": "W4"}',)], "json string")).orderBy("work_id").collect()
+    assert [(x.url, x.host_type) for x in o[0].copies] == [("https://a.example/b.pdf", "repository")] and o[0].journal == "J" and o[1].copies == o[1].open_records == []
+    assert [(x.name, x.url) for x in o[0].open_records] == [("Open Access · Store", "https://a.example/b"), ("Open Access · repository", "https://d.example/d")]
 
 
 def test_corpus_scan_and_sessions(spark, tmp_path):
@@ -82,6 +90,10 @@ def test_corpus_scan_and_sessions(spark, tmp_path):
     assert pages.count() == 2
     held = spark.createDataFrame([("s1", "2024-01-01"), ("s2", "2024-01-02")], "session_id string, saved_at string")
     corpus.export_sessions(held, str(tmp_path / "out"))
-    newer = spark.createDataFrame([("s1", "2024-02-01")], "session_id string, saved_at string")
-    got = corpus.import_sessions(spark, str(tmp_path / "out"), "session_id string, saved_at string", newer).collect()
-    assert [(r.session_id, r.saved_at) for r in got] == [("s1", "2024-02-01"), ("s2", "2024-01-02")]
+    newer = spark.createDataFrame([("s1", "2024-02-01"), ("s9", "2023-01-01")], "session_id string, saved_at string")
+    schema = "session_id string, saved_at string"
+    got = lambda path, held: sorted(map(tuple, corpus.import_sessions(spark, str(tmp_path / path), schema, held).collect()))
+    assert got("out", newer) == [("s1", "2024-01-01"), ("s2", "2024-01-02"), ("s9", "2023-01-01")] and got("out", None) == [("s1", "2024-01-01"), ("s2", "2024-01-02")]
+    corpus.export_sessions(spark.range(51).selectExpr("concat('m', id) session_id", "'2024-01-01' saved_at"), str(tmp_path / "many"))
+    corpus.export_sessions(spark.createDataFrame([("s3", "no date")], schema), str(tmp_path / "bad"))
+    assert got("many", newer) == got("bad", newer) == [("s1", "2024-02-01"), ("s9", "2023-01-01")]
