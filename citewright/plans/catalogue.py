@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import citation, text
-from ..operators import answers, evidence, flow, history, matching, packing, resolve, sections, segment, workspace
+from ..operators import answers, evidence, excerpts, flow, history, matching, packing, resolve, sections, segment, workspace
 from . import lifecycle
 from .tables import LINES_SQL, REFS_SQL, cited, document_lines, printed_pages, refs, table
 
@@ -351,11 +351,11 @@ def retention(spark, sf):
     return workspace.retain(rows, room=20_000).select("owner", "session_id")
 
 
-@query(r"""WITH o AS (SELECT user_id AS owner, event_id AS at, event_type AS op, json_extract_string(props, '$.k') AS session_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS saved_at FROM events),
-    c AS (SELECT owner, max(at) FILTER (WHERE op = 'error' AND at % 5 = 0) AS cleared FROM o GROUP BY owner),
-    r AS (SELECT owner, session_id, greatest(coalesce(max(at) FILTER (WHERE op = 'view'), -1), coalesce(any_value(cleared), -1)) AS gone FROM o JOIN c USING (owner) GROUP BY owner, session_id),
-    s AS (SELECT o.owner, o.session_id, min(o.at) AS first, arg_min(o.saved_at, o.at) AS saved_at FROM o JOIN r USING (owner, session_id) WHERE op IN ('signup', 'purchase') AND o.at > gone GROUP BY ALL)
-    SELECT s.owner, s.session_id, s.saved_at, max(o.at) AS written FROM s JOIN o ON o.owner = s.owner AND o.session_id = s.session_id AND o.at >= s.first AND op IN ('signup', 'purchase', 'click') GROUP BY ALL""")
+@query(r"""WITH o AS (SELECT user_id AS owner, event_id AS k, event_type AS op, json_extract_string(props, '$.k') AS session_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS saved_at FROM events),
+    c AS (SELECT owner, max(k) FILTER (WHERE op = 'error' AND k % 5 = 0) AS cleared FROM o GROUP BY owner),
+    r AS (SELECT owner, session_id, greatest(coalesce(max(k) FILTER (WHERE op = 'view'), -1), coalesce(any_value(cleared), -1)) AS gone FROM o JOIN c USING (owner) GROUP BY owner, session_id),
+    s AS (SELECT o.owner, o.session_id, min(o.k) AS first, arg_min(o.saved_at, o.k) AS saved_at FROM o JOIN r USING (owner, session_id) WHERE op IN ('signup', 'purchase') AND o.k > gone GROUP BY ALL)
+    SELECT s.owner, s.session_id, s.saved_at, max(o.k) AS written FROM s JOIN o ON o.owner = s.owner AND o.session_id = s.session_id AND o.k >= s.first AND op IN ('signup', 'purchase', 'click') GROUP BY ALL""")
 def history_replay(spark, sf):
     """Each user's events as operations on sessions: sign-ups and purchases save, clicks update, views delete, some errors clear."""
     e = F.col("event_type")
@@ -431,6 +431,13 @@ def excerpt_rank(spark, sf):
     return evidence.score_blocks(rows, ["this", "les"]).select("source_id", "position", "score", "chosen")
 
 
+@query()
+def source_excerpts(spark, sf):
+    """Every document cut to a tenth of a source's room for a question; the greedy choice is compared with a plain one in the tests."""
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), "text", F.lit("What does les und the this show?").alias("question"))
+    return excerpts.compact_sources(rows, excerpts.ROOM // 10).select("source_id", "cut", F.length("text").alias("length"), F.md5("text").alias("text"))
+
+
 @query(r"""p AS (SELECT paper_id, number, arg_min(citation, position) AS entry, arg_min(title, position) AS title, arg_min(year, position) AS year FROM cited GROUP BY ALL),
     a AS (SELECT paper_id, number, position, CASE position % 2 WHEN 0 THEN upper(title) || '!' ELSE title END AS title, lower(regexp_replace(title, '[^\p{L}\p{N}_]+', '', 'g')) AS key FROM cited WHERE part % 3 <> 0),
     m AS (SELECT paper_id, number, arg_min(title, position) AS title FROM a GROUP BY ALL HAVING count(DISTINCT key) = 1)
