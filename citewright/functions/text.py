@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,8 +96,20 @@ LATEX = {
 }
 
 
-def scholar_url(c: Column) -> Column:
-    """A search address for a title; blanks become plus signs."""
+def workspace_doi(c: Column) -> Column:
+    """The key of an identifier in saved sessions: without resolver address, then without prefix, lower-cased; empty if there is none."""
+    bare = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"(?i)^https?://(dx\.)?doi\.org/", "")
+    return F.lower(F.trim(F.regexp_replace(bare, r"(?i)^doi:\s*", "")))
+
+
+def redacted(c: Column, key: str | None) -> Column:
+    """A text in which a secret key of eight characters and more doesn't stand."""
+    return F.replace(c, F.lit(key), F.lit("[redacted]")) if key and len(key) >= 8 else c
+
+
+def scholar_url(*titles: Column) -> Column:
+    """A search address for the first title that isn't empty; blanks become plus signs."""
+    c = F.coalesce(*[F.when(F.trim(t) != "", t) for t in titles])
     quoted = F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
     return F.concat(F.lit("https://scholar.google.com/scholar?q="), quoted)
 
@@ -114,6 +128,13 @@ def clip_label(c: Column, width: int = 27, least: int = 12) -> Column:
     return F.when(rest == "", F.array(first)).otherwise(F.array(first, second))
 
 
-def secret_free(url: Column) -> Column:
-    """The address, or null where its query names a key, token or secret."""
-    return F.when(~F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit("")).rlike(r"(?i)(^|&)[^=&]*(key|token|secret|password|signature)[^=&]*="), url)
+# Parts of a query's names that tell a secret.
+SECRETS = ("key", "token", "secret", "password", "signature", "authorization")
+
+
+def secret_free(url: Column, key: str | None = None) -> Column:
+    """The address, or null where its query names a secret, or the ``key`` of eight characters and more stands in it."""
+    names = F.transform(F.split(F.lower(F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit(""))), "&"), lambda x: F.split(x, "=")[0])
+    told = F.exists(names, lambda n: functools.reduce(lambda a, b: a | b, [F.contains(n, F.lit(w)) for w in SECRETS]))
+    held = F.contains(url, F.lit(key)) if key and len(key) >= 8 else F.lit(False)
+    return F.when(~told & ~held, url)

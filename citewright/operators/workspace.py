@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.staging import staged
-from ..functions.text import doi_key, latex, spaced_key
+from ..functions.text import latex, spaced_key, workspace_doi
 
 
 def unique_sessions(sessions: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def shared_references(refs: DataFrame, least: int = 2, title_least: int = 15) ->
 
     A reference is its DOI, case ignored; one without is the DOI its title has, if just one; else its title.
     Each session votes once."""
-    rows = refs.select("owner", "session_id", F.nullif(doi_key(F.col("doi")), F.lit("")).alias("doi"), spaced_key(F.col("title")).alias("title"))
+    rows = refs.select("owner", "session_id", F.nullif(workspace_doi(F.col("doi")), F.lit("")).alias("doi"), spaced_key(F.col("title")).alias("title"))
     known = rows.where("doi is not null").groupBy("owner", "title").agg(F.countDistinct("doi").alias("n"), F.min("doi").alias("only"))
     known = known.where("n = 1").where(F.length("title") >= title_least).select("owner", "title", "only")
     named = rows.where(F.col("doi").isNotNull() | (F.length("title") >= title_least)).join(known, ["owner", "title"], "left")
@@ -44,7 +44,7 @@ def bibtex(refs: DataFrame) -> DataFrame:
     """References (position, doi, title, authors, year, journal) to entries, one per identity, in order of first arrival;
     a row with DOI stands for those without. A reference is its DOI, else the one DOI its title has, else its title; one
     whose title key has under 15 characters is only itself."""
-    rows = refs.withColumns({"key": spaced_key(F.coalesce("title", F.lit(""))), "own": F.nullif(doi_key(F.col("doi")), F.lit(""))})
+    rows = refs.withColumns({"key": spaced_key(F.coalesce("title", F.lit(""))), "own": F.nullif(workspace_doi(F.col("doi")), F.lit(""))})
     known = rows.where("own is not null and length(key) >= 15").groupBy("key").agg(F.countDistinct("own").alias("n"), F.min("own").alias("only")).where("n = 1").drop("n")
     rows = rows.join(known, "key", "left")
     own = F.concat(F.lit("doi:"), F.coalesce("own", "only"))

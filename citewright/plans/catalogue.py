@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import citation, text
 from ..operators import answers, evidence, excerpts, flow, history, matching, packing, resolve, sections, segment, workspace
+from ..sources import corpus
 from . import lifecycle
 from .tables import LINES_SQL, REFS_SQL, cited, document_lines, printed_pages, refs, table
 
@@ -152,6 +153,16 @@ def citation_counts(spark, sf):
     return segment.citation_counts(links, small)
 
 
+@query("""d AS (SELECT part AS paper_id, number, CASE supp % 5 WHEN 0 THEN 'cite.bib' || number WHEN 1 THEN 'Reference' || number WHEN 2 THEN 'bib' || number || 'x' WHEN 3 THEN 'fig' || number END AS text FROM refs)
+    SELECT d.paper_id, d.number, count(*) AS citations FROM d JOIN (SELECT DISTINCT part, number FROM refs WHERE number <= 5) v ON v.part = d.paper_id AND v.number = d.number WHERE text LIKE 'cite.bib%' OR text LIKE 'Reference%' GROUP BY ALL""", REFS_SQL + ",")
+def internal_links(spark, sf):
+    """Destinations of all kinds; those that name a reference that is there are counted."""
+    n, kind = F.col("number").cast("string"), F.col("supp") % 5
+    rows = refs(spark, sf)
+    text = F.when(kind == 0, F.concat(F.lit("cite.bib"), n)).when(kind == 1, F.concat(F.lit("Reference"), n)).when(kind == 2, F.concat(F.lit("bib"), n, F.lit("x"))).when(kind == 3, F.concat(F.lit("fig"), n))
+    return corpus.link_counts(rows.select(F.col("part").alias("paper_id"), text.alias("text")), rows.where("number <= 5").select(F.col("part").alias("paper_id"), "number"))
+
+
 @query("""SELECT paper_id, CAST(n AS INT) AS number, count(*) AS markers FROM (SELECT paper_id, unnest(list_concat([number], range(number + 2, number + 5))) AS n FROM refs) GROUP BY ALL""", REFS_SQL)
 def citation_markers(spark, sf):
     n = F.col("number")

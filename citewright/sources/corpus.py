@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,6 +34,52 @@ def decode_pages(files: DataFrame, decoder: Callable[[bytes], list[str]], least:
     return pages.join(sizes.select("paper_id"), "paper_id", "left_semi")
 
 
+#: What a decoder's failure means by the word it begins with; others are "broken".
+FAILURES = ("encrypted", "empty")
+DECODED = "path string, kind string, page_no int, text string, title string, author string"
+
+
+def decode_documents(files: DataFrame, decoder: Callable[[bytes], dict], least: int = 30) -> DataFrame:
+    """Files (path, content) to one table of (path, kind, page_no, text, title, author), each file decoded once: a "page" row for each
+    page, a "link" row for each internal link, with its destination as text, and one "document" row with title, author and, as
+    text, its status.
+
+    The injected decoder gives {"pages": [text], "links": [(page_no, destination)], "title", "author"}; what is missing or null is
+    empty. Where it raises, the status is the first word of its message if that is one of FAILURES, else "broken"; where the pages hold
+    under ``least`` characters besides blanks, "scanned"; else "parsed". Only parsed files have pages and links; no file fails
+    another."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    found = decoder(content) or {}
+                    pages, links = [t or "" for t in found.get("pages") or []], found.get("links") or []
+                    status = "parsed" if len("".join("".join(pages).split())) >= least else "scanned"
+                except Exception as e:  # the file's failure is its row's result
+                    word = (str(e).split() or [""])[0].lower().strip(".,:;")
+                    found, pages, links, status = {}, [], [], word if word in FAILURES else "broken"
+                rows = [(path, "document", None, status, found.get("title"), found.get("author"))]
+                if status == "parsed":
+                    rows += [(path, "page", i, t, None, None) for i, t in enumerate(pages)] + [(path, "link", i, d, None, None) for i, d in links if d]
+                yield pd.DataFrame(rows, columns=["path", "kind", "page_no", "text", "title", "author"]).astype({"page_no": "Int32"})
+
+    return files.select("path", "content").mapInPandas(run, DECODED)
+
+
+def linked_number(destination: Column) -> Column:
+    """The reference that an internal link's destination names at its end, as "cite.bib7" or "Reference12" do, else null."""
+    figures = F.regexp_extract(destination, "([0-9]{1,9})$", 1)
+    word = F.regexp_replace(F.lower(destination), "[0-9]+$", "")
+    return F.when((figures != "") & (F.endswith(word, F.lit("bib")) | F.endswith(word, F.lit("reference"))), figures.cast("int"))
+
+
+def link_counts(links: DataFrame, valid: DataFrame) -> DataFrame:
+    """(paper_id, text: destinations) with the references there are (paper_id, number) to (paper_id, number, citations)."""
+    named = links.select("paper_id", linked_number(F.col("text")).alias("number")).where("number is not null")
+    return named.join(valid.select("paper_id", "number").distinct(), ["paper_id", "number"], "left_semi").groupBy("paper_id", "number").agg(F.count("*").alias("citations"))
+
+
 def evaluate(report: DataFrame, expected: DataFrame) -> DataFrame:
     """Extraction counts (sha, found) against expected ones; count_matches is null where none is known."""
     return report.join(expected, "sha", "left").withColumn("count_matches", F.when(F.col("expected").isNotNull(), F.col("found") == F.col("expected")))

@@ -42,3 +42,11 @@ def test_safe_url(spark, url, safe):
 def test_ratio_keeps_argument_order(spark):
     df = spark.createDataFrame([("abcdefghij", "abcdefghiX"), ("short", "short")], "a string, b string")
     assert [round(r.r, 2) for r in df.select(citation.title_ratio("a", "b").alias("r")).collect()] == [0.9, 0.0]
+
+
+def test_identifiers_and_secrets_of_sessions(spark):
+    assert [one(spark, text.workspace_doi(F.lit(x))) for x in ("https://doi.org/10.1/A", "doi: 10.1/A ", "HTTP://dx.doi.org/doi:10.1/a", None)] == ["10.1/a"] * 3 + [""]
+    assert one(spark, text.scholar_url(F.lit(None).cast("string"), F.lit(" "), F.lit("a b"))) == "https://scholar.google.com/scholar?q=a+b"
+    assert one(spark, text.redacted(F.lit("x SECRET-12 y"), "SECRET-12")) == "x [redacted] y" and one(spark, text.redacted(F.lit("x abc y"), "abc")) == "x abc y"
+    urls = {"https://a.example/?API_KEY=1": None, "https://a.example/?q=1&access_token=2": None, "https://a.example/?q=key": "https://a.example/?q=key", "https://a.example/": "https://a.example/", "https://a.example/?X-Amz-Signature=1": None, "https://a.example/?Authorization=1": None}
+    assert {u: one(spark, text.secret_free(F.lit(u))) for u in urls} == urls and one(spark, text.secret_free(F.lit("https://a.example/SECRET-12"), "SECRET-12")) is None
