@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from ..functions.citation import VENUES
 from ..functions.folds import fold_groups
 from ..functions.text import compact_key, doi_key, normalize_doi, safe_url
-from ..functions.tokens import usable_title
+from ..functions.tokens import candidate_title, usable_title
 from .matching import contained_titles, fuzzy_titles
 
 #: The rank of versions of a copy, best first.
@@ -31,16 +31,32 @@ def ambiguous_titles(works: DataFrame) -> DataFrame:
     return works.withColumn("key", key).join(n, "key").withColumn("ambiguous", F.col("identities") > 1)
 
 
-def merge_precedence(records: DataFrame) -> DataFrame:
-    """Provider records (ref_id, rank, source, title, authors, year, doi, abstract, arxiv_id, url) to one row:
-    first valid value by rank; arxiv_id the last; sources once each in order of arrival."""
-    first = lambda c: F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("rank"))).alias(c)
+def merge_precedence(refs: DataFrame, records: DataFrame) -> DataFrame:
+    """Printed references (ref_id, title, authors, year, doi) and providers' records for them (ref_id, rank, source, title, authors, year,
+    doi, abstract, journal, arxiv_id, url) to one row each.
+
+    By rank, the first record's title that can be one is the matched title, and the first authors take the place of the printed
+    ones; abstract, journal and address are the first there are; year and identifier are the printed ones if there are any;
+    arxiv_id is the last; sources stand once each in order of arrival. Empty and null values are none."""
+    some = lambda c: F.when(F.size(F.col(c)) > 0, F.col("rank")) if c == "authors" else F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col("rank"))
+    first = lambda c: F.min_by(c, some(c)).alias(c)
+    titled = F.when(candidate_title(F.col("title"), VENUES), F.col("rank"))
+    rows = records.withColumn("url", safe_url(F.col("url")))
     sources = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("rank", "source"))), lambda x: x["source"]))
-    out = records.groupBy("ref_id").agg(
-        *[first(c) for c in ("title", "authors", "year", "doi", "abstract", "url")],
-        F.max_by("arxiv_id", F.when(F.col("arxiv_id").isNotNull(), F.col("rank"))).alias("arxiv_id"), sources.alias("sources"),
+    got = rows.groupBy("ref_id").agg(
+        F.min_by("title", titled).alias("matched_title"), F.min_by("source", titled).alias("title_of"), F.min_by("source", some("authors")).alias("authors_of"),
+        *[first(c) for c in ("authors", "year", "doi", "abstract", "journal", "url")], F.max_by("arxiv_id", some("arxiv_id")).alias("arxiv_id"), sources.alias("sources"),
+    )
+    printed = refs.select("ref_id", F.coalesce("title", F.lit("")).alias("printed_title"), F.col("authors").alias("printed_authors"), F.nullif("year", F.lit("")).alias("printed_year"), F.nullif("doi", F.lit("")).alias("printed_doi"))
+    out = printed.join(got, "ref_id", "left")
+    own = F.col("matched_title").isNotNull()
+    names = F.coalesce("authors", "printed_authors", F.expr("cast(array() as array<string>)"))
+    return out.select(
+        "ref_id", F.col("printed_title").alias("title"), "matched_title", F.when(own, F.col("title_of")).when(F.col("printed_title") != "", "PDF").alias("title_source"),
+        F.when(own, "verified").when(F.col("printed_title") != "", "from_pdf").otherwise("unresolved").alias("title_status"), names.alias("authors"),
+        F.coalesce("authors_of", F.when(F.size("printed_authors") > 0, "pdf")).alias("authors_source"), F.coalesce("printed_year", "year").alias("year"), F.coalesce("printed_doi", normalize_doi(F.col("doi"))).alias("doi"),
+        "abstract", "journal", "url", "arxiv_id", F.coalesce("sources", F.expr("cast(array() as array<string>)")).alias("sources"),
     )
-    return out.withColumn("title_status", F.when(F.coalesce("title", F.lit("")) != "", "verified").otherwise("unresolved"))
 
 
 def access_category(pdf_url: Column, sources: Column) -> Column:

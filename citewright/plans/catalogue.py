@@ -200,20 +200,29 @@ def doi_join_resolve(spark, sf):
     return resolve.join_by_doi(cited(spark, sf), _works(spark, sf)).select("paper_id", "position", "work_id", "provider")
 
 
-@query("""m AS (SELECT p_partkey AS ref_id, k AS rank, CASE WHEN (p_partkey + k) % 3 = 0 THEN '' ELSE p_name || ' ' || k END AS title, CASE WHEN k = 2 THEN 'B. Two' END AS authors,
-        CASE WHEN (p_partkey + k) % 2 = 0 THEN CAST(1990 + k AS VARCHAR) END AS year, CASE WHEN k <> 3 THEN 'arx' || k END AS arxiv_id,
-        CASE k % 2 WHEN 0 THEN 'openalex' ELSE 'crossref' END AS source FROM part, (SELECT unnest([1, 2, 3, 4]) AS k))
-    SELECT ref_id, arg_min(title, rank) FILTER (WHERE title <> '') AS title, arg_min(authors, rank) FILTER (WHERE authors <> '') AS authors, arg_min(year, rank) FILTER (WHERE year <> '') AS year,
-        arg_max(arxiv_id, rank) FILTER (WHERE arxiv_id IS NOT NULL) AS arxiv_id, ['crossref', 'openalex'] AS sources, 'verified' AS title_status FROM m GROUP BY ref_id""".replace("m AS", "WITH m AS", 1))
+@query("""WITH m AS (SELECT p_partkey AS ref_id, k AS rank, (p_partkey + k) % 3 > 0 AND NOT (k = 1 AND p_partkey % 5 = 0) AS titled, p_name || ' ' || k AS title, CASE WHEN k = 2 AND p_partkey % 7 > 0 THEN 'B. Two' END AS authors,
+        CASE WHEN (p_partkey + k) % 2 = 0 THEN CAST(1990 + k AS VARCHAR) END AS year, CASE WHEN k <> 3 THEN 'arx' || k END AS arxiv_id, CASE WHEN k > 2 THEN '10.1/' || p_partkey || '.' || k END AS doi, CASE k % 2 WHEN 0 THEN 'openalex' ELSE 'crossref' END AS source
+        FROM part, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE p_partkey % 11 > 0)
+    SELECT p_partkey AS ref_id, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '' END AS title, arg_min(m.title, rank) FILTER (WHERE titled) AS matched_title,
+        CASE WHEN bool_or(titled) THEN arg_min(source, rank) FILTER (WHERE titled) WHEN p_partkey % 2 = 0 THEN 'PDF' END AS title_source,
+        CASE WHEN bool_or(titled) THEN 'verified' WHEN p_partkey % 2 = 0 THEN 'from_pdf' ELSE 'unresolved' END AS title_status,
+        coalesce(max(authors), CASE WHEN p_partkey % 3 = 0 THEN 'P. Printed' ELSE '' END) AS authors, CASE WHEN max(authors) IS NOT NULL THEN 'openalex' WHEN p_partkey % 3 = 0 THEN 'pdf' END AS authors_source,
+        CASE WHEN p_partkey % 4 = 0 THEN '1900' ELSE arg_min(year, rank) FILTER (WHERE year IS NOT NULL) END AS year, CASE WHEN p_partkey % 9 = 0 THEN '10.9/own' ELSE arg_min(doi, rank) FILTER (WHERE doi IS NOT NULL) END AS doi,
+        arg_max(arxiv_id, rank) FILTER (WHERE arxiv_id IS NOT NULL) AS arxiv_id, CASE WHEN p_partkey % 11 > 0 THEN 'crossref;openalex' ELSE '' END AS sources
+    FROM part LEFT JOIN m ON ref_id = p_partkey GROUP BY p_partkey, p_name""")
 def precedence_merge(spark, sf):
+    """Printed references and four records for most: titles that are none, or a list of names, missing authors, years and identifiers."""
     k, part = F.col("k"), F.col("p_partkey")
-    rows = table(spark, sf, "part").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(4))))
-    rows = rows.select(
-        part.alias("ref_id"), k.alias("rank"), F.when((part + k) % 3 == 0, "").otherwise(F.concat("p_name", F.lit(" "), k.cast("string"))).alias("title"), F.when(k == 2, "B. Two").alias("authors"),
-        F.when((part + k) % 2 == 0, (k + 1990).cast("string")).alias("year"), F.when(k != 3, F.concat(F.lit("arx"), k.cast("string"))).alias("arxiv_id"), F.when(k % 2 == 0, "openalex").otherwise("crossref").alias("source"),
-        *[F.lit(None).cast("string").alias(c) for c in ("doi", "abstract", "url")],
+    base = table(spark, sf, "part")
+    printed = base.select(part.alias("ref_id"), F.when(part % 2 == 0, F.col("p_name")).alias("title"), F.when(part % 3 == 0, F.array(F.lit("P. Printed"))).alias("authors"), F.when(part % 4 == 0, "1900").alias("year"), F.when(part % 9 == 0, "10.9/own").alias("doi"))
+    title = F.when((part + k) % 3 == 0, "").when((k == 1) & (part % 5 == 0), "A. Stone, B. Wood").otherwise(F.concat("p_name", F.lit(" "), k.cast("string")))
+    rows = base.where(part % 11 > 0).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(4)))).select(
+        part.alias("ref_id"), k.alias("rank"), title.alias("title"), F.when((k == 2) & (part % 7 > 0), F.array(F.lit("B. Two"))).alias("authors"), F.when((part + k) % 2 == 0, (k + 1990).cast("string")).alias("year"),
+        F.when(k > 2, F.concat(F.lit("https://doi.org/10.1/"), part.cast("string"), F.lit("."), k.cast("string"))).alias("doi"), F.when(k != 3, F.concat(F.lit("arx"), k.cast("string"))).alias("arxiv_id"),
+        F.when(k % 2 == 0, "openalex").otherwise("crossref").alias("source"), *[F.lit(None).cast("string").alias(c) for c in ("abstract", "journal", "url")],
     )
-    return resolve.merge_precedence(rows).drop("doi", "abstract", "url")
+    out = resolve.merge_precedence(printed, rows).drop("abstract", "journal", "url")
+    return out.withColumns({c: F.array_join(c, ";") for c in ("authors", "sources")})
 
 
 @query("""s AS (SELECT p_partkey, bool_or(provider <> 'crossref') AS opened, max(CASE WHEN p_size > 40 THEN 1 ELSE 0 END) AS pdf FROM part LEFT JOIN works ON p_partkey = work_id GROUP BY p_partkey)
