@@ -50,3 +50,12 @@ def test_identifiers_and_secrets_of_sessions(spark):
     assert one(spark, text.redacted(F.lit("x SECRET-12 y"), "SECRET-12")) == "x [redacted] y" and one(spark, text.redacted(F.lit("x abc y"), "abc")) == "x abc y"
     urls = {"https://a.example/?API_KEY=1": None, "https://a.example/?q=1&access_token=2": None, "https://a.example/?q=key": "https://a.example/?q=key", "https://a.example/": "https://a.example/", "https://a.example/?X-Amz-Signature=1": None, "https://a.example/?Authorization=1": None}
     assert {u: one(spark, text.secret_free(F.lit(u))) for u in urls} == urls and one(spark, text.secret_free(F.lit("https://a.example/SECRET-12"), "SECRET-12")) is None
+
+
+@pytest.mark.parametrize("host", ["10.0.0.1003", "127.1", "192.168.1.2000", "172.20.0.999", "0.0.0.0"])
+def test_hosts_that_begin_as_private_addresses_are_refused(spark, host):
+    assert one(spark, text.safe_url(F.lit(f"http://{host}/x"))) is None
+
+
+def test_hosts_that_only_resemble_private_addresses_stay(spark):
+    assert [one(spark, text.safe_url(F.lit(f"http://{h}/x#a"))) for h in ("100.com", "172.32.0.1", "a10.example")] == ["http://100.com/x", "http://172.32.0.1/x", "http://a10.example/x"]
