@@ -18,3 +18,10 @@ def test_placed_equals_batch_starts(seed):
     begins = np.zeros(60, int)
     begins[packing.batch_starts(packing.next_starts(sizes, alone, 12, 3), taken)] = 1
     assert packing._placed(sizes.tolist(), alone.tolist(), taken, 6, 12, 3) == (6 + np.cumsum(begins)).tolist()
+
+
+def test_answers_are_read_once_where_all_papers_are_printed(spark):
+    said = spark.range(4).select(F.lit(1).alias("paper_id"), F.lit(0).alias("request"), F.col("id").alias("place"), F.col("id").cast("int").alias("number"), F.lit("T").alias("title"), F.array(F.lit("A. B")).alias("authors"), F.lit("1900").alias("year"), F.lit("10.1/x").alias("doi"), F.lit("x").alias("text"))
+    out = answers.merge_answers(spark.createDataFrame([(1, 2, "A. Bcd, an entry, 1997.")], "paper_id int, number int, entry string"), said)
+    assert plan(out).count("Range (") <= 2
+    assert [(r.title, r.fallback) for r in out.collect()] == [("T", False)]
