@@ -25,3 +25,10 @@ def test_answers_are_read_once_where_all_papers_are_printed(spark):
     out = answers.merge_answers(spark.createDataFrame([(1, 2, "A. Bcd, an entry, 1997.")], "paper_id int, number int, entry string"), said)
     assert plan(out).count("Range (") <= 2
     assert [(r.title, r.fallback) for r in out.collect()] == [("T", False)]
+
+
+def test_model_answers_are_parsed_once(spark):
+    printed = spark.createDataFrame([(1, k, k, f"A. Bcd, entry number {k}, J. Power Sources 4 (1997) 1-2.") for k in range(1, 9)], "paper_id int, position int, number int, entry string")
+    out = prompts.extract_references(printed, lambda p: '{"references": [{"number": 2, "text": "x", "title": "T", "year": "1900"}]}')
+    assert "from_json" not in plan(out) and "mapInPandas" not in plan(out)
+    assert sorted((r.number, r.fallback) for r in out.collect()) == [(k, k != 2) for k in range(1, 9)]
