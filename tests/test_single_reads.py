@@ -32,3 +32,10 @@ def test_model_answers_are_parsed_once(spark):
     out = prompts.extract_references(printed, lambda p: '{"references": [{"number": 2, "text": "x", "title": "T", "year": "1900"}]}')
     assert "from_json" not in plan(out) and "mapInPandas" not in plan(out)
     assert sorted((r.number, r.fallback) for r in out.collect()) == [(k, k != 2) for k in range(1, 9)]
+
+
+def test_lines_are_read_once_for_headers(spark):
+    lines = spark.range(8).select(F.lit(1).alias("paper_id"), F.col("id").alias("page_no"), F.lit(0).alias("line_no"), F.lit(" A  Header").alias("line"))
+    for out in (segment.running_headers(lines), segment.with_repeated(lines)):
+        assert plan(out).count("Range (") == 1
+    assert segment.with_repeated(lines).where("repeated").count() == 8
