@@ -39,3 +39,8 @@ def test_lines_are_read_once_for_headers(spark):
     for out in (segment.running_headers(lines), segment.with_repeated(lines)):
         assert plan(out).count("Range (") == 1
     assert segment.with_repeated(lines).where("repeated").count() == 8
+
+
+def test_following_line_is_not_searched_anew_for_each_line(spark):
+    lines = spark.createDataFrame([(1, 1, k, x) for k, x in enumerate(["A", "", "", "B", ""])], "paper_id int, page_no int, line_no int, line string")
+    assert "unboundedfollowing" not in plan(sections.marked(lines)).lower()
