@@ -44,3 +44,11 @@ def test_lines_are_read_once_for_headers(spark):
 def test_following_line_is_not_searched_anew_for_each_line(spark):
     lines = spark.createDataFrame([(1, 1, k, x) for k, x in enumerate(["A", "", "", "B", ""])], "paper_id int, page_no int, line_no int, line string")
     assert "unboundedfollowing" not in plan(sections.marked(lines)).lower()
+
+
+def test_titles_are_rated_beside_their_rows(spark):
+    refs = spark.createDataFrame([(1, "A. Bcd, Learning to parse things well, J. 4 (1997) 1.", "Learning to parse things well", "1997")], "ref_id int, citation string, title string, year string")
+    found = spark.createDataFrame([(1, "openalex", 1, w, None, t, "1997", ["Bcd, A."], "4", "1", "J.", None) for w, t in ((5, "Rivers of the north and south"), (6, "Learning to parse thing well"))], "ref_id int, provider string, position int, work_id int, doi string, work_title string, work_year string, families array<string>, volume string, page string, journal string, score double")
+    out = decide.decide(refs, found)
+    assert plan(out).count("Join ") == 1
+    assert [tuple(r) for r in out.collect()] == [(1, "openalex", 6)]
