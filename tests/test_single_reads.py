@@ -52,3 +52,10 @@ def test_titles_are_rated_beside_their_rows(spark):
     out = decide.decide(refs, found)
     assert plan(out).count("Join ") == 1
     assert [tuple(r) for r in out.collect()] == [(1, "openalex", 6)]
+
+
+def test_a_title_of_many_works_is_met_once(spark):
+    refs = spark.createDataFrame([(k, f"A. Bcd, a title of some works, J. {k}.") for k in range(5)], "ref_id int, citation string")
+    works = spark.range(50).select(F.col("id").alias("work_id"), F.lit("A title of some works").alias("title"))
+    assert matching.contained_keys(refs, works.select(matching.compact_key(F.col("title")).alias("key"))).count() == 5
+    assert matching.contained_titles(refs, works).count() == 250
