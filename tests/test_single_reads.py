@@ -59,3 +59,19 @@ def test_a_title_of_many_works_is_met_once(spark):
     works = spark.range(50).select(F.col("id").alias("work_id"), F.lit("A title of some works").alias("title"))
     assert matching.contained_keys(refs, works.select(matching.compact_key(F.col("title")).alias("key"))).count() == 5
     assert matching.contained_titles(refs, works).count() == 250
+
+
+def test_references_without_identifier_are_dealt_out(spark):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        refs = spark.range(400).select(F.col("id").alias("ref_id"), F.when(F.col("id") < 4, F.concat(F.lit("10.1/"), F.col("id").cast("string"))).alias("doi"))
+        works = spark.createDataFrame([(7, "https://doi.org/10.1/3"), (8, None)], "work_id int, doi string")
+        out = resolve.join_by_doi(refs, works)
+        assert out.columns == ["ref_id", "doi", "work_id"] and out.where("work_id is not null").count() == 1 and out.count() == 400
+        assert out.where("doi is null").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
