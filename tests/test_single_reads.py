@@ -75,3 +75,10 @@ def test_references_without_identifier_are_dealt_out(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_lines_are_read_once_for_both_ways_of_labels(spark):
+    lines = spark.createDataFrame([(1, 0, k, x) for k, x in enumerate(["[1] Bracketed entry of the first, 1999.", "(2023) goes on in the first.", "[2] Bracketed entry of the second, 2001."])] + [(2, 0, 0, "1. Plain entry of the year 1999 alone.")], "paper_id int, start int, at int, line string")
+    out = sections.numbered(lines)
+    assert "Join" not in plan(out)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 0, 1, "Bracketed entry of the first, 1999. (2023) goes on in the first."), (1, 0, 2, "Bracketed entry of the second, 2001."), (2, 0, 1, "Plain entry of the year 1999 alone.")]
