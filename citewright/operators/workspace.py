@@ -22,11 +22,12 @@ def shared_references(refs: DataFrame, least: int = 2, title_least: int = 15) ->
     A reference is its DOI, case ignored; one without is the DOI its title has, if just one; else its title.
     Each session votes once."""
     rows = refs.select("owner", "session_id", F.nullif(workspace_doi(F.col("doi")), F.lit("")).alias("doi"), spaced_key(F.col("title")).alias("title"))
-    known = rows.where("doi is not null").groupBy("owner", "title").agg(F.countDistinct("doi").alias("n"), F.min("doi").alias("only"))
-    known = known.where("n = 1").where(F.length("title") >= title_least).select("owner", "title", "only")
-    named = rows.where(F.col("doi").isNotNull() | (F.length("title") >= title_least)).join(known, ["owner", "title"], "left")
-    key = F.coalesce("doi", "only", "title")
-    votes = named.select("owner", "session_id", key.alias("key"), "title").groupBy("owner", "session_id", "key").agg(F.min("title").alias("title"))
+    # two shuffles: by title, for the one identifier it may have, and by key, under which sessions and votes are both counted
+    same = W.partitionBy("owner", "title")
+    one = F.when((F.min("doi").over(same) == F.max("doi").over(same)) & (F.length("title") >= title_least), F.min("doi").over(same))
+    named = rows.where(F.col("doi").isNotNull() | (F.length("title") >= title_least)).withColumn("only", one)
+    keyed = named.select("owner", "session_id", F.coalesce("doi", "only", "title").alias("key"), "title").repartition("owner", "key")
+    votes = keyed.groupBy("owner", "session_id", "key").agg(F.min("title").alias("title"))
     return votes.groupBy("owner", "key").agg(F.count("*").alias("sessions"), F.min("title").alias("title")).where(F.col("sessions") >= least)
 
 

@@ -82,3 +82,12 @@ def test_lines_are_read_once_for_both_ways_of_labels(spark):
     out = sections.numbered(lines)
     assert "Join" not in plan(out)
     assert sorted(tuple(r) for r in out.collect()) == [(1, 0, 1, "Bracketed entry of the first, 1999. (2023) goes on in the first."), (1, 0, 2, "Bracketed entry of the second, 2001."), (2, 0, 1, "Plain entry of the year 1999 alone.")]
+
+
+def test_shared_references_need_no_join(spark):
+    from citewright.operators import workspace
+
+    rows = spark.createDataFrame([("o", 1, "10.1/A", "A long title of a paper"), ("o", 2, None, "A long title -- of a paper"), ("o", 2, None, "short"), ("p", 3, "10.1/a", "A long title of a paper")], "owner string, session_id int, doi string, title string")
+    out = workspace.shared_references(rows)
+    assert "Join" not in plan(out)
+    assert [tuple(r) for r in out.collect()] == [("o", "10.1/a", 2, "a long title of a paper")]
