@@ -1,9 +1,13 @@
 """Steps that once read their input, or a model's answers, several times."""
 
+import itertools
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from citewright.functions import folds
 from citewright.operators import answers, decide, matching, packing, prompts, resolve, sections, segment
 
 
@@ -91,3 +95,30 @@ def test_shared_references_need_no_join(spark):
     out = workspace.shared_references(rows)
     assert "Join" not in plan(out)
     assert [tuple(r) for r in out.collect()] == [("o", "10.1/a", 2, "a long title of a paper")]
+
+
+def test_names_of_lists_are_made_behind_the_sort(spark):
+    rows = spark.createDataFrame([("p", 0, 0, "10.1/A", None, None, "x")], "paper_id string, source_rank int, position int, doi string, title string, year string, text string")
+    above, below = plan(resolve.merge_references(rows)).split("Sort [")
+    assert "doi_name" in above and "regexp_replace" in above and "regexp_replace" not in below
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_lists_merged_at_once_equal_the_fold(seed):
+    """Rows of few names, cut into batches anywhere: chains of aliases, papers over several batches, limits within and beyond them."""
+    rng = np.random.default_rng(seed)
+    some = lambda sign, few: None if rng.random() < 0.2 else "" if rng.random() < 0.2 else f"{sign}{rng.integers(few)}"
+    rows, limit, few = [], int(rng.integers(1, 7)), int(rng.integers(1, 14))
+    for paper in [None, *range(int(rng.integers(1, 30)))]:
+        for _ in range(int(rng.integers(1, 25))):
+            doi, title, year, text = some("D", few), some("T", few), some("", 9), some("\u00e9" * int(rng.integers(3)) + "x", few)
+            rows.append((paper, doi, title, year, text, "d" + doi if doi else None, "t" + title if title else None, None if doi or title else "x" + (text or "")))
+    want = [(paper, *got) for paper, group in itertools.groupby(rows, lambda r: r[0]) for got in resolve.merged((r[1:] for r in group), limit)]
+    cuts = [0, *sorted(rng.integers(0, len(rows) + 1, 8).tolist()), len(rows)]
+    kinds = [pa.int64(), *[pa.string()] * 7]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[a:b]], t) for k, t in enumerate(kinds)], names=list("pdtyxabc")) for a, b in itertools.pairwise(cuts)]
+    streamed = []
+    fold = lambda r: streamed.append(0) or resolve.merged(r, limit)
+    out = folds.folded(iter(batches), fold, lambda b, papers: resolve.merged_at_once(b, papers, limit), ["paper_id", "number", "doi", "title", "year", "text"], [pa.int32(), *[pa.string()] * 4])
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == want
+    assert len(streamed) <= len(batches)  # a paper for each batch at most is folded row by row
