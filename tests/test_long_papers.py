@@ -4,8 +4,10 @@ import datetime
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from citewright.operators import answers, evidence
 from citewright.plans.tables import table
 
 
@@ -37,3 +39,23 @@ def differs(spark, sf, name):
 
 def test_model_extraction_equals_its_sql_in_longer_papers(spark, lines):
     assert differs(spark, lines(3, 21, 75), "model_extraction") == []
+
+
+def test_no_paper_is_too_long_for_a_model(spark, lines):
+    assert differs(spark, lines(3, 1_100), "model_extraction") == []
+
+
+def test_no_paper_is_too_long_to_recover(spark):
+    said = spark.range(1_001).select(F.lit("p").alias("paper_id"), F.lit(0).alias("request"), F.col("id").alias("place"), (F.col("id") + 1).cast("int").alias("number"), F.format_string("Title %d", "id").alias("title"), F.array(F.lit("A. B")).alias("authors"), F.lit("1900").alias("year"), F.lit("10.1/x").alias("doi"), F.lit("x").alias("text"))
+    printed = said.select("paper_id", "number", F.lit("A. Bcd, an entry, 1997.").alias("entry"))
+    bare = said.withColumn("number", F.when(F.col("number") % 3 == 0, F.col("number")))
+    for rows in (answers.merge_answers(printed, said), answers.merge_answers(printed.limit(0), bare)):
+        got = rows.select("number", "refused").collect()
+        assert sorted(r.number for r in got) == list(range(1, 1_002)) and not any(r.refused for r in got)
+
+
+def test_numbers_left_are_told_without_a_list_of_them(spark):
+    rows = spark.createDataFrame([("p", k, n) for k, n in enumerate([None, 3, 1, None, 3, 0, None, 6, None, -2])] + [("q", 0, None), ("q", 1, 1)], "paper_id string, position int, number int")
+    out = evidence.allocate_ids(rows)
+    assert "sequence" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [r.id for r in out.orderBy("paper_id", "position").collect()] == [2, 3, 1, 4, 3, 0, 5, 6, 7, -2, 2, 1]
