@@ -122,3 +122,15 @@ def test_lists_merged_at_once_equal_the_fold(seed):
     out = folds.folded(iter(batches), fold, lambda b, papers: resolve.merged_at_once(b, papers, limit), ["paper_id", "number", "doi", "title", "year", "text"], [pa.int32(), *[pa.string()] * 4])
     assert [tuple(r.values()) for b in out for r in b.to_pylist()] == want
     assert len(streamed) <= len(batches)  # a paper for each batch at most is folded row by row
+
+
+def test_candidates_beside_their_references_meet_them_without_a_shuffle(spark):
+    refs = spark.createDataFrame([(1, "A. Bcd, J. Power Sources 4 (1997) 11.", None, "1997")], "ref_id int, citation string, title string, year string")
+    schema = "ref_id int, provider string, position int, work_id int, doi string, work_title string, work_year string, families array<string>, volume string, page string, journal string, score double"
+    found = spark.createDataFrame([(1, p, n, w, d, "Rivers of the north", "1997", ["Bcd, A."], "4", "11", "Journal of Power Sources", 40.0) for p, n, w, d in (("openalex", 1, 5, None), ("openalex", 6, 4, None), ("crossref", 1, 6, "10.1/A"), ("crossref", 2, 7, "10.1/a"))], schema)
+    beside = refs.join(found.groupBy("ref_id").agg(F.collect_list(F.struct(*found.columns[1:])).alias("candidates")), "ref_id").localCheckpoint()
+    out = decide.decide(beside)
+    assert "Join" not in plan(out) and plan(out).count("Aggregate") == 1
+    assert sorted(tuple(r) for r in out.collect()) == sorted(tuple(r) for r in decide.decide(refs, found).collect()) == [(1, "crossref", 6), (1, "openalex", 5)]
+    other = beside.withColumn("candidates", F.transform("candidates", lambda c: c.withField("doi", F.concat(F.lit("10.1/"), c["work_id"].cast("string")))))
+    assert [tuple(r) for r in decide.decide(other).collect()] == [(1, "openalex", 5)]  # two identities
